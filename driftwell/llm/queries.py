@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import best_fit_packing, exact_dedup, sharding
+from . import best_fit_packing, exact_dedup, minhash, sharding
 
 QUERIES = {
     "op3_best_fit_packing": best_fit_packing.op3_best_fit_packing,
+    "op5_minhash_near_dedup": minhash.op5_minhash_near_dedup,
     "op7_hilbert_sharding": sharding.op7_hilbert_sharding,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
 }

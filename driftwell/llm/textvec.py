@@ -16,7 +16,7 @@ _IS_WORD = np.ones(256, dtype=bool)
 _IS_WORD[[32, *range(9, 14)]] = False
 _rng = np.random.Generator(np.random.PCG64(20240229))
 _BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * _U(2) + _U(1)
-_BASE = int(_rng.integers(1, 2**62)) * 8 + 5
+_BASE = int(_rng.integers(1, 2**60)) * 8 + 5
 _STEP = _U(0x9E3779B97F4A7C15)
 _power = [np.ones(1, dtype=np.uint64), np.ones(1, dtype=np.uint64)]
 
@@ -34,7 +34,7 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     if len(_power[0]) < n:
         size = max(n, 2 * len(_power[0]), 1 << 14)
         for i, base in enumerate((_BASE, pow(_BASE, -1, 2**64))):
-            steps = np.full(size, base, dtype=np.uint64)
+            steps = np.full(size, _U(base), dtype=np.uint64)
             steps[0] = 1
             _power[i] = np.multiply.accumulate(steps)
     return _power[0], _power[1]
