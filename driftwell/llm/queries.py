@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import best_fit_packing, exact_dedup, minhash, sharding
+from . import best_fit_packing, exact_dedup, line_dedup, minhash, sharding
 
 QUERIES = {
+    "op2_line_dedup": line_dedup.op2_line_dedup,
     "op3_best_fit_packing": best_fit_packing.op3_best_fit_packing,
     "op5_minhash_near_dedup": minhash.op5_minhash_near_dedup,
     "op7_hilbert_sharding": sharding.op7_hilbert_sharding,
