@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from . import best_fit_packing, exact_dedup, line_dedup, minhash, sharding
+from . import best_fit_packing, exact_dedup, language_id, line_dedup, minhash, quality, sharding
 
 QUERIES = {
+    "op1_language_id": language_id.op1_language_id,
     "op2_line_dedup": line_dedup.op2_line_dedup,
     "op3_best_fit_packing": best_fit_packing.op3_best_fit_packing,
     "op5_minhash_near_dedup": minhash.op5_minhash_near_dedup,
     "op7_hilbert_sharding": sharding.op7_hilbert_sharding,
+    "op8_quality_classifier": quality.op8_quality_classifier,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
 }
 SQL = {"op10_exact_dedup": exact_dedup.SQL}
