@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import best_fit_packing, exact_dedup, language_id, line_dedup, minhash, quality, sharding
+from . import best_fit_packing, exact_dedup, language_id, line_dedup, minhash, quality, sharding, toxicity
 
 QUERIES = {
     "op1_language_id": language_id.op1_language_id,
@@ -11,6 +11,7 @@ QUERIES = {
     "op5_minhash_near_dedup": minhash.op5_minhash_near_dedup,
     "op7_hilbert_sharding": sharding.op7_hilbert_sharding,
     "op8_quality_classifier": quality.op8_quality_classifier,
+    "op9_toxicity": toxicity.op9_toxicity,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
 }
 SQL = {"op10_exact_dedup": exact_dedup.SQL}
