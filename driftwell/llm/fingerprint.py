@@ -23,7 +23,7 @@ from .textvec import _BYTE, _powers, mix
 
 #: Bytes of a window, and how far a selected window's rank is the least on either side.
 WINDOW, REACH = 24, 16
-#: A shorter text has windows of SHORT bytes, all of them selected.
+#: A shorter text has windows of SHORT bytes (a quarter of the text if that is less), all of them selected.
 SHORT_BYTES, SHORT = 192, 6
 #: Bits and hashes of a filter, and the features after which a new one is chained.
 BITS, HASHES, FULL = 2048, 4, 160
@@ -69,7 +69,7 @@ def features(raw: bytes, rank: np.ndarray) -> np.ndarray:
     if not len(data):
         return np.zeros(0, dtype=np.uint64)
     if len(data) < SHORT_BYTES:
-        found = window_hashes(data, min(SHORT, len(data)))
+        found = window_hashes(data, max(1, min(SHORT, len(data) // 4)))
     else:
         hashes = window_hashes(data, WINDOW)
         key = (rank[entropy_levels(data)].astype(np.uint64) << _U(48)) | (hashes >> _U(16))

@@ -163,6 +163,16 @@ def line_dedup(docs: DataFrame, min_line_words: int = MIN_LINE_WORDS, min_block_
     return joined.select(*[text.alias(c) if c == "text" else F.col(c) for c in names], removed.alias("lines_removed"))
 
 
+def without_repeats(docs: DataFrame) -> DataFrame:
+    """``docs`` after line dedup, same columns: rows of which nothing but white space is left go,
+    and ``n_chars``, where there is one, follows the text."""
+    out = line_dedup(docs)
+    out = out.where((F.size("lines_removed") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.when(F.size("lines_removed") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
+    return out.select(*docs.columns)
+
+
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_lines, n_removed, lines_removed, and bytes and crc32 of the text that is left."""
     out = line_dedup(documents(spark, sf_dir).select("doc_id", "text"))

@@ -214,7 +214,7 @@ def _links(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], names=["u", "v"])
 
 
-def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id and kept for every row of ``docs``.
 
     Rows link when 100 * |intersection| >= percent * |union| of their sets of distinct 5-word
@@ -259,5 +259,12 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     )
 
 
+def one_of_each(docs: DataFrame, percent: int = 80) -> DataFrame:
+    """The rows of ``docs``, with all columns, whose doc_id stands for its component; repeated rows of
+    such an id all stay."""
+    kept = near_duplicates(docs, percent).where("kept").select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("_did")).distinct()
+    return docs.withColumn("_did", F.coalesce("doc_id", F.lit(NULL_ID))).join(kept, "_did", "left_semi").select(*docs.columns)
+
+
 def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(documents(spark, sf_dir))
+    return near_duplicates(documents(spark, sf_dir), percent=85)

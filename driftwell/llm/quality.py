@@ -152,15 +152,32 @@ def score_column(docs: DataFrame, scorer, names: list[str], column: str) -> Data
     return docs.select(*names, F.col("text").alias("_text")).mapInArrow(run, schema)
 
 
+def keep_rows(docs: DataFrame, keep) -> DataFrame:
+    """The rows of ``docs``, with all columns, whose text ``keep`` (texts to booleans) accepts."""
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(keep(batch.column(at).to_pylist()), pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
+def _score_texts(model: Model, texts: list[str | None]) -> np.ndarray:
+    return model.score(np.array([features(t) for t in texts]).reshape(len(texts), -1)) if texts else np.zeros(0)
+
+
+def accepted(docs: DataFrame, model: Model) -> DataFrame:
+    """The rows of ``docs`` that score 0.5 or more, with all their columns."""
+    return keep_rows(docs, lambda texts: _score_texts(model, texts) >= 0.5)
+
+
 def scored(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, held_out, score and predicted of every row; null texts score like empty ones, repeated
     rows alike, and a null doc_id is not held out."""
 
-    def score(texts: list[str | None]) -> np.ndarray:
-        return model.score(np.array([features(t) for t in texts]).reshape(len(texts), -1)) if texts else np.zeros(0)
-
     held = docs.select("doc_id", "text", F.coalesce(fold("doc_id", FOLDS) == HELD_OUT, F.lit(False)).alias("held_out"))
-    out = score_column(held, score, ["doc_id", "held_out"], "score")
+    out = score_column(held, lambda texts: _score_texts(model, texts), ["doc_id", "held_out"], "score")
     return out.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 

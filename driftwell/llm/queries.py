@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import best_fit_packing, exact_dedup, fingerprint, language_id, line_dedup, minhash, quality, sharding, toxicity
+from . import best_fit_packing, exact_dedup, fingerprint, language_id, line_dedup, minhash, quality, sentencepiece_codec, sharding, toxicity
 
 QUERIES = {
     "op1_language_id": language_id.op1_language_id,
     "op2_line_dedup": line_dedup.op2_line_dedup,
     "op3_best_fit_packing": best_fit_packing.op3_best_fit_packing,
+    "op4_sentencepiece": sentencepiece_codec.op4_sentencepiece,
     "op5_minhash_near_dedup": minhash.op5_minhash_near_dedup,
     "op6_document_fingerprints": fingerprint.op6_document_fingerprints,
     "op7_hilbert_sharding": sharding.op7_hilbert_sharding,

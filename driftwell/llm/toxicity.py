@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import documents, fold, labelled_sample
-from .quality import score_column
+from .quality import keep_rows, score_column
 
 #: Learning rows of each label and the longest learning text.
 PER_CLASS, MAX_CHARS = 3000, 200_000
@@ -242,6 +242,11 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     return Model.fit([t for t, _ in rows], np.array([y for _, y in rows], dtype=int), sizes)
 
 
+def accepted(docs: DataFrame, model: Model) -> DataFrame:
+    """The rows of ``docs`` that score below REJECT, with all their columns."""
+    return keep_rows(docs, lambda texts: model.scores(texts) < REJECT)
+
+
 def scored(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, held_out, score and predicted of every row; null texts score like empty ones, repeated
     rows alike, and a null doc_id is not held out."""
