@@ -52,15 +52,16 @@ def identities(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     distinct = blocks.groupBy("digest", "bytes").agg(F.count("*").alias("n"))
     names = _numbered(distinct, ["bytes"], ["digest"], "blocks")
     shared = names.groupBy("digest").agg(F.count("*").alias("n")).where("n > 1").select("digest")
-    clear = names.join(shared, "digest", "left_anti")
-    found = blocks.drop("bytes").join(clear, "digest").select("did", "sha", "pos", "name")
-    if not shared.isEmpty():
+    if shared.isEmpty():
+        # The names' exchange stands right below the join, so that a hot block's side can be split.
+        found = blocks.drop("bytes").join(names, "digest").select("did", "sha", "pos", "name")
+    else:
         # Two different blocks share a digest: number those blocks anew, by their bytes.
+        clear = materialise(names.join(shared, "digest", "left_anti"), "blocks")
         odd = blocks.join(shared, "digest", "left_semi")
-        apart = materialise(
-            odd.groupBy("bytes").agg().sortWithinPartitions("bytes").withColumn("name", -1 - F.monotonically_increasing_id()),
-            "blocks",
-        )
+        apart = odd.groupBy("bytes").agg(F.count("*").alias("n")).sortWithinPartitions("bytes")
+        apart = materialise(apart.select("bytes", (-1 - F.monotonically_increasing_id()).alias("name")), "blocks")
+        found = blocks.drop("bytes").join(clear, "digest").select("did", "sha", "pos", "name")
         found = found.unionByName(odd.join(apart, "bytes").select("did", "sha", "pos", "name"))
     state = materialise(
         found.groupBy("did", "sha")
