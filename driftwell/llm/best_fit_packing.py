@@ -174,7 +174,9 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int
     checksum. An empty table gives an empty result.
     """
     order = [F.col(c) for c in ("length", "doc_id", "piece", "ids_crc32")]
-    ranked = with_ranks(pieces(docs, tokenizer, capacity, end_id), order, "pieces")
+    # Staged first: the range exchange of the ranks looks at its input twice.
+    cut = materialise(pieces(docs, tokenizer, capacity, end_id), "cut")
+    ranked = with_ranks(cut, order, "pieces")
     # One row per length: at most ``capacity``. A length's pieces hold consecutive ranks.
     spans = ranked.groupBy("length").agg(F.count("*").alias("n"), F.min("rank").alias("first")).collect()
     place = placements(plan({r["length"]: r["n"] for r in spans}, capacity))
