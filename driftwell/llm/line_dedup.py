@@ -123,6 +123,7 @@ def deletions(docs: DataFrame, min_line_words: int = MIN_LINE_WORDS, min_block_w
     long_lines = F.arrays_zip("lines", "words")
     held = hashed.select("did", "th", F.explode(F.array_distinct(F.transform(F.filter(long_lines, lambda x: x["words"] >= min_line_words), lambda x: x["lines"]))).alias("h"))
     first = held.groupBy("h").agg(F.min(key).alias("first"), F.count("*").alias("n")).where("n > 1").select("h", "first")
+    first = materialise(first, "holders")  # so that the join below has plain exchanges, which AQE splits
     pairs = held.join(first, "h").where((F.col("did") != F.col("first.did")) | (F.col("th") != F.col("first.th")))
     pairs = pairs.select("did", "th", F.col("first.did").alias("did0"), F.col("first.th").alias("th0")).distinct()
     early = hashed.select(F.col("did").alias("did0"), F.col("th").alias("th0"), F.col("lines").alias("lines0"))
@@ -154,7 +155,8 @@ def line_dedup(docs: DataFrame, min_line_words: int = MIN_LINE_WORDS, min_block_
     """
     gone = materialise(deletions(docs, min_line_words, min_block_words), "deletions")
     keyed = docs.drop("lines_removed").withColumns({"_did": F.coalesce("doc_id", F.lit(NULL_ID)), "_th": F.xxhash64("text")})
-    joined = keyed.join(gone.withColumnsRenamed({"did": "_did", "th": "_th"}), ["_did", "_th"], "left")
+    # Deletions grow with the corpus, so they are never broadcast, however few they are today.
+    joined = keyed.join(gone.withColumnsRenamed({"did": "_did", "th": "_th"}).hint("merge"), ["_did", "_th"], "left")
     removed = F.coalesce("gone", F.array().cast("array<int>"))
     lines = F.split("text", "\n")
     left = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("gone", i)), "\n")
