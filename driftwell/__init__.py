@@ -1,0 +1 @@
+"""Set reconciliation, difference estimation and deltas as DataFrame programs."""
