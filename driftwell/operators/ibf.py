@@ -113,7 +113,7 @@ def decode(cells: DataFrame, size: int, hashes: int = HASHES) -> DataFrame:
             raise DecodeError(f"decoding failed with {size} cells")
         yield pd.DataFrame({"side": np.repeat([1, -1], [len(plus), len(minus)]).astype(np.int32), "id": np.concatenate([plus, minus])})
 
-    return cells.select("cell", "cnt", "id_sum", "hash_sum").coalesce(1).mapInPandas(run, "side int, id long")
+    return cells.select("cell", "cnt", "id_sum", "hash_sum").repartition(1).mapInPandas(run, "side int, id long")
 
 
 def _decode_rounds(cells: DataFrame, size: int, hashes: int) -> DataFrame:
