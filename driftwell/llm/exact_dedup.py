@@ -112,7 +112,7 @@ def exact_dedup(docs: DataFrame, block: int = BLOCK) -> DataFrame:
         F.sum("copies").alias("group_size"),
         F.min(F.when(F.col("did") != NULL_ID, F.col("did"))).alias("keep_id"),
     )
-    rows = each.join(groups, ["level", "name"])
+    rows = each.join(materialise(groups, "groups"), ["level", "name"])
     doc_id = F.when(F.col("did") != NULL_ID, F.col("did"))
     return rows.select(
         doc_id.alias("doc_id"), "keep_id", "group_size", F.lower(F.hex("sha")).alias("text_sha256"),
