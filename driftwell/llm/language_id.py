@@ -21,8 +21,9 @@ from .common import documents, first_per_class, fold
 
 ORDERS = (1, 2, 3)
 BUCKET_BITS = 15
-#: Learning rows and landmarks of one language at most, and the longest learning text.
-PER_LANGUAGE, LANDMARKS, MAX_CHARS = 400, 64, 100_000
+#: Learning rows of one language at most, learning rows and landmarks in all (shared out evenly
+#: where there are many languages), and the longest learning text.
+PER_LANGUAGE, LEARNING, LANDMARKS, MAX_CHARS = 400, 4000, 256, 100_000
 RIDGE = 1e-2
 FOLDS, HELD_OUT = 5, 0
 
@@ -59,16 +60,18 @@ class Model:
         languages = sorted(set(langs))
         y = np.array([languages.index(x) for x in langs])
         spectra = [presence(t) for t in texts]
-        picked = np.concatenate([np.flatnonzero(y == c)[:LANDMARKS] for c in range(len(languages))]) if languages else []
-        dense = []
-        for k in range(len(ORDERS)):
-            m = np.zeros((len(texts), 1 << BUCKET_BITS), dtype=np.float32)
-            for i, s in enumerate(spectra):
-                m[i, s[k]] = 1 / np.sqrt(max(len(s[k]), 1))
-            dense.append(m)
-        if not len(picked):
+        if not languages:
             return cls(languages, [np.zeros((1 << BUCKET_BITS, 0), dtype=np.float32) for _ in ORDERS])
-        kernel = sum((m @ m[picked].T).astype(np.float64) for m in dense) / len(ORDERS)
+        each = max(LANDMARKS // len(languages), 1)
+        picked = np.concatenate([np.flatnonzero(y == c)[:each] for c in range(len(languages))])
+        # Only the landmarks are held as a dense matrix; the other texts stay lists of buckets.
+        dense = [np.zeros((len(picked), 1 << BUCKET_BITS), dtype=np.float32) for _ in ORDERS]
+        kernel = np.zeros((len(texts), len(picked)))
+        for k, m in enumerate(dense):
+            for row, i in enumerate(picked):
+                m[row, spectra[i][k]] = 1 / np.sqrt(max(len(spectra[i][k]), 1))
+            for i, s in enumerate(spectra):
+                kernel[i] += m[:, s[k]].sum(axis=1) / np.sqrt(max(len(s[k]), 1)) / len(ORDERS)
         values, vectors = np.linalg.eigh(kernel[picked])
         sound = values > 1e-6 * values.max()
         root = vectors[:, sound] / np.sqrt(values[sound])
@@ -78,7 +81,7 @@ class Model:
         target = np.where(y[:, None] == np.arange(len(languages)), 1.0, -1.0)
         left = (mapped * weight[:, None]).T @ mapped + RIDGE * np.eye(mapped.shape[1])
         ridge = root @ np.linalg.solve(left, (mapped * weight[:, None]).T @ target)
-        return cls(languages, [(m[picked].T @ ridge / len(ORDERS)).astype(np.float32) for m in dense])
+        return cls(languages, [(m.T @ ridge / len(ORDERS)).astype(np.float32) for m in dense])
 
     def scores(self, texts: list[str]) -> np.ndarray:
         """One row per text, one ridge output per language: a sparse-by-dense matrix product."""
@@ -96,17 +99,19 @@ class Model:
 
 def fit(docs: DataFrame) -> Model:
     """A model from at most PER_LANGUAGE texts of each language, none of the held-out fold."""
+    languages = docs.select("lang").distinct().count()
+    each = min(PER_LANGUAGE, max(LEARNING // max(languages, 1), 1))
     rows = docs.select("doc_id", "text", "lang").where(
         F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.length("text") <= MAX_CHARS) & (F.coalesce(fold("doc_id", FOLDS), F.lit(0)) != HELD_OUT)
     )
-    chosen = first_per_class(rows.select("doc_id", "lang"), "lang", "doc_id", PER_LANGUAGE)
+    chosen = first_per_class(rows.select("doc_id", "lang"), "lang", "doc_id", each)
     picked = rows.join(F.broadcast(chosen.withColumnRenamed("lang", "_lang")), "doc_id").where("lang = _lang").select("doc_id", "text", "lang")
     found = sorted((r["doc_id"], r["text"], r["lang"]) for r in picked.collect())
     # A doc_id may repeat; the bound holds all the same.
     kept, taken = [], {}
     for _, text, lang in found:
         taken[lang] = taken.get(lang, 0) + 1
-        if taken[lang] <= PER_LANGUAGE and has_letter(text):
+        if taken[lang] <= each and has_letter(text):
             kept.append((text, lang))
     return Model.fit([t for t, _ in kept], [x for _, x in kept])
 
