@@ -18,6 +18,7 @@ import re
 from collections import Counter, defaultdict
 from itertools import product
 from math import log
+from zlib import crc32
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -27,7 +28,7 @@ from .common import documents, fold, labelled_sample
 from .quality import keep_rows, score_column
 
 #: Learning rows of each label and the longest learning text.
-PER_CLASS, MAX_CHARS = 3000, 200_000
+PER_CLASS, MAX_CHARS = 1500, 100_000
 FOLDS, HELD_OUT, REJECT = 3, 1, 0.7
 #: Stem lengths, and the evidence (nats beyond the log of the candidates tried) an arc needs.
 STEMS, EVIDENCE = range(3, 10), 5.0
@@ -124,42 +125,44 @@ class Lexicon:
 
     @classmethod
     def learn(cls, texts: list[str], y: np.ndarray) -> Lexicon:
-        near: list[dict[str, set]] = [defaultdict(set), defaultdict(set)]
-        #: For each stem, how many toxic texts have each word of it.
-        family: dict[str, Counter] = defaultdict(Counter)
-        mass = [0, 0]
-        for text, toxic in zip(texts, y, strict=True):
-            words = _WORD.findall(text.lower())
-            own: dict[str, tuple] = {}
-            for i, w in enumerate(words):
-                beside = (words[i - 1] if i else "", words[i + 1] if i + 1 < len(words) else "")
-                own.setdefault(w + "$", beside)
-                for k in STEMS:
-                    if len(w) > k:
-                        own.setdefault(w[:k], beside)
-            if toxic:
-                for w in own:
-                    if w[-1] == "$":
-                        for k in STEMS:
-                            if len(w) > k + 1:
-                                family[w[:k]][w] += 1
-            mass[toxic] += len({w for w in own if w[-1] == "$"})
-            for w, beside in own.items():
-                near[toxic][w].add(beside)
-        if not mass[1]:
+        toxic = [t for t, k in zip(texts, y, strict=True) if k]
+        clean = [t for t, k in zip(texts, y, strict=True) if not k]
+        if not toxic:
             return cls({}, {})
+        # Arcs in fewer than three toxic texts are dropped first, so that the rest stays small.
+        common = Counter(arc for t in toxic for arc in _arcs(t))
+        tried = len(common)
+        common = {arc for arc, n in common.items() if n >= 3}
+        near: dict[str, set[int]] = {arc: set() for arc in common}
+        family: dict[str, Counter] = defaultdict(Counter)  # of a stem: how many toxic texts have each word
+        mass = [0, 0]
+        for t in toxic:
+            arcs = _arcs(t)
+            for arc, beside in arcs.items():
+                if arc in common:
+                    near[arc].add(beside)
+                if arc[-1] == "$":
+                    mass[1] += 1
+                    for k in STEMS:
+                        if len(arc) > k + 1 and arc[:k] in common:
+                            family[arc[:k]][arc] += 1
+        beyond: Counter = Counter()
+        for t in clean:
+            arcs = _arcs(t)
+            mass[0] += sum(arc[-1] == "$" for arc in arcs)
+            beyond.update(common.intersection(arcs))
         share = (mass[1] + 1) / (mass[0] + mass[1] + 2)
-        need = log(len(near[1]) + 1) + EVIDENCE
+        need = log(tried + 1) + EVIDENCE
         words, stems = {}, {}
-        for arc, seen in near[1].items():
-            a, b = len(seen), len(near[0].get(arc, ()))
+        for arc, seen in near.items():
+            a, b = len(seen), beyond[arc]
             if arc[-1] != "$":  # a stem stands for many words: its commonest one proves nothing
                 a -= family[arc].most_common(1)[0][1]
                 if a < 3:
                     continue
             odds = log((a + 0.5) / (b + 0.5) * (1 - share) / share)
-            evidence = a * log(a / ((a + b) * share)) + (b * log(b / ((a + b) * (1 - share))) if b else 0.0)
-            if odds > 1.5 and evidence > need:
+            found = a * log(a / ((a + b) * share)) + (b * log(b / ((a + b) * (1 - share))) if b else 0.0)
+            if odds > 1.5 and found > need:
                 if arc[-1] == "$":
                     words[arc[:-1]] = min(odds, 6.0)
                 else:
@@ -167,6 +170,21 @@ class Lexicon:
         return cls(words, stems)
 
 
+def _arcs(text: str) -> dict[str, int]:
+    """Each whole word (marked by a final $) and stem of a text, with a hash of the words beside its first place."""
+    words = _WORD.findall(text.lower())
+    own: dict[str, int] = {}
+    for i, w in enumerate(words):
+        if w + "$" in own:
+            continue
+        beside = crc32(f"{words[i - 1] if i else ''} {words[i + 1] if i + 1 < len(words) else ''}".encode())
+        own[w + "$"] = beside
+        for k in STEMS:
+            if len(w) > k:
+                own.setdefault(w[:k], beside)
+    return own
+
+
 def clause_weight(words: list[str], lexicon: Lexicon) -> float:
     """Weight of the clause's path: each hit's arc weight times the factor of what it comes out as."""
     state, total = _GRAMMAR.start, 0.0
