@@ -15,6 +15,7 @@ leaves their concatenation as these two. Unigram models take the greatest sum of
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterable, Iterator
 from os.path import commonprefix
 
@@ -24,10 +25,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import documents
 
+#: The model's mark. Inside, a plain space stands for it: texts have no other spaces then, and strings stay narrow.
 MARK = "▁"
-_UNIT = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
-#: Words whose ids a worker remembers from batch to batch, and the longest of them.
-MEMO, MEMO_CHARS = 500_000, 32
+_UNIT = re.compile(" +[^ ]*")
+#: Words whose ids a worker remembers from batch to batch.
+MEMO = 1_000_000
 
 
 class Codec:
@@ -50,7 +52,7 @@ class Codec:
             elif sp.is_control(i) or sp.is_unknown(i):
                 self.surface.append(b"")
             else:
-                self.ids[piece] = i
+                self.ids[piece.replace(MARK, " ")] = i
                 self.surface.append(piece.replace(MARK, " ").encode())
         self.scores = [sp.get_score(i) for i in range(n)]
         self.pieces = {i: p for p, i in self.ids.items()}
@@ -58,7 +60,7 @@ class Codec:
         #: Every ending of a piece: the id of the piece that it is, or -1.
         self.endings: dict[str, int] = {p[i:]: -1 for p in self.ids for i in range(len(p))} | self.ids
         self.fits: dict[int, bool] = {}
-        self.memo: dict[str, tuple[int, ...]] = {}
+        self.memo: dict[str, bytes] = {}
 
     def merge(self, text: str) -> list[str]:
         """Plain BPE of a short string: merge the adjacent pair of best score, leftmost first."""
@@ -81,31 +83,37 @@ class Codec:
         x, y = self.pieces[a], self.pieces[b]
         return self.merge(x + y) == [x, y]
 
-    def words(self, distinct: Iterable[str]) -> dict[str, tuple[int, ...]]:
-        """Ids of each marked word, by one depth-first walk over their trie."""
-        out: dict[str, tuple[int, ...]] = {}
+    def words(self, distinct: Iterable[str]) -> dict[str, bytes]:
+        """Ids (32-bit, as bytes) of each marked word, by one depth-first walk over their trie."""
+        out: dict[str, bytes] = {}
         endings, fits = self.endings, self.fits
         last: list[int] = [-1]  # last piece of the prefix of each length; -1 at the start, -2 after an unknown character
         start: list[int] = [0]
         before = ""
-        for word in sorted(distinct):
+        for word, plain in sorted((w if w[0] == " " else " " + w, w) for w in distinct):
             shared = len(commonprefix((before, word)))
             del last[shared + 1 :], start[shared + 1 :]
             for end in range(shared + 1, len(word) + 1):
                 # The longest piece that ends here and may follow what ends where it begins.
-                piece, at = -2, end - 1
-                begin = end - 1
-                while begin >= 0 and (found := endings.get(word[begin:end])) is not None:
-                    if found >= 0:
-                        pair = last[begin] << 32 | found
-                        fit = fits.get(pair)
-                        if fit is None:
-                            fit = fits[pair] = self._may_follow(last[begin], found)
-                        if fit:
-                            piece, at = found, begin
+                begin = end
+                ends: list[tuple[int, int]] = []
+                while begin and (found := endings.get(word[begin - 1 : end])) is not None:
                     begin -= 1
-                last.append(piece)
-                start.append(at)
+                    if found >= 0:
+                        ends.append((begin, found))
+                while ends:
+                    begin, found = ends.pop()
+                    pair = last[begin] << 32 | found
+                    fit = fits.get(pair)
+                    if fit is None:
+                        fit = fits[pair] = self._may_follow(last[begin], found)
+                    if fit:
+                        last.append(found)
+                        start.append(begin)
+                        break
+                else:
+                    last.append(-2)
+                    start.append(end - 1)
             got: list[int] = []
             end = len(word)
             while end:
@@ -114,22 +122,30 @@ class Codec:
                 else:
                     got.extend(self.byte[b] for b in reversed(word[end - 1].encode("utf-8", "surrogatepass")))
                 end = start[end]
-            out[word] = tuple(reversed(got))
+            got.reverse()
+            out[plain] = array("i", got).tobytes()
             before = word
         return out
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         """Ids of each text, like the library's ``encode``: a mark in front, spaces as marks, bytes for
         characters outside the vocabulary. Null and empty texts have none."""
-        units = [_UNIT.findall(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
-        fresh = {u for us in units for u in us}
-        known = {u: self.memo[u] for u in fresh if u in self.memo}
-        new = self.words(u for u in fresh if u not in known)
-        known |= new
-        if len(self.memo) + len(new) > MEMO:
-            self.memo.clear()
-        self.memo.update((u, x) for u, x in new.items() if len(u) <= MEMO_CHARS)
-        return [np.fromiter((i for u in us for i in known[u]), dtype=np.int32) for us in units]
+        units = [self._units(t) if t else [] for t in texts]
+        memo = self.memo
+        memo.update(self.words({u for us in units for u in us}.difference(memo)))
+        out = [np.frombuffer(b"".join(map(memo.__getitem__, us)), dtype=np.int32) for us in units]
+        if len(memo) > MEMO:
+            memo.clear()
+        return out
+
+    @staticmethod
+    def _units(text: str) -> list[str]:
+        """Marked words of a text. Where single spaces stand between words, the mark in front is left out."""
+        if MARK in text:
+            text = text.replace(MARK, " ")
+        if "  " not in text and text[0] != " " and text[-1] != " ":
+            return text.split(" ")
+        return [u if u[1:2] in ("", " ") else u[1:] for u in _UNIT.findall(" " + text)]
 
     def decode(self, ids: Iterable[int]) -> str:
         """The text of ``ids``; a literal U+2581 comes back as a space, all else as it was."""
@@ -147,7 +163,7 @@ def codec(model: str) -> Codec:
     return _codecs[model]
 
 
-def encode(docs: DataFrame, model: str, batch: int = 1000) -> DataFrame:
+def encode(docs: DataFrame, model: str, batch: int = 2000) -> DataFrame:
     """doc_id, n_ids, ids, decoded_crc32 and round_trip of every row of ``docs``.
 
     decoded_crc32 is that of the decoded ids in UTF-8; round_trip says whether they give the text
