@@ -48,6 +48,9 @@ def evaluate(elements: DataFrame, points: list[int], p: int = gf.PRIME) -> DataF
         yield pd.DataFrame({"x": xs, "value": total})
 
     partial = elements.select(F.col("element").cast("long")).mapInPandas(fold, "x long, value long")
+    # The product over nothing is 1, also where an empty table has no task to say so.
+    ones = elements.sparkSession.createDataFrame([(x, 1) for x in points], "x long, value long")
+    partial = partial.unionByName(ones)
     product = F.aggregate(F.collect_list("value"), F.lit(1).cast("long"), lambda acc, v: gf.mul(acc, v, p))
     return partial.groupBy("x").agg(product.alias("value"))
 
