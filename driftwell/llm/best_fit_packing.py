@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, materialise, with_ranks
+from .common import documents, in_batches, materialise, with_ranks
 
 CAPACITY = 1024
 END_ID = 2
@@ -89,8 +89,12 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tuple[i
     for (length,), n in opened:
         while n:
             i = bisect.bisect_left(keys, length)
-            if i == len(keys):
-                put((length,), n)
+            if i == len(keys):  # nothing open takes it: open as many as it needs, filled with its like
+                each = capacity // length
+                if n >= each:
+                    put((length,) * each, n // each)
+                if n % each:
+                    put((length,) * (n % each), 1)
                 break
             held = gaps[keys[i]]
             pattern, m = held.pop()
@@ -163,7 +167,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: in
                     start, edge = edge, edge + capacity
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), out.types, strict=True)] if rows else [pa.array([], t) for t in out.types], schema=out)
 
-    return docs.select("doc_id", "text").mapInArrow(cut, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return in_batches(docs.select("doc_id", "text")).mapInArrow(cut, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
 def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
@@ -196,7 +200,7 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int
             seats = [pa.array(place["sequence"][at] + rank - place["first"][at]), pa.array(place["offset"][at])]
             yield pa.RecordBatch.from_arrays([*keep, *seats], names=["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
 
-    return ranked.mapInArrow(seat, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    return in_batches(ranked).mapInArrow(seat, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
 
 
 def default_tokenizer() -> str:

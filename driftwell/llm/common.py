@@ -87,11 +87,28 @@ def fold(doc_id: str | Column, n: int) -> Column:
     return F.pmod(F.crc32(column.cast("string").cast("binary")), F.lit(n))
 
 
-def first_per_class(rows: DataFrame, cls: str, key: str, per_class: int) -> DataFrame:
-    """At most ``per_class`` rows of each class, by hash of ``key``: every task keeps its own
-    best before the exchange (a group-limited window), so a class of any size is safe."""
-    ranked = Window.partitionBy(cls).orderBy(F.xxhash64(key), F.col(key))
-    return rows.withColumn("_r", F.row_number().over(ranked)).where(F.col("_r") <= per_class).drop("_r")
+def first_per_class(rows: DataFrame, cls: str, key: str, per_class: int, sizes: dict) -> DataFrame:
+    """At most ``per_class`` rows of each class in ``sizes`` (about its number of rows), by hash of ``key``.
+
+    Of a large class only the hashes below a bound are looked at, some four times as many rows as are
+    wanted, so that no task has to rank a whole class.
+    """
+    if not sizes:
+        return rows.where("false")
+    span = 1 << 30
+    bounds = F.create_map(*[F.lit(x) for c, n in sizes.items() for x in (c, min(span, 4 * per_class * span // max(n, 1) + 1))])
+    near = rows.where(F.pmod(F.xxhash64(key), F.lit(span)) < F.element_at(bounds, F.col(cls)))
+    ranked = Window.partitionBy(cls).orderBy(F.pmod(F.xxhash64(key), F.lit(span)), F.col(key))
+    return near.withColumn("_r", F.row_number().over(ranked)).where(F.col("_r") <= per_class).drop("_r")
+
+
+def in_batches(df: DataFrame, rows: int = 1000) -> DataFrame:
+    """``df`` as it is; Arrow batches of the session are held to ``rows`` rows, so that a Python worker
+    has few long texts at a time."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(df.sparkSession.conf.get(name)) <= rows:
+        df.sparkSession.conf.set(name, str(rows))
+    return df
 
 
 def labelled_sample(
@@ -111,7 +128,7 @@ def labelled_sample(
     )
     known = materialise(known, "labels")
     sizes = {r["_y"]: r["n"] for r in known.groupBy("_y").agg(F.count("*").alias("n")).collect()}
-    chosen = first_per_class(known, "_y", "doc_id", per_class)
+    chosen = first_per_class(known, "_y", "doc_id", per_class, sizes)
     rows = (
         docs.select("doc_id", "text")
         .where(F.col("text").isNotNull() & (F.length("text") <= max_chars))

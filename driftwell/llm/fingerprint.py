@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, documents, partitions, with_ranks
+from .common import NULL_ID, documents, in_batches, partitions, with_ranks
 from .textvec import _BYTE, _powers, mix
 
 #: Bytes of a window, and how far a selected window's rank is the least on either side.
@@ -144,7 +144,7 @@ def level_ranks(docs: DataFrame) -> np.ndarray:
                     total += np.bincount(entropy_levels(data), minlength=LEVELS)
         yield pa.RecordBatch.from_arrays([pa.array(range(LEVELS), pa.int32()), pa.array(total)], names=["level", "n"])
 
-    rows = docs.select("text").mapInArrow(count, "level int, n long").groupBy("level").agg(F.sum("n").alias("n")).collect()
+    rows = in_batches(docs.select("text")).mapInArrow(count, "level int, n long").groupBy("level").agg(F.sum("n").alias("n")).collect()
     total = np.zeros(LEVELS, dtype=np.int64)
     for r in rows:
         total[r["level"]] = r["n"]
@@ -196,7 +196,7 @@ def fingerprints(docs: DataFrame, rank: np.ndarray | None = None) -> DataFrame:
                 names=["run", "extra", "did", "text"],
             )
 
-    dealt = rows.mapInArrow(deal, "run int, extra boolean, did long, text string") if total else rows.selectExpr("0 AS run", "false AS extra", "did", "text")
+    dealt = in_batches(rows).mapInArrow(deal, "run int, extra boolean, did long, text string") if total else rows.selectExpr("0 AS run", "false AS extra", "did", "text")
     order = [F.col("run"), F.col("extra"), F.desc("did"), F.col("text")]
     together = dealt.repartition(partitions(spark), "run").sortWithinPartitions(*order)
     out = pa.schema([
@@ -229,7 +229,7 @@ def fingerprints(docs: DataFrame, rank: np.ndarray | None = None) -> DataFrame:
                 held = None if extra else (did, text, own)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*done, strict=True), out.types, strict=True)] if done else [pa.array([], t) for t in out.types], schema=out)
 
-    return together.mapInArrow(compare, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    return in_batches(together).mapInArrow(compare, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
 
 
 def op6_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:

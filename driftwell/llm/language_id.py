@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, first_per_class, fold
+from .common import documents, first_per_class, fold, in_batches
 
 ORDERS = (1, 2, 3)
 BUCKET_BITS = 15
@@ -99,12 +99,11 @@ class Model:
 
 def fit(docs: DataFrame) -> Model:
     """A model from at most PER_LANGUAGE texts of each language, none of the held-out fold."""
-    languages = docs.select("lang").distinct().count()
-    each = min(PER_LANGUAGE, max(LEARNING // max(languages, 1), 1))
-    rows = docs.select("doc_id", "text", "lang").where(
-        F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.length("text") <= MAX_CHARS) & (F.coalesce(fold("doc_id", FOLDS), F.lit(0)) != HELD_OUT)
-    )
-    chosen = first_per_class(rows.select("doc_id", "lang"), "lang", "doc_id", each)
+    learn = F.coalesce(fold("doc_id", FOLDS), F.lit(0)) != HELD_OUT
+    sizes = docs.where(F.col("lang").isNotNull() & learn).groupBy("lang").agg(F.count("*").alias("n")).collect()
+    each = min(PER_LANGUAGE, max(LEARNING // max(len(sizes), 1), 1))
+    rows = docs.select("doc_id", "text", "lang").where(F.col("lang").isNotNull() & learn & F.col("text").isNotNull() & (F.length("text") <= MAX_CHARS))
+    chosen = first_per_class(rows.select("doc_id", "lang"), "lang", "doc_id", each, {r["lang"]: r["n"] for r in sizes})
     picked = rows.join(F.broadcast(chosen.withColumnRenamed("lang", "_lang")), "doc_id").where("lang = _lang").select("doc_id", "text", "lang")
     found = sorted((r["doc_id"], r["text"], r["lang"]) for r in picked.collect())
     # A doc_id may repeat; the bound holds all the same.
@@ -146,7 +145,7 @@ def identify(docs: DataFrame, model: Model, batch: int = 256) -> DataFrame:
                 names=["doc_id", "held_out", "lang_pred", "score"],
             )
 
-    return held.mapInArrow(predict, "doc_id long, held_out boolean, lang_pred string, score double")
+    return in_batches(held).mapInArrow(predict, "doc_id long, held_out boolean, lang_pred string, score double")
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, documents, materialise
+from .common import NULL_ID, documents, in_batches, materialise
 
 #: Words of the shortest line that pairs documents, and of the shortest block that is deleted.
 MIN_LINE_WORDS, MIN_BLOCK_WORDS = 5, 10
@@ -140,7 +140,7 @@ def deletions(docs: DataFrame, min_line_words: int = MIN_LINE_WORDS, min_block_w
                     gone.append(lost)
             yield pa.RecordBatch.from_arrays([pa.array(dids, pa.int64()), pa.array(ths, pa.int64()), pa.array(gone, pa.list_(pa.int32()))], names=["did", "th", "gone"])
 
-    found = aligned.mapInArrow(align, "did long, th long, gone array<int>")
+    found = in_batches(aligned).mapInArrow(align, "did long, th long, gone array<int>")
     return found.groupBy("did", "th").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("gone")))).alias("gone"))
 
 

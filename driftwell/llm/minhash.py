@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, documents, materialise, partitions, with_ranks
+from .common import NULL_ID, documents, in_batches, materialise, partitions, with_ranks
 from .components import connected_components
 from .textvec import mix, shingles
 
@@ -84,7 +84,7 @@ def _signatures(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_pylist([dict(zip(out.names, r, strict=True)) for r in rows], schema=out)
 
     rows = docs.select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("did"), "text")
-    return rows.mapInArrow(sign, "did long, n long, s1 long, s2 long, bands array<long>")
+    return in_batches(rows).mapInArrow(sign, "did long, n long, s1 long, s2 long, bands array<long>")
 
 
 def _digests(items: np.ndarray) -> tuple[int, int]:
@@ -106,7 +106,7 @@ def _sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(items, pa.binary())], names=["node", "items"])
 
     rows = docs.select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("did"), "text").join(nodes, "did")
-    built = rows.select("node", "s1", "s2", "text").mapInArrow(build, "node long, items binary")
+    built = in_batches(rows.select("node", "s1", "s2", "text")).mapInArrow(build, "node long, items binary")
     return built
 
 
@@ -143,7 +143,7 @@ def _star_links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                     vs.append(leader)
             yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], names=["u", "v"])
 
-    return together.mapInArrow(confirm, "u long, v long")
+    return in_batches(together).mapInArrow(confirm, "u long, v long")
 
 
 def _block_links(buckets: DataFrame, roots: DataFrame, sets_of, percent: int) -> DataFrame | None:
@@ -206,7 +206,7 @@ def _block_links(buckets: DataFrame, roots: DataFrame, sets_of, percent: int) ->
         if rows:
             yield _links(solve(at, rows))
 
-    return together.mapInArrow(connect, "u long, v long")
+    return in_batches(together).mapInArrow(connect, "u long, v long")
 
 
 def _links(pairs: list[tuple[int, int]]) -> pa.RecordBatch:

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, fold, labelled_sample
+from .common import documents, fold, in_batches, labelled_sample
 from .textvec import span_hashes, word_spans
 
 #: Learning rows of each label, the longest learning text, preference pairs and the ridge on weights.
@@ -105,9 +105,9 @@ class Model:
     @classmethod
     def fit(cls, texts: list[str], y: np.ndarray, sizes: dict[int, int]) -> Model:
         """``sizes``: documents of each label before sampling."""
-        x = np.array([features(t) for t in texts]).reshape(len(texts), -1)
-        good, bad = np.flatnonzero(y == 1), np.flatnonzero(y == 0)
         width = len(features(""))
+        x = np.array([features(t) for t in texts]).reshape(len(texts), width)
+        good, bad = np.flatnonzero(y == 1), np.flatnonzero(y == 0)
         if not len(good) or not len(bad):  # nothing to compare: everything is like what was seen
             return cls(np.zeros(width), np.ones(width), np.zeros(3 * width), -1.0 if len(good) or not len(bad) else 1.0, 1.0)
         mean, scale = x.mean(axis=0), x.std(axis=0) + 1e-3
@@ -149,7 +149,7 @@ def score_column(docs: DataFrame, scorer, names: list[str], column: str) -> Data
             values = scorer(batch.column(batch.num_columns - 1).to_pylist())
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(values, pa.float64())], names=[*names, column])
 
-    return docs.select(*names, F.col("text").alias("_text")).mapInArrow(run, schema)
+    return in_batches(docs.select(*names, F.col("text").alias("_text"))).mapInArrow(run, schema)
 
 
 def keep_rows(docs: DataFrame, keep) -> DataFrame:
@@ -160,7 +160,7 @@ def keep_rows(docs: DataFrame, keep) -> DataFrame:
         for batch in batches:
             yield batch.filter(pa.array(keep(batch.column(at).to_pylist()), pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return in_batches(docs).mapInArrow(run, docs.schema)
 
 
 def _score_texts(model: Model, texts: list[str | None]) -> np.ndarray:

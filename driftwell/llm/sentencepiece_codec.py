@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import documents
+from .common import documents, in_batches
 
 #: The model's mark. Inside, a plain space stands for it: texts have no other spaces then, and strings stay narrow.
 MARK = "▁"
@@ -191,7 +191,7 @@ def encode(docs: DataFrame, model: str, batch: int = 2000) -> DataFrame:
                     names=["doc_id", "n_ids", "ids", "decoded_crc32", "round_trip"],
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_ids long, ids array<int>, decoded_crc32 long, round_trip boolean")
+    return in_batches(docs.select("doc_id", "text"), batch).mapInArrow(run, "doc_id long, n_ids long, ids array<int>, decoded_crc32 long, round_trip boolean")
 
 
 def decode(encoded: DataFrame, model: str) -> DataFrame:
@@ -204,7 +204,7 @@ def decode(encoded: DataFrame, model: str) -> DataFrame:
                 [whole.column(0), pa.array([own.decode(x or []) for x in whole.column(1).to_pylist()], pa.string())], names=["doc_id", "text"]
             )
 
-    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")
+    return in_batches(encoded.select("doc_id", "ids")).mapInArrow(run, "doc_id long, text string")
 
 
 def default_model() -> str:

@@ -115,7 +115,7 @@ class Lexicon:
             weight = max([self.words.get(word, 0.0), *(self.stems.get(word[:k], 0.0) for k in self.lengths if len(word) >= k)])
             symbol = "insult" if weight else _SYMBOL.get(word, OTHER)
             found = (symbol, weight or (PRIOR_WEIGHT if symbol == "insult" else 0.0))
-            if len(self.memo) > 400_000:
+            if len(self.memo) > 150_000:
                 self.memo.clear()
             self.memo[word] = found
         return found
@@ -217,8 +217,8 @@ class Model:
         self.lexicon, self.weights = lexicon, weights
 
     def scores(self, texts: list[str | None]) -> np.ndarray:
-        x = np.array([[*evidence(t, self.lexicon), 1.0] for t in texts]).reshape(len(texts), -1)
-        return 1 / (1 + np.exp(-np.clip(x @ self.weights, -30, 30))) if len(texts) else np.zeros(0)
+        x = np.array([[*evidence(t, self.lexicon), 1.0] for t in texts]).reshape(len(texts), 6)
+        return 1 / (1 + np.exp(-np.clip(x @ self.weights, -30, 30)))
 
     @classmethod
     def fit(cls, texts: list[str], y: np.ndarray, sizes: dict[int, int]) -> Model:
