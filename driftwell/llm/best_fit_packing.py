@@ -33,79 +33,49 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tuple[i
     """
     left = Counter({n: c for n, c in counts.items() if c > 0})
     out: list[tuple[tuple[int, ...], int]] = []
-    opened: list[tuple[tuple[int, ...], int]] = []
 
     def times(pattern: tuple[int, ...]) -> int:
         return min(left[n] // k for n, k in Counter(pattern).items())
 
-    def use(pattern: tuple[int, ...], n: int) -> None:
-        for length, k in Counter(pattern).items():
-            left[length] -= k * n
-            if not left[length]:
-                del left[length]
-
-    def exact(top: int) -> tuple[int, ...] | None:
-        gap = capacity - top
+    def exact(held: tuple[int, ...]) -> tuple[int, ...] | None:
+        """``held`` with one, two or three more lengths that close its gap, as far as counts allow."""
+        gap = capacity - sum(held)
         if not gap:
-            return (top,)
-        if times((top, gap)) > 0:
-            return (top, gap)
-        alive = sorted((n for n in left if n <= gap), reverse=True)
+            return held
+        if times((*held, gap)):
+            return (*held, gap)
+        alive = [n for n in ordered[: bisect.bisect_right(ordered, gap)][::-1] if times((*held, n))]
         for a in alive:
-            if a >= gap - a > 0 and times((top, a, gap - a)) > 0:
-                return (top, a, gap - a)
+            if a >= gap - a and times((*held, a, gap - a)):
+                return (*held, a, gap - a)
         pairs: dict[int, tuple[int, int]] = {}
-        # Pair sums met so far, by sum: a third length looks its complement up.
-        for i, a in enumerate(alive):
-            if gap - a in pairs and times((top, *pairs[gap - a], a)) > 0:
-                return (top, *pairs[gap - a], a)
-            for b in alive[: i + 1]:
+        # Sums of pairs met so far: a third length looks its complement up.
+        for at, a in enumerate(alive):
+            for b in alive[: at + 1]:
                 if a + b < gap:
                     pairs.setdefault(a + b, (b, a))
-            # a may also stand with a pair that holds it
-            if gap - a in pairs and times((top, *pairs[gap - a], a)) > 0:
-                return (top, *pairs[gap - a], a)
+            if gap - a in pairs and times((*held, *pairs[gap - a], a)):
+                return (*held, *pairs[gap - a], a)
         return None
 
-    while left:
-        top = max(left)
-        pattern = exact(top)
-        if pattern:
-            n = times(pattern)
-            use(pattern, n)
-            out.append((pattern, n))
-        else:
-            opened.append(((top,), left.pop(top)))
-    # Nothing is left to close gaps exactly: best-fit the opened sequences into one another.
-    gaps: dict[int, list[list]] = {}
-    keys: list[int] = []
-
-    def put(pattern: tuple[int, ...], n: int) -> None:
-        gap = capacity - sum(pattern)
-        if gap not in gaps:
-            bisect.insort(keys, gap)
-        gaps.setdefault(gap, []).append([pattern, n])
-
-    for (length,), n in opened:
-        while n:
-            i = bisect.bisect_left(keys, length)
-            if i == len(keys):  # nothing open takes it: open as many as it needs, filled with its like
-                each = capacity // length
-                if n >= each:
-                    put((length,) * each, n // each)
-                if n % each:
-                    put((length,) * (n % each), 1)
+    ordered = sorted(left)
+    while ordered:
+        pattern: tuple[int, ...] = (ordered[-1],)
+        while (closed := exact(pattern)) is None:
+            # Best fit: the longest length that the gap takes, then look for complements again.
+            fits = ordered[: bisect.bisect_right(ordered, capacity - sum(pattern))]
+            longest = next((n for n in reversed(fits) if times((*pattern, n))), None)
+            if longest is None:
+                closed = pattern
                 break
-            held = gaps[keys[i]]
-            pattern, m = held.pop()
-            if not held:
-                del gaps[keys.pop(i)]
-            k = min(n, m)
-            if m > k:
-                put(pattern, m - k)
-            put((*pattern, length), k)
-            n -= k
-    out.extend((tuple(p), n) for held in gaps.values() for p, n in held)
+            pattern = (*pattern, longest)
+        n = times(closed)
+        out.append((closed, n))
+        for length, k in Counter(closed).items():
+            left[length] -= k * n
+            if not left[length]:
+                del left[length]
+                ordered.remove(length)
     return out
 
 

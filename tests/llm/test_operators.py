@@ -157,7 +157,8 @@ def test_plan_uses_every_piece_and_is_tight():
         assert used == Counter(counts)
         total = sum(n for _, n in patterns)
         least = -(-sum(k * v for k, v in counts.items()) // 1024)
-        assert total <= max(least * 1.03 + 1, sum(v for k, v in counts.items() if k > 512))
+        # Neither the filled volume nor the pieces over half a sequence can be undercut.
+        assert total <= 1.005 * max(least, sum(v for k, v in counts.items() if k > 512)) + 1
     assert sum(n for _, n in best_fit_packing.plan({700: 5, 324: 5, 600: 3, 212: 6})) == 8
 
 
