@@ -32,6 +32,8 @@ PER_CLASS, MAX_CHARS = 1500, 100_000
 FOLDS, HELD_OUT, REJECT = 3, 1, 0.7
 #: Stem lengths, and the evidence (nats beyond the log of the candidates tried) an arc needs.
 STEMS, EVIDENCE = range(3, 10), 5.0
+#: Words of one stem that a learning text counts for, and the parts that evidence is learned across.
+STEM_WORDS, PARTS = 3, 4
 PRIOR_WEIGHT = 3.0
 
 # Words of the grammar in four languages.
@@ -135,6 +137,7 @@ class Lexicon:
         common = {arc for arc, n in common.items() if n >= 3}
         near: dict[str, set[int]] = {arc: set() for arc in common}
         family: dict[str, Counter] = defaultdict(Counter)  # of a stem: how many toxic texts have each word
+        inside: Counter = Counter()  # of a stem: its words in toxic texts
         mass = [0, 0]
         for t in toxic:
             arcs = _arcs(t)
@@ -146,30 +149,49 @@ class Lexicon:
                     for k in STEMS:
                         if len(arc) > k + 1 and arc[:k] in common:
                             family[arc[:k]][arc] += 1
+            inside.update(_stem_words(arcs, common))
         beyond: Counter = Counter()
         for t in clean:
             arcs = _arcs(t)
             mass[0] += sum(arc[-1] == "$" for arc in arcs)
-            beyond.update(common.intersection(arcs))
+            beyond.update(arc for arc in common.intersection(arcs) if arc[-1] == "$")
+            beyond.update(_stem_words(arcs, common))
         share = (mass[1] + 1) / (mass[0] + mass[1] + 2)
         need = log(tried + 1) + EVIDENCE
-        words, stems = {}, {}
+        proven = []
         for arc, seen in near.items():
             a, b = len(seen), beyond[arc]
-            if arc[-1] != "$":  # a stem stands for many words: its commonest one proves nothing
-                a -= family[arc].most_common(1)[0][1]
+            if arc[-1] != "$":
+                # A stem stands for many words (its commonest one proves nothing) in several surroundings.
+                if min(a, sum(family[arc].values()) - family[arc].most_common(1)[0][1]) < 3:
+                    continue
+                a = inside[arc] - family[arc].most_common(1)[0][1]
                 if a < 3:
                     continue
             odds = log((a + 0.5) / (b + 0.5) * (1 - share) / share)
             found = a * log(a / ((a + b) * share)) + (b * log(b / ((a + b) * (1 - share))) if b else 0.0)
             if odds > 1.5 and found > need:
-                if arc[-1] == "$":
-                    words[arc[:-1]] = min(odds, 6.0)
-                else:
-                    stems[arc] = min(odds, 6.0)
+                proven.append((-found, arc, min(odds, 6.0)))
+        words: dict[str, float] = {}
+        stems: dict[str, float] = {}
+        # Of a stem, what it begins with and what begins with it, the best proven alone stays.
+        for _, arc, odds in sorted(proven):
+            bare = arc.rstrip("$")
+            if any(bare[:k] in stems for k in range(STEMS[0], len(bare) + 1)):
+                continue
+            if arc[-1] == "$":
+                words[bare] = odds
+            elif not any(held.startswith(bare) for held in (*stems, *words)):
+                stems[bare] = odds
         return cls(words, stems)
 
 
+def _stem_words(arcs: dict[str, int], known: set[str]) -> Counter:
+    """How many different words of a text have each known stem, at most STEM_WORDS, so that no text proves much alone."""
+    count = Counter(arc[:k] for arc in arcs if arc[-1] == "$" for k in STEMS if len(arc) > k + 1 and arc[:k] in known)
+    return Counter({stem: min(n, STEM_WORDS) for stem, n in count.items()})
+
+
 def _arcs(text: str) -> dict[str, int]:
     """Each whole word (marked by a final $) and stem of a text, with a hash of the words beside its first place."""
     words = _WORD.findall(text.lower())
@@ -222,12 +244,12 @@ class Model:
 
     @classmethod
     def fit(cls, texts: list[str], y: np.ndarray, sizes: dict[int, int]) -> Model:
-        # Evidence of each half comes from a lexicon learned on the other, as with new texts.
-        half = np.arange(len(texts)) % 2
+        # Evidence of each part comes from a lexicon learned on the others, as with new texts.
+        part = np.arange(len(texts)) % PARTS
         x = np.zeros((len(texts), 6))
-        for h in (0, 1):
-            other = Lexicon.learn([t for t, k in zip(texts, half, strict=True) if k != h], y[half != h])
-            for i in np.flatnonzero(half == h):
+        for h in range(PARTS):
+            other = Lexicon.learn([t for t, k in zip(texts, part, strict=True) if k != h], y[part != h])
+            for i in np.flatnonzero(part == h):
                 x[i] = [*evidence(texts[i], other), 1.0]
         count = np.bincount(y, minlength=2)
         weight = np.array([sizes.get(k, 0) / max(count[k], 1) for k in (0, 1)])[y]
