@@ -28,6 +28,16 @@ END_ID = 2
 def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tuple[int, ...], int]]:
     """Patterns of lengths (longest first, together at most ``capacity``) and how often to use each.
 
+    Triples close more gaps but use up short lengths early, which can cost a few sequences where
+    lengths are sparse. So plans with combinations of up to three, two and one are made and the one
+    of the fewest sequences is taken (of equals, that of the larger combinations).
+    """
+    return min((_plan(counts, capacity, most) for most in (3, 2, 1)), key=lambda p: sum(n for _, n in p))
+
+
+def _plan(counts: dict[int, int], capacity: int, most: int) -> list[tuple[tuple[int, ...], int]]:
+    """A plan whose gaps close with exact combinations of at most ``most`` lengths.
+
     Every step uses up at least one length or halves it, so there are few patterns: their number
     depends on ``capacity`` alone.
     """
@@ -38,16 +48,20 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tuple[i
         return min(left[n] // k for n, k in Counter(pattern).items())
 
     def exact(held: tuple[int, ...]) -> tuple[int, ...] | None:
-        """``held`` with one, two or three more lengths that close its gap, as far as counts allow."""
+        """``held`` with up to ``most`` more lengths that close its gap, as far as counts allow."""
         gap = capacity - sum(held)
         if not gap:
             return held
         if times((*held, gap)):
             return (*held, gap)
+        if most == 1:
+            return None
         alive = [n for n in ordered[: bisect.bisect_right(ordered, gap)][::-1] if times((*held, n))]
         for a in alive:
             if a >= gap - a and times((*held, a, gap - a)):
                 return (*held, a, gap - a)
+        if most == 2:
+            return None
         pairs: dict[int, tuple[int, int]] = {}
         # Sums of pairs met so far: a third length looks its complement up.
         for at, a in enumerate(alive):
