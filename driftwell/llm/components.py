@@ -43,5 +43,6 @@ def _directed(edges: DataFrame) -> DataFrame:
 
 
 def _digest(edges: DataFrame) -> tuple:
-    sums = edges.agg(F.count("*"), F.sum(F.shiftright(F.xxhash64("u", "v"), 8)), F.expr("bit_xor(xxhash64(v, u))")).first()
+    # Sums of 64-bit hashes leave the range of a long, which raises under ANSI; decimals hold them for any number of edges.
+    sums = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(28,0)")), F.expr("bit_xor(xxhash64(v, u))")).first()
     return tuple(sums)

@@ -126,6 +126,12 @@ def test_components_of_a_long_chain(spark):
     assert {(r.node, r.root) for r in connected_components(edges).collect()} == {(i, 0) for i in range(61)} | {(100, 100), (101, 100)}
 
 
+def test_components_of_a_million_links(spark):
+    edges = spark.range(1_000_000).selectExpr("2 * id AS u", "2 * id + 1 AS v")
+    got = connected_components(edges)
+    assert got.count() == 2_000_000 and got.where("root <> node - node % 2").count() == 0
+
+
 def test_patience_blocks():
     assert line_dedup.patience_blocks([1, 2, 3, 4], [9, 2, 3, 8, 4]) == [(1, 1, 2), (3, 4, 1)]
     assert line_dedup.patience_blocks([], [1]) == [] and line_dedup.patience_blocks([5, 5], [5, 5, 5]) == [(0, 0, 2)]
