@@ -1,7 +1,8 @@
 """Line dedup by pairwise alignment.
 
-Documents that share a line are paired with the earliest document that holds it, so a line in
-any number of documents makes one pair for each of them. Each pair is aligned on line hashes
+Documents that share a line, or a run of lines that together have the words of a block, are paired
+with the earliest document that holds it, so a line in any number of documents makes one pair for
+each of them. Each pair is aligned on line hashes
 by patience diff: lines unique to both sides anchor a longest increasing run, runs grow over
 equal neighbours, and the gaps between are aligned likewise. Aligned blocks of enough words go
 from the later document.
@@ -16,11 +17,13 @@ import bisect
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import NULL_ID, documents, in_batches, materialise
+from .textvec import _powers, mix
 
 #: Words of the shortest line that pairs documents, and of the shortest block that is deleted.
 MIN_LINE_WORDS, MIN_BLOCK_WORDS = 5, 10
@@ -69,7 +72,8 @@ def lost_lines(old: list[int], new: list[int], words: list[int], least: int) ->
     """Line numbers of ``new`` in aligned blocks of at least ``least`` words.
 
     What is left is aligned again until nothing is found, so that blocks in another order than
-    in ``old``, and further copies of a block, go as well.
+    in ``old``, and further copies of a block, go as well. At last goes what stands in ``old`` but
+    no alignment took.
     """
     lost: set[int] = set()
     while True:
@@ -77,8 +81,60 @@ def lost_lines(old: list[int], new: list[int], words: list[int], least: int) ->
         rest = [("", j) if j in lost else h for j, h in enumerate(new)] if lost else new
         found = [range(b, b + n) for _, b, n in patience_blocks(old, rest) if sum(words[b : b + n]) >= least]
         if not found:
-            return sorted(lost)
+            break
         lost.update(*found)
+    # Blocks that a crossing line kept out of every alignment.
+    rest = [("", j) if j in lost else h for j, h in enumerate(new)]
+    lost.update(*(range(j, j + n) for j, n in _common_runs(old, rest) if sum(words[j : j + n]) >= least))
+    return sorted(lost)
+
+
+def _common_runs(old: list, new: list) -> list[tuple[int, int]]:
+    """(start in new, length) of every run of ``new`` that stands in ``old`` and cannot grow to the
+    right: one pass over a suffix automaton of ``old``."""
+    known = set(old)
+    if not any(h in known for h in new):
+        return []
+    step: list[dict] = [{}]
+    link, length = [-1], [0]
+    last = 0
+    for h in old:
+        at = len(step)
+        step.append({})
+        link.append(0)
+        length.append(length[last] + 1)
+        p = last
+        while p >= 0 and h not in step[p]:
+            step[p][h] = at
+            p = link[p]
+        if p >= 0:
+            q = step[p][h]
+            if length[q] != length[p] + 1:
+                twin = len(step)
+                step.append(dict(step[q]))
+                link.append(link[q])
+                length.append(length[p] + 1)
+                while p >= 0 and step[p].get(h) == q:
+                    step[p][h] = twin
+                    p = link[p]
+                link[q] = twin
+                q = twin
+            link[at] = q
+        last = at
+    runs: list[tuple[int, int]] = []
+    state = n = 0
+    for j, h in enumerate(new):
+        grown = h in step[state]
+        if not grown and n:
+            runs.append((j - n, n))
+        while state and h not in step[state]:
+            state = link[state]
+            n = length[state]
+        if h in step[state]:
+            state, n = step[state][h], n + 1
+    if n:
+        runs.append((len(new) - n, n))
+    return runs
 
 
 def _increasing(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -116,12 +172,41 @@ def _hashed(docs: DataFrame) -> DataFrame:
     )
 
 
+def _runs(hashed: DataFrame, min_line_words: int, min_block_words: int) -> DataFrame:
+    """(did, th, h): hashes of the shortest runs of lines with ``min_block_words`` words from each line
+    on. Any block that may be deleted begins with one. Single lines that pair anyway are left out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lines, words = batch.column(2), batch.column(3)
+            h = lines.flatten().to_numpy().view(np.uint64)
+            sums = np.concatenate([[0], np.cumsum(words.flatten().to_numpy(), dtype=np.int64)])
+            sizes = np.diff(lines.offsets.to_numpy())
+            row = np.repeat(np.arange(batch.num_rows), sizes)
+            stop = np.cumsum(sizes)[row]
+            start = np.arange(len(h))
+            end = np.searchsorted(sums, sums[:-1] + min_block_words)
+            own = np.diff(sums)
+            use = (end <= stop) & (own > 0) & ((end > start + 1) | (own < min_line_words))
+            row, start, end = row[use], start[use], end[use]
+            forward, backward = _powers(len(h) + 1)
+            prefix = np.zeros(len(h) + 1, dtype=np.uint64)
+            np.cumsum(mix(h) * forward[: len(h)], out=prefix[1:])
+            found = mix((prefix[end] - prefix[start]) * backward[start])
+            once = np.unique(np.stack([row.astype(np.uint64), found], axis=1), axis=0)
+            row = pa.array(once[:, 0].astype(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(row), batch.column(1).take(row), pa.array(once[:, 1].copy().view(np.int64))], names=["did", "th", "h"])
+
+    return in_batches(hashed.select("did", "th", "lines", "words")).mapInArrow(run, "did long, th long, h long")
+
+
 def deletions(docs: DataFrame, min_line_words: int = MIN_LINE_WORDS, min_block_words: int = MIN_BLOCK_WORDS) -> DataFrame:
     """(did, th, gone): for each row key that loses lines, their 0-based numbers."""
     hashed = materialise(_hashed(docs).dropDuplicates(["did", "th"]), "lines")
     key = F.struct("did", "th")
     long_lines = F.arrays_zip("lines", "words")
     held = hashed.select("did", "th", F.explode(F.array_distinct(F.transform(F.filter(long_lines, lambda x: x["words"] >= min_line_words), lambda x: x["lines"]))).alias("h"))
+    held = held.unionByName(_runs(hashed, min_line_words, min_block_words))
     first = held.groupBy("h").agg(F.min(key).alias("first"), F.count("*").alias("n")).where("n > 1").select("h", "first")
     first = materialise(first, "holders")  # so that the join below has plain exchanges, which AQE splits
     pairs = held.join(first, "h").where((F.col("did") != F.col("first.did")) | (F.col("th") != F.col("first.th")))

@@ -141,6 +141,26 @@ def test_patience_blocks():
     assert line_dedup.lost_lines([1], [1, 2], [3, 3], 10) == []
 
 
+def test_blocks_crossed_by_a_short_line_go():
+    assert line_dedup.lost_lines([1, 2], [2, 1], [20, 3], 10) == [0]
+    rng = random.Random(4)
+    for _ in range(500):
+        old, new = ([rng.randrange(6) for _ in range(rng.randrange(9))] for _ in range(2))
+        words = [rng.randrange(1, 8) for _ in new]
+        kept = set(range(len(new))) - set(line_dedup.lost_lines(old, new, words, 10))
+        for j, n in ((j, n) for j in range(len(new)) for n in range(1, len(new) - j + 1)):
+            if kept.issuperset(range(j, j + n)) and sum(words[j : j + n]) >= 10:
+                assert new[j : j + n] not in [old[i : i + n] for i in range(len(old))]
+
+
+def test_runs_of_lines_pair_documents(spark):
+    a, b = "one two three four five six", "seven eight nine ten eleven twelve"
+    short = "\n".join(f"v{i} w{i} x{i}" for i in range(4))
+    rows = [(1, a, "en"), (2, b, "en"), (3, f"{a}\n{b}\nthird", "en"), (4, f"fourth\n{a}\n{b}", "en"), (5, f"{short}\nfifth", "en"), (6, f"sixth\n\n{short}", "en")]
+    got = {r.doc_id: r.lines_removed for r in line_dedup.line_dedup(frame(spark, rows)).collect()}
+    assert got == {1: [], 2: [], 3: [], 4: [1, 2], 5: [], 6: [2, 3, 4, 5]}
+
+
 def test_line_dedup_deletes_from_the_later(spark):
     shared = " ".join(f"w{i}" for i in range(60))
     rows = [(1, f"first line of one here\n{shared}\nend", "en"), (2, f"two starts otherwise now\n  {shared}\nbye", "en"), (3, "all alone in this world", "en"), (4, shared, "en")]
