@@ -214,6 +214,18 @@ def test_packing_matches_the_tokenizer(spark):
         assert at <= 1024
 
 
+def test_packing_keeps_added_tokens_whole(spark):
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    whole = Tokenizer.from_file(path)
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|><|endoftext|>\n y", "<|endoftext |> <|endoftext|", "  <|endoftext|>  z"]
+    got = {r.doc_id: (r.length, r.ids_crc32) for r in best_fit_packing.pack(frame(spark, [(i, t, "en") for i, t in enumerate(texts)]), path).collect()}
+    for i, t in enumerate(texts):
+        ids = np.array([*whole.encode(t, add_special_tokens=False).ids, 2], dtype="<u4")
+        assert got[i] == (len(ids), crc32(ids.tobytes()))
+
+
 def test_sentencepiece_equals_the_library(spark):
     import sentencepiece
 
