@@ -84,6 +84,12 @@ def lost_lines(old: list[int], new: list[int], words: list[int], least: int) ->
             break
         lost.update(*found)
     # Blocks that a crossing line kept out of every alignment.
+    known, most, run = set(old), 0, 0
+    for j, h in enumerate(new):
+        run = run + words[j] if h in known and j not in lost else 0
+        most = max(most, run)
+    if most < least:
+        return sorted(lost)
     rest = [("", j) if j in lost else h for j, h in enumerate(new)]
     lost.update(*(range(j, j + n) for j, n in _common_runs(old, rest) if sum(words[j : j + n]) >= least))
     return sorted(lost)
@@ -92,9 +98,6 @@ def lost_lines(old: list[int], new: list[int], words: list[int], least: int) ->
 def _common_runs(old: list, new: list) -> list[tuple[int, int]]:
     """(start in new, length) of every run of ``new`` that stands in ``old`` and cannot grow to the
     right: one pass over a suffix automaton of ``old``."""
-    known = set(old)
-    if not any(h in known for h in new):
-        return []
     step: list[dict] = [{}]
     link, length = [-1], [0]
     last = 0
