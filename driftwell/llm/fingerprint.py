@@ -23,8 +23,12 @@ from .textvec import _BYTE, _powers, mix
 
 #: Bytes of a window, and how far a selected window's rank is the least on either side.
 WINDOW, REACH = 24, 16
-#: A shorter text has windows of SHORT bytes (a quarter of the text if that is less), all of them selected.
+#: A text of less than twice SHORT_BYTES has windows of SHORT bytes, one of less than twice TINY_BYTES windows of TINY
+#: bytes, all of them selected; the wider kind begins at SHORT_BYTES and TINY_BYTES, so that there are both kinds
+#: between. Editing keeps the number of characters and at most doubles or halves the bytes, so a text and its edited
+#: text have a kind in common.
 SHORT_BYTES, SHORT = 192, 6
+TINY_BYTES, TINY = 24, 2
 #: Bits and hashes of a filter, and the features after which a new one is chained.
 BITS, HASHES, FULL = 2048, 4, 160
 
@@ -64,13 +68,12 @@ def window_hashes(data: np.ndarray, width: int) -> np.ndarray:
 
 
 def features(raw: bytes, rank: np.ndarray) -> np.ndarray:
-    """Distinct hashes of the selected windows in order of position."""
+    """Distinct hashes of the selected windows, each kind in order of position."""
     data = np.frombuffer(raw, dtype=np.uint8)
     if not len(data):
         return np.zeros(0, dtype=np.uint64)
-    if len(data) < SHORT_BYTES:
-        found = window_hashes(data, max(1, min(SHORT, len(data) // 4)))
-    else:
+    parts = []
+    if len(data) >= SHORT_BYTES:
         hashes = window_hashes(data, WINDOW)
         key = (rank[entropy_levels(data)].astype(np.uint64) << _U(48)) | (hashes >> _U(16))
         # Least of REACH on either side, by doubling.
@@ -82,7 +85,12 @@ def features(raw: bytes, rank: np.ndarray) -> np.ndarray:
             least = np.minimum(least[:-span], least[span:])
             span *= 2
         least = np.minimum(least[: len(key)], least[width - span : width - span + len(key)])
-        found = hashes[key == least]
+        parts.append(hashes[key == least])
+    if TINY_BYTES <= len(data) < 2 * SHORT_BYTES:
+        parts.append(window_hashes(data, SHORT))
+    if len(data) < 2 * TINY_BYTES:
+        parts.append(window_hashes(data, min(TINY, len(data))))
+    found = np.concatenate(parts)
     _, first = np.unique(found, return_index=True)
     return found[np.sort(first)]
 

@@ -277,6 +277,18 @@ def test_entropy_and_likeness():
     assert fingerprint.Digest.parse(x.text()).text() == x.text() and fingerprint.Digest.parse("").text() == ""
 
 
+@pytest.mark.parametrize("n", [3, 8, 15, 19, 23, 130, 150, 191, 220, 370])
+def test_likeness_where_windows_change(n):
+    rank = np.arange(fingerprint.LEVELS)
+    rng = random.Random(n)
+    plain = "".join(rng.choice("abcdefghijklmnopqrstuvw ") for _ in range(n))
+    digest = lambda t: fingerprint.Digest.of(fingerprint.features(t.encode(), rank))
+    for other in ("éèüößñ", "数学文字"):
+        new = fingerprint.edited(plain, "".join(rng.choice(other) for _ in range(n)))
+        assert fingerprint.likeness(digest(plain), digest(new)) > 0.2
+        assert fingerprint.likeness(digest(new), digest(plain)) > 0.2
+
+
 def test_fingerprints_follow_descending_ids(spark):
     rows = [(i, f"document number {i} " * (i % 9), "en") for i in range(0, 300, 3)]
     got = {r.doc_id: r for r in fingerprint.fingerprints(frame(spark, rows)).collect()}
