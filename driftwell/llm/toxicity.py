@@ -16,7 +16,6 @@ from __future__ import annotations
 
 import re
 from collections import Counter, defaultdict
-from itertools import product
 from math import log
 from zlib import crc32
 
@@ -44,12 +43,14 @@ WORDS = {
     "negation": "not no never nobody isn't aren't wasn't don't doesn't nicht kein keine nie niemals ne pas jamais aucun nunca jamás ni",
     "report": "said says wrote writes called claimed quoted reported alleged sagte schrieb behauptete dit écrit dijo escribió llamó",
 }
-OTHER = "other"
+OTHER, QUOTE = "other", "quote"
+QUOTES = "\"“”„«»"
 #: What a hit comes out as, and the factor on its weight.
 FACTORS = {"plain": 1.0, "aimed": 1.2, "denied": 0.5, "told": 0.5}
 
 _WORD = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)?")
-_CLAUSE = re.compile(r"[.!?;:\n]+")
+_TOKEN = re.compile(_WORD.pattern + f"|[{QUOTES}]")
+_CLAUSE = re.compile(r"([.!?;:\n]+)")
 
 
 class Transducer:
@@ -77,30 +78,45 @@ class Transducer:
         return Transducer(0, table)
 
 
-def _scope(opener: str, hit_map: dict[str, str], reach: int, also: tuple[str, ...] = ()) -> Transducer:
-    """After ``opener``, hits within ``reach`` symbols are rewritten by ``hit_map``."""
+def _scope(opener: str, hit_map: dict[str, str], reach: int, also: tuple[str, ...] = (), quoted: bool = False) -> Transducer:
+    """After ``opener``, hits within ``reach`` words are rewritten by ``hit_map``; with ``quoted``, also all
+    up to the end of a quotation that begins there (state ``reach + 1``)."""
     symbols = [*WORDS, OTHER, *also]
     table: dict[tuple[int, str], tuple[int, str]] = {}
-    for state, symbol in product(range(reach + 1), symbols):
-        if symbol == opener:
-            table[state, symbol] = (reach, symbol)
-        else:
+    for state in range(reach + 1 + quoted):
+        table[state, QUOTE] = (state, QUOTE)
+        for symbol in symbols:
             out = hit_map.get(symbol, symbol) if state else symbol
-            table[state, symbol] = (max(state - 1, 0), out)
+            if state > reach:
+                table[state, symbol] = (state, out)
+            elif symbol == opener:
+                table[state, symbol] = (reach, symbol)
+            else:
+                table[state, symbol] = (max(state - 1, 0), out)
+    if quoted:
+        for state in range(1, reach + 1):
+            table[state, QUOTE] = (reach + 1, QUOTE)
+        table[reach + 1, QUOTE] = (0, QUOTE)
     return Transducer(0, table)
 
 
+_SYMBOLS = [*WORDS, OTHER, QUOTE]
+_HITS = {"insult": "aimed", "threat": "aimed"}
+_TOLD = _scope("report", {"insult": "told", "threat": "told"}, 8, ("denied",), quoted=True)
+_IN_QUOTE = 9
+
+
 def grammar() -> Transducer:
-    """Negation (3 words), then reported speech (8 words), then target (6 words), as one machine."""
+    """Negation (3 words), then reported speech (8 words or a quotation), then target (6 words), as one machine."""
     denied = _scope("negation", {"insult": "denied", "threat": "denied"}, 3)
-    told = _scope("report", {"insult": "told", "threat": "told"}, 8, ("denied",))
-    aimed = _scope("target", {"insult": "aimed", "threat": "aimed"}, 6, ("denied", "told"))
-    symbols = [*WORDS, OTHER]
-    return denied.compose(told, symbols).compose(aimed, symbols)
+    aimed = _scope("target", _HITS, 6, ("denied", "told"))
+    return denied.compose(_TOLD, _SYMBOLS).compose(aimed, _SYMBOLS)
 
 
 _GRAMMAR = grammar()
-_SYMBOL = {w: s for s, ws in WORDS.items() for w in ws.split()}
+#: Reads what the grammar wrote from the end of the clause: a target also stands behind the threat it takes.
+_BEHIND = _scope("target", {"threat": "aimed"}, 6, ("aimed", "denied", "told"))
+_SYMBOL = {w: s for s, ws in WORDS.items() for w in ws.split()} | dict.fromkeys(QUOTES, QUOTE)
 
 
 class Lexicon:
@@ -209,10 +225,18 @@ def _arcs(text: str) -> dict[str, int]:
 
 def clause_weight(words: list[str], lexicon: Lexicon) -> float:
     """Weight of the clause's path: each hit's arc weight times the factor of what it comes out as."""
-    state, total = _GRAMMAR.start, 0.0
+    state, outs, weights = _GRAMMAR.start, [], []
     for word in words:
         symbol, weight = lexicon.read(word)
         state, out = _GRAMMAR.step(state, symbol)
+        outs.append(out)
+        weights.append(weight)
+    if "threat" in outs and "target" in outs:
+        state = _BEHIND.start
+        for i in range(len(outs) - 1, -1, -1):
+            state, outs[i] = _BEHIND.step(state, outs[i])
+    total = 0.0
+    for out, weight in zip(outs, weights, strict=True):
         if out in FACTORS:
             # A threat counts only where it is aimed at somebody.
             total += FACTORS[out] * (weight or (1.0 if out == "aimed" else 0.0))
@@ -221,13 +245,33 @@ def clause_weight(words: list[str], lexicon: Lexicon) -> float:
     return total
 
 
+def clauses(low: str) -> list[list[str]]:
+    """Words and quotation marks of each clause of a lower-cased text. A colon in reported speech ends
+    none, and in a reported quotation only the end of the line does."""
+    parts = _CLAUSE.split(low)
+    out: list[list[str]] = []
+    held: list[str] = []
+    state = _TOLD.start
+    for part, mark in zip(parts[::2], [*parts[1::2], "\n"], strict=True):
+        words = _TOKEN.findall(part)
+        held += words
+        if state or any(_SYMBOL.get(w) == "report" for w in words):
+            for w in words:
+                state, _ = _TOLD.step(state, _SYMBOL.get(w, OTHER))
+        if "\n" not in mark and (state == _IN_QUOTE or (state and mark == ":")):
+            continue
+        out.append(held)
+        held, state = [], _TOLD.start
+    return out
+
+
 def evidence(text: str | None, lexicon: Lexicon) -> list[float]:
     """Sums over the matched clauses of a whole text."""
     low = (text or "").lower()
     words = _WORD.findall(low)
     if not any(lexicon.read(w)[0] in ("insult", "threat") for w in set(words)):
         return [0.0, 0.0, 0.0, 0.0, 0.0]
-    weights = [w for c in _CLAUSE.split(low) if (w := clause_weight(_WORD.findall(c), lexicon)) > 0]
+    weights = [w for c in clauses(low) if (w := clause_weight(c, lexicon)) > 0]
     if not weights:
         return [0.0, 0.0, 0.0, 0.0, 0.0]
     total = sum(weights)

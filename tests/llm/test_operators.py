@@ -341,6 +341,16 @@ def test_grammar_composes():
     assert weight("kill the time") == 0.0 and weight("you i will kill") == 1.2
 
 
+def test_threats_and_reported_speech():
+    lexicon = toxicity.Lexicon({"grubbo": 4.0}, {})
+    weights = lambda text: [toxicity.clause_weight(c, lexicon) for c in toxicity.clauses(text.lower())]
+    assert weights("I will kill you") == [1.2] and weights("kill the time") == [0.0] and weights("I will kill. You") == [0.0, 0.0]
+    assert toxicity.evidence("I will kill you.", lexicon)[0] == 1.2
+    assert weights("he said: you grubbo") == [2.0] and weights("note: you grubbo") == [0.0, 4.8]
+    assert weights('he said: "go. one two three four five six seven eight nine. grubbo" and grubbo') == [6.0]
+    assert weights('he said "go\ngrubbo') == [0.0, 4.0] and weights('a "grubbo"') == [4.0]
+
+
 def test_undetermined_language(spark):
     rows, _ = corpus(3, 60)
     got = {r.doc_id: r for r in language_id.identify(frame(spark, [(500, None, None), (501, "12 34 ²", "en"), (502, "", "fr"), *rows]), language_id.fit(frame(spark, rows))).collect()}
