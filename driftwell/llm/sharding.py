@@ -1,6 +1,6 @@
 """Sharding along a Hilbert curve over document metadata.
 
-Language, source, length and the id are quantised to a few bits each; the cell's place on the
+Language, source and size are quantised to a few bits each; the cell's place on the
 Hilbert curve orders the rows, and the order is cut into runs of equal row counts. Neighbouring
 cells stay together, so a shard covers a small box in every dimension and ``zone_map`` prunes
 shards on any of them. Built-in functions only.
@@ -57,8 +57,8 @@ def hilbert_index(dims: list[Column], bits: int) -> list[tuple[str, Column]]:
 
 
 def _level(column: Column, bits: int) -> Column:
-    """A number's place on a logarithmic scale, in ``bits`` bits; null is 0."""
-    scaled = F.floor(F.log2(F.greatest(F.coalesce(column, F.lit(0)), F.lit(0)) + 1) * 3)
+    """A number's place on a logarithmic scale, in ``bits`` bits, one step a doubling: 5 bits reach 2 GB. Null is 0."""
+    scaled = F.floor(F.log2(F.greatest(F.coalesce(column, F.lit(0)), F.lit(0)) + 1))
     return F.least(scaled, F.lit((1 << bits) - 1)).cast("int")
 
 

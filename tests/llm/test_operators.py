@@ -263,6 +263,11 @@ def test_shards_are_even_and_gapless(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "out")).count() == 101 and zones.count() == 4
 
 
+def test_sizes_have_levels_of_their_own(spark):
+    docs = frame(spark, [(i, "x" * 4**i, "en") for i in range(1, 11)])
+    assert len({r.d_size for r in sharding.hilbert_shards(docs, 2).collect()}) >= 8
+
+
 def test_entropy_and_likeness():
     data = np.random.default_rng(1).integers(97, 105, 300).astype(np.uint8)
     w = fingerprint.WINDOW
