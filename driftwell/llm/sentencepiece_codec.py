@@ -9,7 +9,8 @@ and where it starts, as in Viterbi search; words are read off by following the s
 The vocabulary at hand is a BPE model, whose result is not the path of greatest score. Its
 recurrence is: the segmentation of a prefix ends in the one piece that may follow the
 segmentation of what precedes it, and two pieces may stand side by side exactly when BPE
-leaves their concatenation as these two. Unigram models take the greatest sum of scores.
+leaves their concatenation as these two. Unigram models, which take the greatest sum of scores, are
+refused.
 """
 
 from __future__ import annotations
@@ -33,7 +34,7 @@ MEMO = 1_000_000
 
 
 class Codec:
-    """Encoder and decoder of one model file. ``unigram`` picks the recurrence."""
+    """Encoder and decoder of one BPE model file; another kind of model raises a ValueError."""
 
     def __init__(self, model: str):
         import sentencepiece
@@ -56,6 +57,8 @@ class Codec:
                 self.surface.append(piece.replace(MARK, " ").encode())
         self.scores = [sp.get_score(i) for i in range(n)]
         self.pieces = {i: p for p, i in self.ids.items()}
+        if not all(self.scores[i].is_integer() for i in self.pieces):
+            raise ValueError(f"{model} is not a BPE model: its scores are not ranks of merges")
         # BPE scores are the negative ranks of the merges, so they never repeat.
         #: Every ending of a piece: the id of the piece that it is, or -1.
         self.endings: dict[str, int] = {p[i:]: -1 for p in self.ids for i in range(len(p))} | self.ids

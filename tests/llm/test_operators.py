@@ -241,6 +241,19 @@ def test_sentencepiece_equals_the_library(spark):
     assert codec.decode(library.encode("a▁b")) == "a b"
 
 
+def test_unigram_models_are_refused(tmp_path):
+    import sentencepiece
+
+    rng = random.Random(6)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(rng.randrange(2, 7))) for _ in range(200)]
+    lines = [" ".join(rng.choice(words) for _ in range(20)) for _ in range(200)]
+    for kind in ("unigram", "bpe"):
+        sentencepiece.SentencePieceTrainer.train(sentence_iterator=iter(lines), model_prefix=str(tmp_path / kind), model_type=kind, vocab_size=60, minloglevel=2)
+    assert sentencepiece_codec.Codec(str(tmp_path / "bpe.model")).encode(["ab"])
+    with pytest.raises(ValueError, match="not a BPE model"):
+        sentencepiece_codec.Codec(str(tmp_path / "unigram.model"))
+
+
 def test_hilbert_curve_visits_neighbours(spark):
     bits = 3
     cells = spark.range(1 << (3 * bits)).select(*[F.shiftright("id", bits * i).bitwiseAND(F.lit(7)).alias(f"d{i}") for i in range(3)])
