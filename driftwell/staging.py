@@ -6,26 +6,55 @@ import atexit
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
+#: Local sessions without a checkpoint folder, and the folder of our own that serves each instead.
+_own: dict[str, str] = {}
 
-def stage(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` to the shared folder of ``spark.checkpoint.dir`` and read it back, which cuts its
-    lineage and survives lost executors. A folder of our own serves only where none is set."""
-    spark = df.sparkSession
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that the driver and all executors share: ``spark.checkpoint.dir``.
+
+    Where it is unset, a local session gets a temporary folder; on a cluster no folder can be taken
+    for shared, so that raises. The session's settings stay as they are.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        root = tempfile.mkdtemp(prefix="driftwell-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    path = f"{root.rstrip('/')}/driftwell/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-
-    def remove() -> None:
-        try:
-            at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-        except Exception:  # the session may be gone by then
-            pass
-
-    atexit.register(remove)
-    return spark.read.schema(df.schema).parquet(path)
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        app = spark.sparkContext.applicationId
+        if app not in _own:
+            _own[app] = tempfile.mkdtemp(prefix="driftwell-")
+        root = _own[app]
+    return root.rstrip("/")
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    try:
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    except Exception:  # the session may be gone by then
+        pass
+
+
+def stage(df: DataFrame, label: str) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back, which cuts its lineage.
+
+    A lost executor then costs at most the stage that was running. The table goes with ``drop``, at the
+    latest when the driver's interpreter ends.
+    """
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/driftwell/{label}-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    atexit.register(_remove, spark, path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._driftwell_path = path
+    return out
+
+
+def drop(*staged: DataFrame | None) -> None:
+    """Delete tables made by ``stage`` that nothing will read any more."""
+    for df in staged:
+        path = getattr(df, "_driftwell_path", None)
+        if path:
+            _remove(df.sparkSession, path)
