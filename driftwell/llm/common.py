@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from driftwell.staging import drop as drop  # noqa: PLC0414
+from driftwell.staging import stage as materialise
 
 #: Stands in for a null doc_id inside the operators, so that it joins and sorts; it never leaves them.
 NULL_ID = -(2**63)
@@ -18,37 +16,6 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share; a fresh one of our own only where none is set."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = tempfile.mkdtemp(prefix="driftwell-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root.rstrip("/")
-
-
-def _remove(spark: SparkSession, path: str) -> None:
-    try:
-        jvm = spark.sparkContext._jvm
-        at = jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-    except Exception:  # the session may be gone by then
-        pass
-
-
-def materialise(df: DataFrame, label: str) -> DataFrame:
-    """Cut the lineage: write ``df`` as a table in the shared folder and read it back.
-
-    A lost executor then costs at most the stage that was running. The table goes when the
-    driver's interpreter ends.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/driftwell/{label}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    atexit.register(_remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -60,9 +27,13 @@ def with_ranks(df: DataFrame, order: list[Column], label: str, out: str = "rank"
     drew, and the driver only adds up one count per partition. No task sees more than its range.
     """
     spark = df.sparkSession
+    # Rows equal in ``order`` are told apart by where they come from, so that any number of them is dealt out evenly.
+    order = [*order, F.col("_tie")]
     ordered = (
-        df.repartitionByRange(partitions(spark), *order)
+        df.withColumn("_tie", F.monotonically_increasing_id())
+        .repartitionByRange(partitions(spark), *order)
         .sortWithinPartitions(*order)
+        .drop("_tie")
         .withColumn("_at", F.monotonically_increasing_id())
     )
     staged = materialise(ordered, label)
@@ -87,19 +58,43 @@ def fold(doc_id: str | Column, n: int) -> Column:
     return F.pmod(F.crc32(column.cast("string").cast("binary")), F.lit(n))
 
 
-def first_per_class(rows: DataFrame, cls: str, key: str, per_class: int, sizes: dict) -> DataFrame:
-    """At most ``per_class`` rows of each class in ``sizes`` (about its number of rows), by hash of ``key``.
+def chosen_rows(rows: DataFrame, cls: str, per_class: int, total: int, max_bytes: int) -> tuple[list[tuple[int, int, object]], dict]:
+    """A sample of the distinct (did, th) of ``rows`` (did, th, bytes, ``cls``), and the rows of each class.
 
-    Of a large class only the hashes below a bound are looked at, some four times as many rows as are
-    wanted, so that no task has to rank a whole class.
+    Rows are taken in order of a hash of did and th, so a repeated doc_id with different texts is sampled row by
+    row. Each class gives at most ``per_class`` rows and its even share of ``total`` rows (one at least) and of
+    ``max_bytes`` bytes; a text that does not fit into what is left of that share is passed over. Only hashes below
+    a bound reach the driver: some four times as many short rows as are wanted, whatever the size of the table.
     """
+    counts = rows.groupBy(cls).agg(F.count("*").alias("n")).collect()
+    sizes = {r[cls]: r["n"] for r in counts}
     if not sizes:
-        return rows.where("false")
+        return [], {}
+    per_class = min(per_class, max(total // len(sizes), 1))
+    max_bytes //= len(sizes)
     span = 1 << 30
+    draw = F.pmod(F.xxhash64("did", "th"), F.lit(span))
     bounds = F.create_map(*[F.lit(x) for c, n in sizes.items() for x in (c, min(span, 4 * per_class * span // max(n, 1) + 1))])
-    near = rows.where(F.pmod(F.xxhash64(key), F.lit(span)) < F.element_at(bounds, F.col(cls)))
-    ranked = Window.partitionBy(cls).orderBy(F.pmod(F.xxhash64(key), F.lit(span)), F.col(key))
-    return near.withColumn("_r", F.row_number().over(ranked)).where(F.col("_r") <= per_class).drop("_r")
+    near = rows.where(draw < F.element_at(bounds, F.col(cls))).select(draw.alias("_draw"), "did", "th", "bytes", cls).distinct().collect()
+    taken: dict = {}
+    out = []
+    for _, did, th, size, c in sorted(near):
+        n, held = taken.get(c, (0, 0))
+        if n < per_class and held + size <= max_bytes:
+            taken[c] = (n + 1, held + size)
+            out.append((did, th, c))
+    return out, sizes
+
+
+def texts_of(docs: DataFrame, chosen: list[tuple[int, int, object]], kind: str) -> list[tuple[str, object]]:
+    """(text, class) of the ``chosen`` (did, th, class), in order of did and text: one row for each of them."""
+    if not chosen:
+        return []
+    wanted = docs.sparkSession.createDataFrame(chosen, f"did long, th long, _c {kind}")
+    keyed = docs.where(F.col("text").isNotNull()).select(F.col("doc_id").alias("did"), F.xxhash64("text").alias("th"), "text")
+    # As many rows as the sample has, which is bounded; copies of a row fall together before they leave a task.
+    rows = keyed.join(F.broadcast(wanted), ["did", "th"]).groupBy("did", "th", "_c").agg(F.first("text").alias("text")).collect()
+    return [(r["text"], r["_c"]) for r in sorted(rows, key=lambda r: (r["did"], r["text"], r["_c"]))]
 
 
 def in_batches(df: DataFrame, rows: int = 1000) -> DataFrame:
@@ -112,29 +107,23 @@ def in_batches(df: DataFrame, rows: int = 1000) -> DataFrame:
 
 
 def labelled_sample(
-    docs: DataFrame, labels: DataFrame, label: str, *, folds: int, held_out: int, per_class: int, max_chars: int
+    docs: DataFrame, labels: DataFrame, label: str, *, folds: int, held_out: int, per_class: int, max_bytes: int
 ) -> tuple[list[tuple[str, int]], dict[int, int]]:
-    """(text, label) of at most ``per_class`` learning rows of each class and the size of each class.
+    """(text, label) of at most ``per_class`` learning rows of each class (``max_bytes`` bytes in all), and how many
+    learning rows there are of each.
 
-    Learning rows are those whose ``fold`` is not ``held_out``. A doc_id labelled more than once
-    counts by its mean, halves up; null labels and ids are ignored; texts beyond ``max_chars``
-    and null texts are not sampled. The rows are few (2 * per_class), so they may be broadcast
-    and collected.
+    Learning rows are those of ``docs`` that have a label, a text and an id whose ``fold`` is not ``held_out``; labels
+    of absent documents count for nothing. A doc_id labelled more than once counts by its mean, halves
+    up; null labels are ignored. The rows are few, so they may be broadcast and collected.
     """
     known = (
         labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & (fold("doc_id", folds) != held_out))
-        .groupBy("doc_id")
+        .groupBy(F.col("doc_id").alias("did"))
         .agg((F.avg(label) >= 0.5).cast("int").alias("_y"))
     )
-    known = materialise(known, "labels")
-    sizes = {r["_y"]: r["n"] for r in known.groupBy("_y").agg(F.count("*").alias("n")).collect()}
-    chosen = first_per_class(known, "_y", "doc_id", per_class, sizes)
-    rows = (
-        docs.select("doc_id", "text")
-        .where(F.col("text").isNotNull() & (F.length("text") <= max_chars))
-        .join(F.broadcast(chosen), "doc_id")
-        .select("doc_id", "text", "_y")
-        .collect()
-    )
-    rows.sort(key=lambda r: (r["doc_id"], r["text"]))
-    return [(r["text"], r["_y"]) for r in rows], sizes
+    known = materialise(known, "labels")  # so that the join below has plain exchanges, which AQE splits
+    usable = docs.where(F.col("text").isNotNull()).select(F.col("doc_id").alias("did"), F.xxhash64("text").alias("th"), F.octet_length("text").alias("bytes"))
+    rows = materialise(usable.join(known, "did"), "labelled")
+    chosen, sizes = chosen_rows(rows, "_y", per_class, 2 * per_class, max_bytes)
+    drop(known, rows)
+    return texts_of(docs, chosen, "int"), sizes

@@ -17,13 +17,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, first_per_class, fold, in_batches
+from .common import chosen_rows, documents, drop, fold, in_batches, materialise, texts_of
 
 ORDERS = (1, 2, 3)
 BUCKET_BITS = 15
-#: Learning rows of one language at most, learning rows and landmarks in all (shared out evenly
-#: where there are many languages), and the longest learning text.
-PER_LANGUAGE, LEARNING, LANDMARKS, MAX_CHARS = 400, 4000, 256, 100_000
+#: Learning rows of one language at most; learning rows, landmarks and bytes of learning text in all, which
+#: the languages share evenly.
+PER_LANGUAGE, LEARNING, LANDMARKS, MAX_BYTES = 400, 4000, 256, 32 << 20
 RIDGE = 1e-2
 FOLDS, HELD_OUT = 5, 0
 
@@ -98,21 +98,20 @@ class Model:
 
 
 def fit(docs: DataFrame) -> Model:
-    """A model from at most PER_LANGUAGE texts of each language, none of the held-out fold."""
-    learn = F.coalesce(fold("doc_id", FOLDS), F.lit(0)) != HELD_OUT
-    sizes = docs.where(F.col("lang").isNotNull() & learn).groupBy("lang").agg(F.count("*").alias("n")).collect()
-    each = min(PER_LANGUAGE, max(LEARNING // max(len(sizes), 1), 1))
-    rows = docs.select("doc_id", "text", "lang").where(F.col("lang").isNotNull() & learn & F.col("text").isNotNull() & (F.length("text") <= MAX_CHARS))
-    chosen = first_per_class(rows.select("doc_id", "lang"), "lang", "doc_id", each, {r["lang"]: r["n"] for r in sizes})
-    picked = rows.join(F.broadcast(chosen.withColumnRenamed("lang", "_lang")), "doc_id").where("lang = _lang").select("doc_id", "text", "lang")
-    found = sorted((r["doc_id"], r["text"], r["lang"]) for r in picked.collect())
-    # A doc_id may repeat; the bound holds all the same.
-    kept, taken = [], {}
-    for _, text, lang in found:
-        taken[lang] = taken.get(lang, 0) + 1
-        if taken[lang] <= each and has_letter(text):
-            kept.append((text, lang))
-    return Model.fit([t for t, _ in kept], [x for _, x in kept])
+    """A model from at most PER_LANGUAGE texts of each language, none of the held-out fold.
+
+    Only rows that can teach something are counted and drawn: those with a language and a letter. They are
+    drawn row by row, so a doc_id that many rows share teaches like many ids.
+    """
+    learn = F.coalesce(fold("doc_id", FOLDS), F.lit(HELD_OUT)) != HELD_OUT
+    usable = docs.where(F.col("lang").isNotNull() & learn & F.col("text").rlike(r"\p{L}"))
+    rows = materialise(
+        usable.select(F.col("doc_id").alias("did"), F.xxhash64("text").alias("th"), F.octet_length("text").alias("bytes"), "lang"), "usable"
+    )
+    chosen, _ = chosen_rows(rows, "lang", PER_LANGUAGE, LEARNING, MAX_BYTES)
+    drop(rows)
+    found = [(text, lang) for text, lang in texts_of(docs, chosen, "string") if has_letter(text)]
+    return Model.fit([t for t, _ in found], [x for _, x in found])
 
 
 def identify(docs: DataFrame, model: Model, batch: int = 256) -> DataFrame:

@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 from .common import documents, fold, in_batches, labelled_sample
 from .textvec import span_hashes, word_spans
 
-#: Learning rows of each label, the longest learning text, preference pairs and the ridge on weights.
-PER_CLASS, MAX_CHARS, PAIRS, RIDGE = 2000, 200_000, 40_000, 1e-3
+#: Learning rows of each label, bytes of learning text in all, preference pairs and the ridge on weights.
+PER_CLASS, MAX_BYTES, PAIRS, RIDGE = 2000, 48 << 20, 40_000, 1e-3
 FOLDS, HELD_OUT = 3, 1
 
 
@@ -104,7 +104,7 @@ class Model:
 
     @classmethod
     def fit(cls, texts: list[str], y: np.ndarray, sizes: dict[int, int]) -> Model:
-        """``sizes``: documents of each label before sampling."""
+        """``sizes``: learning rows of each label before sampling."""
         width = len(features(""))
         x = np.array([features(t) for t in texts]).reshape(len(texts), width)
         good, bad = np.flatnonzero(y == 1), np.flatnonzero(y == 0)
@@ -136,7 +136,7 @@ class Model:
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
     """A model from at most PER_CLASS texts of each label outside the held-out fold."""
-    rows, sizes = labelled_sample(docs, labels, "quality", folds=FOLDS, held_out=HELD_OUT, per_class=PER_CLASS, max_chars=MAX_CHARS)
+    rows, sizes = labelled_sample(docs, labels, "quality", folds=FOLDS, held_out=HELD_OUT, per_class=PER_CLASS, max_bytes=MAX_BYTES)
     return Model.fit([t for t, _ in rows], np.array([y for _, y in rows], dtype=int), {0: 0, 1: 0} | sizes)
 
 
@@ -153,7 +153,11 @@ def score_column(docs: DataFrame, scorer, names: list[str], column: str) -> Data
 
 
 def keep_rows(docs: DataFrame, keep) -> DataFrame:
-    """The rows of ``docs``, with all columns, whose text ``keep`` (texts to booleans) accepts."""
+    """The rows of ``docs``, with all columns whatever their names, whose text ``keep`` (texts to booleans) accepts.
+
+    Each row is judged alone: repeated rows stay or go together, null texts are judged as None, and an
+    empty table gives an empty result.
+    """
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -168,14 +172,17 @@ def _score_texts(model: Model, texts: list[str | None]) -> np.ndarray:
 
 
 def accepted(docs: DataFrame, model: Model) -> DataFrame:
-    """The rows of ``docs`` that score 0.5 or more, with all their columns."""
+    """The rows of ``docs`` that score 0.5 or more, with all their columns; see ``keep_rows``."""
     return keep_rows(docs, lambda texts: _score_texts(model, texts) >= 0.5)
 
 
 def scored(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, held_out, score and predicted of every row; null texts score like empty ones, repeated
-    rows alike, and a null doc_id is not held out."""
+    """doc_id, held_out, score and predicted of every row.
 
+    Null texts score like empty ones, repeated rows alike, and a null doc_id is not held out. A score of exactly
+    0.5 is predicted 1. Without labels of both kinds all rows score alike. An empty table gives an empty
+    result; no other column is looked at.
+    """
     held = docs.select("doc_id", "text", F.coalesce(fold("doc_id", FOLDS) == HELD_OUT, F.lit(False)).alias("held_out"))
     out = score_column(held, lambda texts: _score_texts(model, texts), ["doc_id", "held_out"], "score")
     return out.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
