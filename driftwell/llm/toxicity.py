@@ -1,23 +1,24 @@
 """Toxicity by a weighted finite-state pattern grammar.
 
-Clauses are read by a cascade of transducers. The lexicon maps words to symbols (insult, threat,
-target, negation, report, other); negation rewrites what falls into its scope, reported
-speech what it introduces, and target marks hits aimed at somebody. The three are composed once
-into a single deterministic machine. A clause that matches gets the weight of its best path
-(greatest sum of arc weights), and the document's score is the logistic of sums over matched
-clauses.
+Clauses are read by a cascade of weighted transducers, composed as they run. The lexicon reads a word as one
+or more symbols (insult, threat, target, negation, report, other), each with a weight, so reading is
+nondeterministic. Negation and reported speech take half the weight of what falls into their scope. The
+target transducer lets a threat count only where a target stands on either side, and raises an insult that
+does; what stands ahead is guessed and has to come true before the clause ends. The insult transducer lets an
+insult without a target count only where it is said of something: a clause that is one lone
+word matches nothing. A clause gets the weight of its best path (greatest sum over accepted hits of arc weight times
+the factors on the way), and the document's score is the logistic of sums over matched clauses.
 
 Lexicon weights are learned: an arc, a whole word or a word stem, is kept when it stands in
 documents labelled toxic far more often than chance allows, counted over different neighbouring
-words, so that copies of a document are no evidence of their own.
+words, so that copies of a document are no evidence of their own. An arc that mostly stands beside a target becomes
+a threat, one that mostly stands beside insults and threats a target, any other an insult.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter, defaultdict
 from math import log
-from zlib import crc32
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -26,14 +27,15 @@ from pyspark.sql import functions as F
 from .common import documents, fold, labelled_sample
 from .quality import keep_rows, score_column
 
-#: Learning rows of each label and the longest learning text.
-PER_CLASS, MAX_CHARS = 1500, 100_000
+#: Learning rows of each label, and bytes of learning text in all.
+PER_CLASS, MAX_BYTES = 1500, 32 << 20
 FOLDS, HELD_OUT, REJECT = 3, 1, 0.7
 #: Stem lengths, and the evidence (nats beyond the log of the candidates tried) an arc needs.
 STEMS, EVIDENCE = range(3, 10), 5.0
 #: Words of one stem that a learning text counts for, and the parts that evidence is learned across.
 STEM_WORDS, PARTS = 3, 4
-PRIOR_WEIGHT = 3.0
+#: Weights of seed insults and seed threats, and the share of an arc's places that decides what it becomes.
+PRIOR_WEIGHT, THREAT_WEIGHT, MOSTLY = 3.0, 1.0, 0.5
 
 # Words of the grammar in four languages.
 WORDS = {
@@ -45,204 +47,291 @@ WORDS = {
 }
 OTHER, QUOTE = "other", "quote"
 QUOTES = "\"“”„«»"
-#: What a hit comes out as, and the factor on its weight.
-FACTORS = {"plain": 1.0, "aimed": 1.2, "denied": 0.5, "told": 0.5}
+#: Words that a scope reaches: behind a negation, behind reported speech, and on either side of a target.
+NEGATED, TOLD, AIMED = 3, 8, 6
+#: Factors on a hit's weight.
+DENIED_FACTOR, TOLD_FACTOR, AIMED_FACTOR = 0.5, 0.5, 1.2
 
 _WORD = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)?")
 _TOKEN = re.compile(_WORD.pattern + f"|[{QUOTES}]")
 _CLAUSE = re.compile(r"([.!?;:\n]+)")
+_SEED = {w: s for s, ws in WORDS.items() for w in ws.split()} | dict.fromkeys(QUOTES, QUOTE)
+_HITS = ("insult", "threat")
+_IN_QUOTE = TOLD + 1
+
+
+def negation(state: int, symbol: str) -> list[tuple[int, str, float]]:
+    """State: words left in the scope."""
+    if symbol == QUOTE:
+        return [(state, symbol, 1.0)]
+    if symbol == "negation":
+        return [(NEGATED, symbol, 1.0)]
+    return [(max(state - 1, 0), symbol, DENIED_FACTOR if state and symbol in _HITS else 1.0)]
+
+
+def reported(state: int, symbol: str) -> list[tuple[int, str, float]]:
+    """State: words left in the scope, or _IN_QUOTE up to the end of a quotation that begins in it."""
+    if symbol == QUOTE:
+        return [(0 if state in (0, _IN_QUOTE) else _IN_QUOTE, symbol, 1.0)]
+    factor = TOLD_FACTOR if state and symbol in _HITS else 1.0
+    if state == _IN_QUOTE:
+        return [(state, symbol, factor)]
+    return [(TOLD if symbol == "report" else max(state - 1, 0), symbol, factor)]
+
+
+def target(state: tuple[int, int], symbol: str) -> list[tuple[tuple[int, int], str, float]]:
+    """State: words for which the last target still reaches, and words within which a promised one has to come."""
+    seen, owed = state
+    if symbol == QUOTE:
+        return [(state, symbol, 1.0)]
+    if symbol == "target":
+        return [((AIMED, 0), symbol, 1.0)]
+    if owed == 1:
+        return []  # the promise is broken
+    on = (max(seen - 1, 0), max(owed - 1, 0))
+    if symbol not in _HITS:
+        return [(on, symbol, 1.0)]
+    out = [(on, "insult" if symbol == "insult" else OTHER, 1.0)]
+    if seen or owed:
+        out.append((on, "aimed", AIMED_FACTOR))
+    else:
+        out.append(((on[0], AIMED), "aimed", AIMED_FACTOR))
+    return out
 
 
-class Transducer:
-    """A deterministic machine: ``step(state, symbol)`` gives the next state and the symbol written."""
-
-    def __init__(self, start: int, table: dict[tuple[int, str], tuple[int, str]]):
-        self.start, self.table = start, table
-
-    def step(self, state: int, symbol: str) -> tuple[int, str]:
-        return self.table.get((state, symbol), (state, symbol))
-
-    def compose(self, after: Transducer, symbols: list[str]) -> Transducer:
-        """The machine that feeds what this one writes to ``after``; only reachable states are built."""
-        ids = {(self.start, after.start): 0}
-        todo, table = [(self.start, after.start)], {}
-        while todo:
-            pair = todo.pop()
-            for symbol in symbols:
-                s, mid = self.step(pair[0], symbol)
-                t, out = after.step(pair[1], mid)
-                if (s, t) not in ids:
-                    ids[s, t] = len(ids)
-                    todo.append((s, t))
-                table[ids[pair], symbol] = (ids[s, t], out)
-        return Transducer(0, table)
-
-
-def _scope(opener: str, hit_map: dict[str, str], reach: int, also: tuple[str, ...] = (), quoted: bool = False) -> Transducer:
-    """After ``opener``, hits within ``reach`` words are rewritten by ``hit_map``; with ``quoted``, also all
-    up to the end of a quotation that begins there (state ``reach + 1``)."""
-    symbols = [*WORDS, OTHER, *also]
-    table: dict[tuple[int, str], tuple[int, str]] = {}
-    for state in range(reach + 1 + quoted):
-        table[state, QUOTE] = (state, QUOTE)
-        for symbol in symbols:
-            out = hit_map.get(symbol, symbol) if state else symbol
-            if state > reach:
-                table[state, symbol] = (state, out)
-            elif symbol == opener:
-                table[state, symbol] = (reach, symbol)
-            else:
-                table[state, symbol] = (max(state - 1, 0), out)
-    if quoted:
-        for state in range(1, reach + 1):
-            table[state, QUOTE] = (reach + 1, QUOTE)
-        table[reach + 1, QUOTE] = (0, QUOTE)
-    return Transducer(0, table)
+def insult(state: int, symbol: str) -> list[tuple[int, str, float]]:
+    """State: 0 before the first word, 1 behind a word, 2 where a word has to follow. Writes ``hit`` or other."""
+    if symbol == QUOTE:
+        return [(state, OTHER, 1.0)]
+    if symbol == "insult":
+        return [(1 if state else 2, "hit", 1.0), (1, OTHER, 1.0)]
+    return [(1, "hit" if symbol == "aimed" else OTHER, 1.0)]
+
+
+class Cascade:
+    """Weighted transducers, each reading what the one before wrote, composed lazily: arcs of a composed
+    state are worked out when a path first asks for them."""
+
+    def __init__(self, *parts):
+        """``parts``: (step, start, is_final) of each transducer."""
+        self.steps = [p[0] for p in parts]
+        self.start = tuple(p[1] for p in parts)
+        self.finals = [p[2] for p in parts]
+        self.known: dict[tuple, list] = {}
 
+    def arcs(self, state: tuple, symbol: str) -> list[tuple[tuple, bool, float]]:
+        """(state, whether a hit is accepted, factor) of every way to go on."""
+        found = self.known.get((state, symbol))
+        if found is None:
+            ways: list = [((), symbol, 1.0)]
+            for step, own in zip(self.steps, state, strict=True):
+                ways = [((*to, s), out, f * g) for to, read, f in ways for s, out, g in step(own, read)]
+            found = self.known[state, symbol] = [(to, out == "hit", f) for to, out, f in ways]
+        return found
 
-_SYMBOLS = [*WORDS, OTHER, QUOTE]
-_HITS = {"insult": "aimed", "threat": "aimed"}
-_TOLD = _scope("report", {"insult": "told", "threat": "told"}, 8, ("denied",), quoted=True)
-_IN_QUOTE = 9
+    def best(self, readings: list[tuple[tuple[str, float], ...]]) -> float:
+        """Weight of the best accepting path over words, each given by its (symbol, weight) readings."""
+        paths = {self.start: 0.0}
+        for read in readings:
+            after: dict[tuple, float] = {}
+            for symbol, weight in read:
+                for state, total in paths.items():
+                    for to, hit, factor in self.arcs(state, symbol):
+                        value = total + weight * factor if hit else total
+                        if value > after.get(to, -1.0):
+                            after[to] = value
+            paths = after
+        return max((v for state, v in paths.items() if all(f(s) for f, s in zip(self.finals, state, strict=True))), default=0.0)
 
 
-def grammar() -> Transducer:
-    """Negation (3 words), then reported speech (8 words or a quotation), then target (6 words), as one machine."""
-    denied = _scope("negation", {"insult": "denied", "threat": "denied"}, 3)
-    aimed = _scope("target", _HITS, 6, ("denied", "told"))
-    return denied.compose(_TOLD, _SYMBOLS).compose(aimed, _SYMBOLS)
+def grammar() -> Cascade:
+    """Negation, then reported speech, then targets, then insults."""
+    always = lambda _: True
+    return Cascade((negation, 0, always), (reported, 0, always), (target, (0, 0), lambda s: not s[1]), (insult, 0, lambda s: s != 2))
 
 
 _GRAMMAR = grammar()
-#: Reads what the grammar wrote from the end of the clause: a target also stands behind the threat it takes.
-_BEHIND = _scope("target", {"threat": "aimed"}, 6, ("aimed", "denied", "told"))
-_SYMBOL = {w: s for s, ws in WORDS.items() for w in ws.split()} | dict.fromkeys(QUOTES, QUOTE)
+_PLAIN = ((OTHER, 0.0),)
+#: So many words that mean nothing end every scope but a quotation; more of them in a row change no path.
+_IDLE = max(NEGATED, TOLD, AIMED) + 1
 
 
 class Lexicon:
-    """Weighted arcs over words and stems; ``read`` gives a word's symbol and weight."""
+    """Weighted arcs over words and stems; ``read`` gives a word's readings as (symbol, weight).
+
+    ``words`` and ``stems`` have the weights of learned arcs and ``kinds`` their symbols (insult where it has none).
+    """
 
-    def __init__(self, words: dict[str, float], stems: dict[str, float]):
-        self.words, self.stems = words, stems
+    def __init__(self, words: dict[str, float], stems: dict[str, float], kinds: dict[str, str] | None = None):
+        self.words, self.stems, self.kinds = words, stems, kinds or {}
         self.lengths = sorted({len(s) for s in stems})
-        self.memo: dict[str, tuple[str, float]] = {}
+        self.memo: dict[str, tuple[tuple[str, float], ...]] = {}
 
-    def read(self, word: str) -> tuple[str, float]:
+    def read(self, word: str) -> tuple[tuple[str, float], ...]:
         found = self.memo.get(word)
         if found is None:
-            weight = max([self.words.get(word, 0.0), *(self.stems.get(word[:k], 0.0) for k in self.lengths if len(word) >= k)])
-            symbol = "insult" if weight else _SYMBOL.get(word, OTHER)
-            found = (symbol, weight or (PRIOR_WEIGHT if symbol == "insult" else 0.0))
-            if len(self.memo) > 150_000:
+            got: dict[str, float] = {}
+            own = [(word, self.words[word])] if word in self.words else []
+            own += [(word[:k], self.stems[word[:k]]) for k in self.lengths if len(word) >= k and word[:k] in self.stems]
+            for arc, weight in own:
+                kind = self.kinds.get(arc, "insult")
+                got[kind] = max(got.get(kind, 0.0), weight)
+            seed = _SEED.get(word)
+            if seed:
+                got.setdefault(seed, {"insult": PRIOR_WEIGHT, "threat": THREAT_WEIGHT}.get(seed, 0.0))
+            found = tuple(got.items()) or _PLAIN
+            if len(self.memo) > 100_000:
                 self.memo.clear()
-            self.memo[word] = found
+            if len(word) < 64:  # so that the memo is bounded in bytes too
+                self.memo[word] = found
         return found
 
+    def hits(self, words: list[str]) -> set[str]:
+        """The words that read as an insult or a threat."""
+        known, read = self.memo.get, self.read
+        marked = [w for w in set(words) if (known(w) or read(w)) is not _PLAIN]
+        return {w for w in marked if any(s in _HITS for s, _ in read(w))}
+
     def __getstate__(self):
         return {**self.__dict__, "memo": {}}
 
     @classmethod
-    def learn(cls, texts: list[str], y: np.ndarray) -> Lexicon:
-        toxic = [t for t, k in zip(texts, y, strict=True) if k]
-        clean = [t for t, k in zip(texts, y, strict=True) if not k]
-        if not toxic:
+    def learn(cls, sample: Sample, use: np.ndarray) -> Lexicon:
+        """A lexicon from the texts of ``sample`` that the mask ``use`` has."""
+        rows = use[sample.text]
+        bad = rows & (sample.y[sample.text] == 1)
+        good = rows & ~bad
+        if not bad.any():
             return cls({}, {})
+        n_words, n_stems = len(sample.words), len(sample.stem_names)
+        text, word, beside = sample.text[bad], sample.word[bad], sample.beside[bad]
+
+        def stem_rows(mask: np.ndarray, keep: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+            """(row, stem) of every stem, in order of rows; only those that ``keep`` has."""
+            stems = sample.stem_of[sample.word[mask]]
+            ok = stems >= 0
+            if keep is not None:
+                ok &= keep[stems]
+            at = np.nonzero(ok)
+            return at[0], stems[at]
+
+        def in_texts(mask: np.ndarray, keep: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            """Of each (text, stem): the stem, its first row, and its words."""
+            row, stem = stem_rows(mask, keep)
+            key = sample.text[mask][row].astype(np.int64) * max(n_stems, 1) + stem
+            key, first, times = np.unique(key, return_index=True, return_counts=True)
+            return key % max(n_stems, 1), row[first], times
+
         # Arcs in fewer than three toxic texts are dropped first, so that the rest stays small.
-        common = Counter(arc for t in toxic for arc in _arcs(t))
-        tried = len(common)
-        common = {arc for arc, n in common.items() if n >= 3}
-        near: dict[str, set[int]] = {arc: set() for arc in common}
-        family: dict[str, Counter] = defaultdict(Counter)  # of a stem: how many toxic texts have each word
-        inside: Counter = Counter()  # of a stem: its words in toxic texts
-        mass = [0, 0]
-        for t in toxic:
-            arcs = _arcs(t)
-            for arc, beside in arcs.items():
-                if arc in common:
-                    near[arc].add(beside)
-                if arc[-1] == "$":
-                    mass[1] += 1
-                    for k in STEMS:
-                        if len(arc) > k + 1 and arc[:k] in common:
-                            family[arc[:k]][arc] += 1
-            inside.update(_stem_words(arcs, common))
-        beyond: Counter = Counter()
-        for t in clean:
-            arcs = _arcs(t)
-            mass[0] += sum(arc[-1] == "$" for arc in arcs)
-            beyond.update(arc for arc in common.intersection(arcs) if arc[-1] == "$")
-            beyond.update(_stem_words(arcs, common))
-        share = (mass[1] + 1) / (mass[0] + mass[1] + 2)
+        df_word = np.bincount(word, minlength=n_words)
+        df_stem = np.bincount(in_texts(bad, None)[0], minlength=n_stems)
+        tried = int((df_word > 0).sum() + (df_stem > 0).sum())
+        common = df_stem >= 3
+
+        def different(arc: np.ndarray, mark: np.ndarray, n: int) -> np.ndarray:
+            order = np.lexsort((mark, arc))
+            a, m = arc[order], mark[order]
+            new = np.ones(len(a), dtype=bool)
+            new[1:] = (a[1:] != a[:-1]) | (m[1:] != m[:-1])
+            return np.bincount(a[new], minlength=n)
+
+        some = df_word[word] >= 3
+        near_word = different(word[some], beside[some], n_words)
+        stem, first, times = in_texts(bad, common)
+        near_stem = different(stem, beside[first], n_stems)
+        inside = np.bincount(stem, weights=np.minimum(times, STEM_WORDS), minlength=n_stems)
+        family = np.bincount(stem, weights=times, minlength=n_stems)
+        most = np.zeros(n_stems)
+        seen = np.flatnonzero(df_word)
+        for k in range(sample.stem_of.shape[1]):
+            of = sample.stem_of[seen, k]
+            np.maximum.at(most, of[of >= 0], df_word[seen][of >= 0])
+        stem, _, times = in_texts(good, common)
+        beyond_stem = np.bincount(stem, weights=np.minimum(times, STEM_WORDS), minlength=n_stems)
+        beyond_word = np.bincount(sample.word[good], minlength=n_words)
+
+        share = (bad.sum() + 1) / (rows.sum() + 2)
         need = log(tried + 1) + EVIDENCE
         proven = []
-        for arc, seen in near.items():
-            a, b = len(seen), beyond[arc]
-            if arc[-1] != "$":
-                # A stem stands for many words (its commonest one proves nothing) in several surroundings.
-                if min(a, sum(family[arc].values()) - family[arc].most_common(1)[0][1]) < 3:
-                    continue
-                a = inside[arc] - family[arc].most_common(1)[0][1]
-                if a < 3:
-                    continue
-            odds = log((a + 0.5) / (b + 0.5) * (1 - share) / share)
-            found = a * log(a / ((a + b) * share)) + (b * log(b / ((a + b) * (1 - share))) if b else 0.0)
-            if odds > 1.5 and found > need:
-                proven.append((-found, arc, min(odds, 6.0)))
+
+        def prove(a: np.ndarray, b: np.ndarray, ok: np.ndarray, names: list[str], mark: str) -> None:
+            at = np.flatnonzero(ok & (a > 0))
+            a, b = a[at].astype(float), b[at].astype(float)
+            odds = np.log((a + 0.5) / (b + 0.5) * (1 - share) / share)
+            found = a * np.log(a / ((a + b) * share)) + b * np.log(np.maximum(b, 1) / ((a + b) * (1 - share)))
+            for i in np.flatnonzero((odds > 1.5) & (found > need)):
+                proven.append((-found[i], names[at[i]] + mark, float(min(odds[i], 6.0)), at[i]))
+
+        prove(near_word, beyond_word, df_word >= 3, sample.words, "$")
+        # A stem stands for many words (its commonest one proves nothing) in several surroundings.
+        prove(inside - most, beyond_stem, common & (np.minimum(near_stem, family - most) >= 3) & (inside - most >= 3), sample.stem_names, "")
         words: dict[str, float] = {}
         stems: dict[str, float] = {}
+        kinds: dict[str, str] = {}
         # Of a stem, what it begins with and what begins with it, the best proven alone stays.
-        for _, arc, odds in sorted(proven):
+        for _, arc, odds, i in sorted(proven):
             bare = arc.rstrip("$")
             if any(bare[:k] in stems for k in range(STEMS[0], len(bare) + 1)):
                 continue
             if arc[-1] == "$":
                 words[bare] = odds
+                places = word == i
             elif not any(held.startswith(bare) for held in (*stems, *words)):
                 stems[bare] = odds
-        return cls(words, stems)
-
-
-def _stem_words(arcs: dict[str, int], known: set[str]) -> Counter:
-    """How many different words of a text have each known stem, at most STEM_WORDS, so that no text proves much alone."""
-    count = Counter(arc[:k] for arc in arcs if arc[-1] == "$" for k in STEMS if len(arc) > k + 1 and arc[:k] in known)
-    return Counter({stem: min(n, STEM_WORDS) for stem, n in count.items()})
-
-
-def _arcs(text: str) -> dict[str, int]:
-    """Each whole word (marked by a final $) and stem of a text, with a hash of the words beside its first place."""
-    words = _WORD.findall(text.lower())
-    own: dict[str, int] = {}
-    for i, w in enumerate(words):
-        if w + "$" in own:
-            continue
-        beside = crc32(f"{words[i - 1] if i else ''} {words[i + 1] if i + 1 < len(words) else ''}".encode())
-        own[w + "$"] = beside
-        for k in STEMS:
-            if len(w) > k:
-                own.setdefault(w[:k], beside)
-    return own
+                places = (sample.stem_of[word] == i).any(axis=1)
+            else:
+                continue
+            if sample.by_target[bad][places].mean() >= MOSTLY:
+                kinds[bare] = "threat"
+            elif sample.by_hit[bad][places].mean() >= MOSTLY:
+                kinds[bare] = "target"
+        return cls(words, stems, kinds)
+
+
+class Sample:
+    """Learning texts as tables of numbers: one row for each distinct word of each text, at its first place.
+
+    ``text``, ``word``, ``beside`` (the words on either side as one number), ``by_target`` and ``by_hit`` (whether a
+    seed target, or a seed insult or threat, is one of them) by row; ``stem_of`` has the stems of each word (-1: none).
+    """
+
+    def __init__(self, texts: list[str], y: np.ndarray):
+        self.y = np.asarray(y)
+        ids: dict[str, int] = {}
+        own = [np.array([ids.setdefault(w, len(ids)) for w in _WORD.findall(t.lower())], dtype=np.int64) for t in texts]
+        self.words = list(ids)
+        seed = np.array([("target", "hit")[s != "target"] if (s := _SEED.get(w)) in ("target", *_HITS) else "" for w in self.words] + [""])
+        parts: list[list[np.ndarray]] = [[], [], [], []]
+        for i, whole in enumerate(own):
+            word, first = np.unique(whole, return_index=True)
+            order = np.argsort(first)
+            word, first = word[order], first[order]
+            edged = np.concatenate([[-1], whole, [-1]])
+            for part, values in zip(parts, (np.full(len(word), i), word, edged[first], edged[first + 2]), strict=True):
+                part.append(values)
+        self.text, self.word, left, right = (np.concatenate(p) if p else np.zeros(0, dtype=np.int64) for p in parts)
+        self.beside = (left + 1 << 31) + right + 1
+        self.by_target = (seed[left] == "target") | (seed[right] == "target")
+        self.by_hit = (seed[left] == "hit") | (seed[right] == "hit")
+        stems: dict[str, int] = {}
+        self.stem_of = np.full((len(ids), len(STEMS)), -1, dtype=np.int64)
+        for i, w in enumerate(self.words):
+            for at, k in enumerate(STEMS):
+                if len(w) <= k:
+                    break
+                self.stem_of[i, at] = stems.setdefault(w[:k], len(stems))
+        self.stem_names = list(stems)
 
 
 def clause_weight(words: list[str], lexicon: Lexicon) -> float:
-    """Weight of the clause's path: each hit's arc weight times the factor of what it comes out as."""
-    state, outs, weights = _GRAMMAR.start, [], []
+    """Weight of the clause's best path."""
+    readings, idle = [], 0
     for word in words:
-        symbol, weight = lexicon.read(word)
-        state, out = _GRAMMAR.step(state, symbol)
-        outs.append(out)
-        weights.append(weight)
-    if "threat" in outs and "target" in outs:
-        state = _BEHIND.start
-        for i in range(len(outs) - 1, -1, -1):
-            state, outs[i] = _BEHIND.step(state, outs[i])
-    total = 0.0
-    for out, weight in zip(outs, weights, strict=True):
-        if out in FACTORS:
-            # A threat counts only where it is aimed at somebody.
-            total += FACTORS[out] * (weight or (1.0 if out == "aimed" else 0.0))
-        elif out == "insult":
-            total += weight
-    return total
+        read = lexicon.read(word)
+        idle = idle + 1 if read is _PLAIN else 0
+        if idle <= _IDLE:
+            readings.append(read)
+    return _GRAMMAR.best(readings)
 
 
 def clauses(low: str) -> list[list[str]]:
@@ -251,17 +340,17 @@ def clauses(low: str) -> list[list[str]]:
     parts = _CLAUSE.split(low)
     out: list[list[str]] = []
     held: list[str] = []
-    state = _TOLD.start
+    state = 0
     for part, mark in zip(parts[::2], [*parts[1::2], "\n"], strict=True):
         words = _TOKEN.findall(part)
         held += words
-        if state or any(_SYMBOL.get(w) == "report" for w in words):
+        if state or any(_SEED.get(w) == "report" for w in words):
             for w in words:
-                state, _ = _TOLD.step(state, _SYMBOL.get(w, OTHER))
+                state = reported(state, _SEED.get(w, OTHER))[0][0]
         if "\n" not in mark and (state == _IN_QUOTE or (state and mark == ":")):
             continue
         out.append(held)
-        held, state = [], _TOLD.start
+        held, state = [], 0
     return out
 
 
@@ -269,9 +358,10 @@ def evidence(text: str | None, lexicon: Lexicon) -> list[float]:
     """Sums over the matched clauses of a whole text."""
     low = (text or "").lower()
     words = _WORD.findall(low)
-    if not any(lexicon.read(w)[0] in ("insult", "threat") for w in set(words)):
+    hits = lexicon.hits(words)
+    if not hits:
         return [0.0, 0.0, 0.0, 0.0, 0.0]
-    weights = [w for c in clauses(low) if (w := clause_weight(c, lexicon)) > 0]
+    weights = [w for c in clauses(low) if not hits.isdisjoint(c) and (w := clause_weight(c, lexicon)) > 0]
     if not weights:
         return [0.0, 0.0, 0.0, 0.0, 0.0]
     total = sum(weights)
@@ -288,11 +378,13 @@ class Model:
 
     @classmethod
     def fit(cls, texts: list[str], y: np.ndarray, sizes: dict[int, int]) -> Model:
+        """``sizes``: learning rows of each label before sampling."""
         # Evidence of each part comes from a lexicon learned on the others, as with new texts.
+        sample = Sample(texts, y)
         part = np.arange(len(texts)) % PARTS
         x = np.zeros((len(texts), 6))
         for h in range(PARTS):
-            other = Lexicon.learn([t for t, k in zip(texts, part, strict=True) if k != h], y[part != h])
+            other = Lexicon.learn(sample, part != h)
             for i in np.flatnonzero(part == h):
                 x[i] = [*evidence(texts[i], other), 1.0]
         count = np.bincount(y, minlength=2)
@@ -317,23 +409,27 @@ class Model:
             w -= size * step
             if np.abs(size * step).max() < 1e-8:
                 break
-        return cls(Lexicon.learn(texts, y), w)
+        return cls(Lexicon.learn(sample, part >= 0), w)
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
     """A model from at most PER_CLASS texts of each label outside the held-out fold."""
-    rows, sizes = labelled_sample(docs, labels, "toxic", folds=FOLDS, held_out=HELD_OUT, per_class=PER_CLASS, max_chars=MAX_CHARS)
+    rows, sizes = labelled_sample(docs, labels, "toxic", folds=FOLDS, held_out=HELD_OUT, per_class=PER_CLASS, max_bytes=MAX_BYTES)
     return Model.fit([t for t, _ in rows], np.array([y for _, y in rows], dtype=int), sizes)
 
 
 def accepted(docs: DataFrame, model: Model) -> DataFrame:
-    """The rows of ``docs`` that score below REJECT, with all their columns."""
+    """The rows of ``docs`` that score below REJECT, with all their columns; see ``keep_rows``."""
     return keep_rows(docs, lambda texts: model.scores(texts) < REJECT)
 
 
 def scored(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, held_out, score and predicted of every row; null texts score like empty ones, repeated
-    rows alike, and a null doc_id is not held out."""
+    """doc_id, held_out, score and predicted of every row.
+
+    Null texts score like empty ones, repeated rows alike, and a null doc_id is not held out. A score of exactly
+    REJECT is predicted 1. Without labels the seed words alone decide. An empty table gives an empty result; no
+    other column is looked at.
+    """
     held = docs.select("doc_id", "text", F.coalesce(fold("doc_id", FOLDS) == HELD_OUT, F.lit(False)).alias("held_out"))
     out = score_column(held, model.scores, ["doc_id", "held_out"], "score")
     return out.withColumn("predicted", (F.col("score") >= REJECT).cast("int"))
