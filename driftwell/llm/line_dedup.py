@@ -1,270 +1,291 @@
 """Line dedup by pairwise alignment.
 
-Documents that share a line, or a run of lines that together have the words of a block, are paired
-with the earliest document that holds it, so a line in any number of documents makes one pair for
-each of them. Each pair is aligned on line hashes
-by patience diff: lines unique to both sides anchor a longest increasing run, runs grow over
-equal neighbours, and the gaps between are aligned likewise. Aligned blocks of enough words go
-from the later document.
-
-Only line hashes travel to the alignments; texts are read again at the end and lose their lines
-there.
+A key is the shortest run of a document's lines that has the words of a block (ten), taken forwards from each line
+and backwards from it; a line of ten words is its own run. Keys that two documents share show that they overlap.
+Every line of every run of ten words that also stands in an earlier document lies in a shared key, so it is enough
+that each document meets, for each of its keys, the earliest holder of that key.
+
+Rare keys decide which documents are paired. A document's holders are taken from the one with the rarest key on;
+the keys that the pair shares are anchors, which patience diff aligns: the longest increasing run of anchors,
+grown to blocks along equal neighbours, then the rest again. A holder all of whose keys lie in
+blocks that rarer holders have already taken is not aligned at all. Aligned blocks go from the later document.
+
+What travels is one row for each key of a document; neither lines nor texts of holders are copied to
+their followers. Texts are read again at the end and lose their lines there.
 """
 
 from __future__ import annotations
 
 import bisect
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import NULL_ID, documents, in_batches, materialise
+from .common import NULL_ID, documents, drop, in_batches, materialise
 from .textvec import _powers, mix
 
-#: Words of the shortest line that pairs documents, and of the shortest block that is deleted.
-MIN_LINE_WORDS, MIN_BLOCK_WORDS = 5, 10
-
-
-def patience_blocks(old: list[int], new: list[int]) -> list[tuple[int, int, int]]:
-    """Aligned common blocks (start in old, start in new, length), in order, none overlapping."""
-    blocks: list[tuple[int, int, int]] = []
-    todo = [(0, len(old), 0, len(new))]
-    while todo:
-        a0, a1, b0, b1 = todo.pop()
-        while a0 < a1 and b0 < b1 and old[a0] == new[b0]:
-            blocks.append((a0, b0, 1))
-            a0, b0 = a0 + 1, b0 + 1
-        while a0 < a1 and b0 < b1 and old[a1 - 1] == new[b1 - 1]:
-            a1, b1 = a1 - 1, b1 - 1
-            blocks.append((a1, b1, 1))
-        if a0 == a1 or b0 == b1:
-            continue
-        in_old, in_new = Counter(old[a0:a1]), Counter(new[b0:b1])
-        at = {h: i for i, h in enumerate(old[a0:a1], a0) if in_old[h] == 1}
-        both = [(at[h], j) for j, h in enumerate(new[b0:b1], b0) if in_new[h] == 1 and h in at]
-        if not both:  # no line is unique on both sides: first occurrences serve
-            at = {h: a1 - 1 - i for i, h in enumerate(reversed(old[a0:a1]))}
-            seen: set[int] = set()
-            both = [(at[h], j) for j, h in enumerate(new[b0:b1], b0) if h in at and not (h in seen or seen.add(h))]
-        anchors = _increasing(both)
-        last = (a0, b0)
-        for a, b in anchors:
-            blocks.append((a, b, 1))
-            todo.append((last[0], a, last[1], b))
-            last = (a + 1, b + 1)
-        if anchors:
-            todo.append((last[0], a1, last[1], b1))
-    blocks.sort()
-    joined: list[tuple[int, int, int]] = []
-    for a, b, n in blocks:
-        if joined and joined[-1][0] + joined[-1][2] == a and joined[-1][1] + joined[-1][2] == b:
-            joined[-1] = (*joined[-1][:2], joined[-1][2] + n)
-        else:
-            joined.append((a, b, n))
-    return joined
-
-
-def lost_lines(old: list[int], new: list[int], words: list[int], least: int) -> list[int]:
-    """Line numbers of ``new`` in aligned blocks of at least ``least`` words.
-
-    What is left is aligned again until nothing is found, so that blocks in another order than
-    in ``old``, and further copies of a block, go as well. At last goes what stands in ``old`` but
-    no alignment took.
+#: Words of the shortest block that is deleted.
+MIN_BLOCK_WORDS = 10
+
+Anchor = tuple[int, int, int]
+
+
+def patience_blocks(anchors: list[Anchor]) -> list[list[Anchor]]:
+    """Alignments of ``anchors`` (start in old, start in new, length), which are common runs of lines.
+
+    Each alignment is a list of blocks that increase on both sides. The first takes the longest increasing run of
+    anchors, found by patience sorting; the others cover what crosses it, each anchor once, with
+    the fewest increasing runs. Anchors on one diagonal that touch or overlap are one block.
     """
-    lost: set[int] = set()
-    while True:
-        # A lost line becomes a value that nothing equals, so that blocks don't close over it.
-        rest = [("", j) if j in lost else h for j, h in enumerate(new)] if lost else new
-        found = [range(b, b + n) for _, b, n in patience_blocks(old, rest) if sum(words[b : b + n]) >= least]
-        if not found:
-            break
-        lost.update(*found)
-    # Blocks that a crossing line kept out of every alignment.
-    known, most, run = set(old), 0, 0
-    for j, h in enumerate(new):
-        run = run + words[j] if h in known and j not in lost else 0
-        most = max(most, run)
-    if most < least:
-        return sorted(lost)
-    rest = [("", j) if j in lost else h for j, h in enumerate(new)]
-    lost.update(*(range(j, j + n) for j, n in _common_runs(old, rest) if sum(words[j : j + n]) >= least))
-    return sorted(lost)
-
-
-def _common_runs(old: list, new: list) -> list[tuple[int, int]]:
-    """(start in new, length) of every run of ``new`` that stands in ``old`` and cannot grow to the
-    right: one pass over a suffix automaton of ``old``."""
-    step: list[dict] = [{}]
-    link, length = [-1], [0]
-    last = 0
-    for h in old:
-        at = len(step)
-        step.append({})
-        link.append(0)
-        length.append(length[last] + 1)
-        p = last
-        while p >= 0 and h not in step[p]:
-            step[p][h] = at
-            p = link[p]
-        if p >= 0:
-            q = step[p][h]
-            if length[q] != length[p] + 1:
-                twin = len(step)
-                step.append(dict(step[q]))
-                link.append(link[q])
-                length.append(length[p] + 1)
-                while p >= 0 and step[p].get(h) == q:
-                    step[p][h] = twin
-                    p = link[p]
-                link[q] = twin
-                q = twin
-            link[at] = q
-        last = at
-    runs: list[tuple[int, int]] = []
-    state = n = 0
-    for j, h in enumerate(new):
-        grown = h in step[state]
-        if not grown and n:
-            runs.append((j - n, n))
-        while state and h not in step[state]:
-            state = link[state]
-            n = length[state]
-        if h in step[state]:
-            state, n = step[state][h], n + 1
-    if n:
-        runs.append((len(new) - n, n))
-    return runs
-
-
-def _increasing(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """Longest run of ``pairs`` (ordered by the second) that also increases in the first: patience sorting."""
+    left = sorted(set(anchors), key=lambda x: (x[1], x[0], x[2]))
+    chains: list[list[Anchor]] = []
+    if left:
+        first = {left[k] for k in _increasing([(a, b) for a, b, _ in left])}
+        chains.append([x for x in left if x in first])
+        # The rest, dealt greedily: an anchor goes behind the chain whose end is the greatest below it.
+        ends: list[tuple[int, int]] = []
+        for x in sorted((x for x in left if x not in first), key=lambda x: (x[1], -x[0], x[2])):
+            at = bisect.bisect_left(ends, (x[0], -1)) - 1
+            if at < 0:
+                chains.append([x])
+                bisect.insort(ends, (x[0], len(chains) - 1))
+            else:
+                _, chain = ends.pop(at)
+                chains[chain].append(x)
+                bisect.insort(ends, (x[0], chain))
+    out = []
+    for chain in chains:
+        blocks: list[Anchor] = []
+        for a, b, n in chain:
+            if blocks:
+                a0, b0, n0 = blocks[-1]
+                if a - a0 == b - b0 and a <= a0 + n0:
+                    blocks[-1] = (a0, b0, max(n0, a + n - a0))
+                    continue
+            blocks.append((a, b, n))
+        out.append(blocks)
+    return out
+
+
+def _increasing(pairs: list[tuple[int, int]]) -> list[int]:
+    """Positions of a longest run of ``pairs`` (ordered by the second) that increases in both: patience sorting."""
     tops: list[int] = []
     where: list[int] = []
-    back: list[int] = []
-    for k, (a, _) in enumerate(pairs):
-        pile = bisect.bisect_left(tops, a)
-        back.append(where[pile - 1] if pile else -1)
-        if pile == len(tops):
-            tops.append(a)
-            where.append(k)
-        else:
-            tops[pile], where[pile] = a, k
+    back = [-1] * len(pairs)
+    k = 0
+    while k < len(pairs):
+        # Of pairs with equal second, none may follow another: all look at the piles as they stand.
+        stop = k
+        while stop < len(pairs) and pairs[stop][1] == pairs[k][1]:
+            stop += 1
+        placed = [(bisect.bisect_left(tops, pairs[i][0]), i) for i in range(k, stop)]
+        for pile, i in reversed(placed):
+            back[i] = where[pile - 1] if pile else -1
+            if pile == len(tops):
+                tops.append(pairs[i][0])
+                where.append(i)
+            elif pairs[i][0] < tops[pile]:
+                tops[pile], where[pile] = pairs[i][0], i
+        k = stop
     out, k = [], where[-1] if where else -1
     while k >= 0:
-        out.append(pairs[k])
+        out.append(k)
         k = back[k]
     return out[::-1]
 
 
+def lost_lines(held: list[tuple[int, tuple, int, int, int]], n_lines: int) -> np.ndarray:
+    """Numbers (among the lines with words) of the lines that go.
+
+    ``held`` are the shared keys: (documents that have it, its earliest holder, start there, start here, length).
+    """
+    by_holder: dict[tuple, list[tuple[int, Anchor]]] = {}
+    for n, holder, old, new, length in held:
+        by_holder.setdefault(holder, []).append((n, (old, new, length)))
+    gone = np.zeros(n_lines + 1, dtype=bool)
+    for _, anchors in sorted(by_holder.items(), key=lambda x: (min(n for n, _ in x[1]), x[0])):
+        if all(gone[b : b + n].all() for _, (_, b, n) in anchors):
+            continue
+        for blocks in patience_blocks([x for _, x in anchors]):
+            for _, b, n in blocks:
+                gone[b : b + n] = True
+    return np.flatnonzero(gone)
+
+
 def _hashed(docs: DataFrame) -> DataFrame:
-    """(did, th, lines, words): row key and, for each line, the hash of its trimmed text and its words."""
-    rows = docs.select(
+    """(did, th, one, two, words): row key and, for each line, two hashes of its trimmed text and its words."""
+    rows = docs.where(F.col("text").isNotNull()).select(
         F.coalesce("doc_id", F.lit(NULL_ID)).alias("did"),
         F.xxhash64("text").alias("th"),
-        F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: F.trim(x)).alias("line"),
+        F.transform(F.split("text", "\n"), lambda x: F.trim(x)).alias("line"),
     )
     spaces = lambda x: F.length(x) - F.length(F.replace(x, F.lit(" "), F.lit("")))
     return rows.select(
         "did", "th",
-        F.transform("line", lambda x: F.xxhash64(x)).alias("lines"),
-        F.transform("line", lambda x: F.when(x == "", 0).otherwise(spaces(x) + 1)).alias("words"),
+        F.transform("line", lambda x: F.xxhash64(x)).alias("one"),
+        F.transform("line", lambda x: F.xxhash64(F.lit(1), x)).alias("two"),
+        F.transform("line", lambda x: F.when(x == "", 0).when(F.contains(x, F.lit("  ")), F.regexp_count(x, F.lit("[^ ]+"))).otherwise(spaces(x) + 1)).alias("words"),
     )
 
 
-def _runs(hashed: DataFrame, min_line_words: int, min_block_words: int) -> DataFrame:
-    """(did, th, h): hashes of the shortest runs of lines with ``min_block_words`` words from each line
-    on. Any block that may be deleted begins with one. Single lines that pair anyway are left out."""
+def keys_of(hashes: list[np.ndarray], words: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, end, key) of each line's shortest runs of ``least`` words, forwards and backwards, each run once.
+
+    ``hashes`` and ``words`` are of lines with words; a key has one column for each kind of hash.
+    """
+    n = len(words)
+    sums = np.concatenate([[0], np.cumsum(words, dtype=np.int64)])
+    at = np.arange(n)
+    ahead = np.searchsorted(sums, sums[:-1] + least)  # the run at .. ahead
+    behind = np.searchsorted(sums, sums[1:] - least, side="right") - 1  # the run behind .. at + 1
+    start = np.concatenate([at[ahead <= n], behind[behind >= 0]])
+    end = np.concatenate([ahead[ahead <= n], at[behind >= 0] + 1])
+    runs = np.unique(start * (n + 1) + end)
+    start, end = runs // (n + 1), runs % (n + 1)
+    forward, backward = _powers(n + 1)
+    keys = []
+    for h in hashes:
+        prefix = np.zeros(n + 1, dtype=np.uint64)
+        np.cumsum(mix(h) * forward[:n], out=prefix[1:])
+        keys.append(mix((prefix[end] - prefix[start]) * backward[start]))
+    return start, end, np.stack(keys, axis=1)
+
+
+def _keys(hashed: DataFrame, least: int) -> DataFrame:
+    """(did, th, n_lines, one, two, len, at): every key of every document and the lines where it starts, counting
+    lines with words only."""
+    out = pa.schema([
+        ("did", pa.int64()), ("th", pa.int64()), ("n_lines", pa.int32()), ("one", pa.int64()), ("two", pa.int64()),
+        ("len", pa.int32()), ("at", pa.list_(pa.int32())),
+    ])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lines, words = batch.column(2), batch.column(3)
-            h = lines.flatten().to_numpy().view(np.uint64)
-            sums = np.concatenate([[0], np.cumsum(words.flatten().to_numpy(), dtype=np.int64)])
-            sizes = np.diff(lines.offsets.to_numpy())
-            row = np.repeat(np.arange(batch.num_rows), sizes)
-            stop = np.cumsum(sizes)[row]
-            start = np.arange(len(h))
-            end = np.searchsorted(sums, sums[:-1] + min_block_words)
-            own = np.diff(sums)
-            use = (end <= stop) & (own > 0) & ((end > start + 1) | (own < min_line_words))
-            row, start, end = row[use], start[use], end[use]
-            forward, backward = _powers(len(h) + 1)
-            prefix = np.zeros(len(h) + 1, dtype=np.uint64)
-            np.cumsum(mix(h) * forward[: len(h)], out=prefix[1:])
-            found = mix((prefix[end] - prefix[start]) * backward[start])
-            once = np.unique(np.stack([row.astype(np.uint64), found], axis=1), axis=0)
-            row = pa.array(once[:, 0].astype(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(row), batch.column(1).take(row), pa.array(once[:, 1].copy().view(np.int64))], names=["did", "th", "h"])
-
-    return in_batches(hashed.select("did", "th", "lines", "words")).mapInArrow(run, "did long, th long, h long")
-
-
-def deletions(docs: DataFrame, min_line_words: int = MIN_LINE_WORDS, min_block_words: int = MIN_BLOCK_WORDS) -> DataFrame:
-    """(did, th, gone): for each row key that loses lines, their 0-based numbers."""
-    hashed = materialise(_hashed(docs).dropDuplicates(["did", "th"]), "lines")
-    key = F.struct("did", "th")
-    long_lines = F.arrays_zip("lines", "words")
-    held = hashed.select("did", "th", F.explode(F.array_distinct(F.transform(F.filter(long_lines, lambda x: x["words"] >= min_line_words), lambda x: x["lines"]))).alias("h"))
-    held = held.unionByName(_runs(hashed, min_line_words, min_block_words))
-    first = held.groupBy("h").agg(F.min(key).alias("first"), F.count("*").alias("n")).where("n > 1").select("h", "first")
-    first = materialise(first, "holders")  # so that the join below has plain exchanges, which AQE splits
-    pairs = held.join(first, "h").where((F.col("did") != F.col("first.did")) | (F.col("th") != F.col("first.th")))
-    pairs = pairs.select("did", "th", F.col("first.did").alias("did0"), F.col("first.th").alias("th0")).distinct()
-    early = hashed.select(F.col("did").alias("did0"), F.col("th").alias("th0"), F.col("lines").alias("lines0"))
-    aligned = pairs.join(early, ["did0", "th0"]).join(hashed, ["did", "th"]).select("did", "th", "lines0", "lines", "words")
+            dids, ths, sizes, ones, twos, lengths, starts, times = [], [], [], [], [], [], [], []
+            offsets = batch.column(2).offsets.to_numpy()
+            flat = [batch.column(c).values.to_numpy() for c in (2, 3, 4)]
+            for i in range(batch.num_rows):
+                one, two, words = (x[offsets[i] : offsets[i + 1]] for x in flat)
+                some = words > 0
+                words = words[some]
+                if words.sum() < least:
+                    continue
+                start, end, key = keys_of([one[some].view(np.uint64), two[some].view(np.uint64)], words, least)
+                order = np.lexsort((start, key[:, 1], key[:, 0]))
+                start, end, key = start[order], end[order], key[order]
+                new = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]).any(axis=1)]))
+                row = np.full(len(new), i)
+                dids.append(row)
+                ths.append(row)
+                sizes.append(np.full(len(new), len(words), dtype=np.int32))
+                ones.append(key[new, 0])
+                twos.append(key[new, 1])
+                lengths.append((end - start)[new].astype(np.int32))
+                starts.append(start.astype(np.int32))
+                times.append(np.diff(np.append(new, len(start))))
+            if not dids:
+                continue
+            row = pa.array(np.concatenate(dids))
+            edges = np.concatenate([[0], np.cumsum(np.concatenate(times))]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column(0).take(row), batch.column(1).take(row), pa.array(np.concatenate(sizes)),
+                    pa.array(np.concatenate(ones).view(np.int64)), pa.array(np.concatenate(twos).view(np.int64)),
+                    pa.array(np.concatenate(lengths)), pa.ListArray.from_arrays(pa.array(edges), pa.array(np.concatenate(starts))),
+                ],
+                schema=out,
+            )
+
+    return in_batches(hashed).mapInArrow(run, "did long, th long, n_lines int, one long, two long, len int, at array<int>")
+
+
+def deletions(docs: DataFrame, min_block_words: int = MIN_BLOCK_WORDS) -> DataFrame:
+    """(did, th, gone): for each row key that loses lines, their 0-based numbers among its lines with words."""
+    keys = materialise(_keys(_hashed(docs), min_block_words), "keys")
+    earliest = F.min(F.struct("did", "th", F.col("at")[0].alias("at")))
+    first = keys.groupBy("one", "two").agg(earliest.alias("first"), F.count("*").alias("n")).where("n > 1")
+    first = materialise(first.select("one", "two", F.col("first.did").alias("did0"), F.col("first.th").alias("th0"), F.col("first.at").alias("at0"), "n"), "holders")
+    later = keys.join(first, ["one", "two"]).where("did <> did0 OR th <> th0")
+    # No more than a document's own keys meet in one group, so a group fits where its document does.
+    held = later.groupBy("did", "th").agg(F.max("n_lines").alias("n_lines"), F.collect_set(F.struct("n", "did0", "th0", "at0", "at", "len")).alias("held"))
 
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             dids, ths, gone = [], [], []
-            for did, th, old, new, words in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
-                lost = lost_lines(old, new, words, min_block_words)
-                if lost:
-                    dids.append(did)
-                    ths.append(th)
-                    gone.append(lost)
+            for did, th, n_lines, held in zip(*(batch.column(i).to_pylist() for i in range(3)), batch.column(3), strict=True):
+                shared = [(x["n"], (x["did0"], x["th0"]), x["at0"], at, x["len"]) for x in held.as_py() for at in x["at"]]
+                dids.append(did)
+                ths.append(th)
+                gone.append(lost_lines(shared, n_lines))
             yield pa.RecordBatch.from_arrays([pa.array(dids, pa.int64()), pa.array(ths, pa.int64()), pa.array(gone, pa.list_(pa.int32()))], names=["did", "th", "gone"])
 
-    found = in_batches(aligned).mapInArrow(align, "did long, th long, gone array<int>")
-    return found.groupBy("did", "th").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("gone")))).alias("gone"))
+    out = materialise(in_batches(held).mapInArrow(align, "did long, th long, gone array<int>"), "deletions")
+    drop(keys, first)
+    return out
 
 
-def line_dedup(docs: DataFrame, min_line_words: int = MIN_LINE_WORDS, min_block_words: int = MIN_BLOCK_WORDS) -> DataFrame:
+def line_dedup(docs: DataFrame, min_block_words: int = MIN_BLOCK_WORDS) -> DataFrame:
     """Every row of ``docs`` with all its columns, ``text`` without its deleted lines, and
     ``lines_removed`` (int array of 0-based line numbers, empty if none).
 
-    Lines are equal when their trimmed texts are. The earlier of two documents has the smaller
-    doc_id (nulls first; of equal ids, the smaller text hash). Repeated rows with the same doc_id and
-    text are one document, so they all keep or lose the same lines. Null and empty texts stay as they
-    are. A text may end up empty. ``lines_removed`` replaces a column of that name.
+    A line with words goes exactly when it lies in a run of at least ``min_block_words`` words of consecutive lines
+    that also stands in an earlier document; blank lines don't count in runs, and those between two lines that go
+    go too. Lines are equal when their texts without spaces at the ends are, by 128 bits of hash. The earlier of
+    two documents has the smaller doc_id (nulls first; of equal ids, the smaller text hash). Repeated rows with the
+    same doc_id and text are one document, so they all keep or lose the same lines. Null and empty texts stay as
+    they are, and an empty table gives an empty result. A text may end up empty. ``lines_removed`` replaces a
+    column of that name; other columns pass through, whatever their names.
     """
-    gone = materialise(deletions(docs, min_line_words, min_block_words), "deletions")
-    keyed = docs.drop("lines_removed").withColumns({"_did": F.coalesce("doc_id", F.lit(NULL_ID)), "_th": F.xxhash64("text")})
-    # Deletions grow with the corpus, so they are never broadcast, however few they are today.
-    joined = keyed.join(gone.withColumnsRenamed({"did": "_did", "th": "_th"}).hint("merge"), ["_did", "_th"], "left")
-    removed = F.coalesce("gone", F.array().cast("array<int>"))
-    lines = F.split("text", "\n")
-    left = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("gone", i)), "\n")
-    text = F.when(F.col("gone").isNull(), F.col("text")).otherwise(left)
+    gone = deletions(docs, min_block_words)
     names = [c for c in docs.columns if c != "lines_removed"]
-    return joined.select(*[text.alias(c) if c == "text" else F.col(c) for c in names], removed.alias("lines_removed"))
+    keyed = docs.select(F.struct(*names).alias("row"), F.coalesce("doc_id", F.lit(NULL_ID)).alias("did"), F.xxhash64("text").alias("th"))
+    # Deletions grow with the corpus, so they are never broadcast, however few they are today.
+    joined = keyed.join(gone.hint("merge"), ["did", "th"], "left")
+    cut = F.when(F.col("gone").isNotNull(), F.col("row.text"))
+    out = joined.select("row", _without(cut, "gone").alias("cut"))
+    text = F.when(F.col("cut.removed").isNull(), F.col("row.text")).otherwise(F.col("cut.left"))
+    removed = F.coalesce("cut.removed", F.array().cast("array<int>"))
+    return in_batches(out).select(*[(text if c == "text" else F.col("row").getField(c)).alias(c) for c in names], removed.alias("lines_removed"))
+
+
+@F.pandas_udf(T.StructType().add("left", T.StringType()).add("removed", T.ArrayType(T.IntegerType())))
+def _without(texts: pd.Series, gone: pd.Series) -> pd.DataFrame:
+    """Texts without the lines of ``gone`` (numbers among lines with words) and the blank lines between them, and
+    the numbers of all of these; null where nothing goes."""
+    out: list[tuple] = []
+    for text, numbers in zip(texts, gone, strict=True):
+        if text is None or numbers is None:
+            out.append((None, None))
+            continue
+        lines = text.split("\n")
+        full = np.array([x.strip(" ") != "" for x in lines])
+        own = np.zeros(len(lines) + 2, dtype=bool)  # by number + 1, so that no line is before the first or behind the last
+        own[np.asarray(numbers, dtype=np.int64) + 1] = True
+        number = np.cumsum(full)
+        drops = own[number] & (full | own[number + 1])
+        out.append(("\n".join([x for x, d in zip(lines, drops, strict=True) if not d]), np.flatnonzero(drops).astype(np.int32)))
+    return pd.DataFrame(out, columns=["left", "removed"])
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
     """``docs`` after line dedup, same columns: rows of which nothing but white space is left go,
     and ``n_chars``, where there is one, follows the text."""
-    out = line_dedup(docs)
-    out = out.where((F.size("lines_removed") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+    marked = line_dedup(docs.select(F.struct("*").alias("row"), "doc_id", "text"))
+    cut = F.size("lines_removed") > 0
+    out = marked.where(~cut | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+    new = {"text": F.col("text")}
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.size("lines_removed") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+        new["n_chars"] = F.when(cut, F.length("text")).otherwise(F.col("row.n_chars")).cast(docs.schema["n_chars"].dataType)
+    return out.select(*[new.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns])
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, n_lines, n_removed, lines_removed, and bytes and crc32 of the text that is left."""
+    """doc_id, lines_left, n_removed, lines_removed, and bytes and crc32 of the text that is left."""
     out = line_dedup(documents(spark, sf_dir).select("doc_id", "text"))
     left = F.coalesce("text", F.lit(""))
     lines = F.when(F.col("text").isNull(), 0).otherwise(F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1)
