@@ -11,6 +11,7 @@ places in the plan by rank.
 from __future__ import annotations
 
 import bisect
+import re
 from collections import Counter
 from collections.abc import Iterator
 
@@ -110,27 +111,59 @@ def placements(patterns: list[tuple[tuple[int, ...], int]]) -> dict[str, np.ndar
     return dict(zip(("length", "first", "sequence", "offset"), table.T, strict=True))
 
 
-def _encoder(tokenizer: str):
-    """Ids of byte-level BPE by ``tiktoken``, with the vocabulary, merges and pre-tokenizer of the
-    ``tokenizers`` file ``tokenizer`` (their ids agree; ``tests/llm`` compare them), which
-    encodes several times faster. Added tokens of the file that stand in a text are one id each."""
-    import json
+class Encoder:
+    """Ids of byte-level BPE, as ``tokenizers`` gives them for the file ``tokenizer`` with add_special_tokens=False.
 
-    import public_tokenizers
-    import tiktoken
-
-    with open(tokenizer, encoding="utf-8") as f:
-        whole = json.load(f)
-    vocab = whole["model"]["vocab"]
-    added = {t["content"]: t["id"] for t in whole.get("added_tokens", [])}
-    # The file writes each byte as a printable character: printable Latin-1 as itself, the rest from U+0100 on.
-    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    byte_of = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(sorted({*range(256)} - {*plain}))}
-    ranks = {}
-    for piece, i in vocab.items():
-        if all(c in byte_of for c in piece) and piece not in added:
-            ranks[bytes(byte_of[c] for c in piece)] = i
-    return tiktoken.Encoding("byte_bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=added)
+    ``tiktoken`` does the work with the file's vocabulary, as ``tokenizers`` takes several times as long (``tests/llm``
+    compare their ids). Added tokens of the file that stand in a text are one id each. Texts with a
+    run of white space of LONG_RUN characters, which overflow the stack of ``tiktoken``'s pattern,
+    go through ``tokenizers`` itself.
+    """
+
+    LONG_RUN = 50_000
+
+    def __init__(self, tokenizer: str):
+        import json
+
+        import public_tokenizers
+        import tiktoken
+
+        with open(tokenizer, encoding="utf-8") as f:
+            whole = json.load(f)
+        added = {t["content"]: t["id"] for t in whole.get("added_tokens", [])}
+        # The file writes each byte as a printable character: printable Latin-1 as itself, the rest from U+0100 on.
+        plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        byte_of = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(sorted({*range(256)} - {*plain}))}
+        ranks = {}
+        for piece, i in whole["model"]["vocab"].items():
+            if piece not in added:
+                ranks[bytes(byte_of[c] for c in piece)] = i
+        del whole
+        self.tokenizer, self.added = tokenizer, list(added)
+        self.fast = tiktoken.Encoding("byte_bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=added)
+        self.exact = None
+        self.long_run = re.compile(rf"\s{{{self.LONG_RUN}}}")
+
+    def ids(self, text: str) -> list[int]:
+        if len(text) >= self.LONG_RUN and self.long_run.search(text):
+            if self.exact is None:
+                from tokenizers import Tokenizer
+
+                self.exact = Tokenizer.from_file(self.tokenizer)
+            return self.exact.encode_batch_fast([text], add_special_tokens=False)[0].ids
+        if any(t in text for t in self.added):
+            return self.fast.encode(text, allowed_special="all")
+        return self.fast.encode_ordinary(text)
+
+
+_encoders: dict[str, Encoder] = {}
+
+
+def encoder(tokenizer: str) -> Encoder:
+    """One encoder per worker process and file."""
+    if tokenizer not in _encoders:
+        _encoders[tokenizer] = Encoder(tokenizer)
+    return _encoders[tokenizer]
 
 
 def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
@@ -141,14 +174,11 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: in
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from zlib import crc32
 
-        encoder = _encoder(tokenizer)
-        special = encoder.special_tokens_set
+        own = encoder(tokenizer)
         for batch in batches:
             rows = []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                plain = text.as_py() or ""
-                held = any(t in plain for t in special)
-                ids = np.array([*(encoder.encode(plain, allowed_special="all") if held else encoder.encode_ordinary(plain)), end_id], dtype="<u4")
+                ids = np.array([*own.ids(text.as_py() or ""), end_id], dtype="<u4")
                 edge = len(ids) % capacity or capacity
                 start = 0
                 for k in range(-(-len(ids) // capacity)):
