@@ -1,16 +1,15 @@
-"""SentencePiece encoding and decoding with prefixes shared.
+"""SentencePiece encoding and decoding by Viterbi with prefixes shared.
 
 A text is cut into marked words (a run of U+2581 marks and what follows up to the next one). The
 distinct words of a batch are sorted, which lays their trie out in depth-first order: going
 from one word to the next, the forward table is cut back to the common prefix and only the new
-characters are worked out. The table holds, for each prefix, the last piece of its segmentation
-and where it starts, as in Viterbi search; words are read off by following the starts back.
-
-The vocabulary at hand is a BPE model, whose result is not the path of greatest score. Its
-recurrence is: the segmentation of a prefix ends in the one piece that may follow the
-segmentation of what precedes it, and two pieces may stand side by side exactly when BPE
-leaves their concatenation as these two. Unigram models, which take the greatest sum of scores, are
-refused.
+characters are worked out. The table holds, for each prefix, the score of its best path, that path's last
+piece and where it starts; words are read off by following the starts back.
+
+A unigram model takes the path of the greatest sum of scores. A BPE model takes it among the paths
+that BPE admits: those in which each two neighbours are what BPE leaves of their concatenation. Each prefix has
+exactly one such path, so the scores, kept all the same, never decide between two. Which neighbours are admitted
+is found once for each pair of pieces, by merging.
 """
 
 from __future__ import annotations
@@ -18,6 +17,7 @@ from __future__ import annotations
 import re
 from array import array
 from collections.abc import Iterable, Iterator
+from math import inf
 from os.path import commonprefix
 
 import numpy as np
@@ -29,14 +29,17 @@ from .common import documents, in_batches
 #: The model's mark. Inside, a plain space stands for it: texts have no other spaces then, and strings stay narrow.
 MARK = "▁"
 _UNIT = re.compile(" +[^ ]*")
-#: Words whose ids a worker remembers from batch to batch.
-MEMO = 1_000_000
+#: Bytes of words and ids that a worker remembers from batch to batch, and pairs of pieces.
+MEMO, FITS = 160 << 20, 2_000_000
+#: What a character outside a unigram vocabulary scores below its worst piece.
+UNKNOWN_PENALTY = 10.0
 
 
 class Codec:
-    """Encoder and decoder of one BPE model file; another kind of model raises a ValueError."""
+    """Encoder and decoder of one model file of the given ``kind``, bpe or unigram; unless it is given, a model
+    whose scores are all whole numbers (ranks of merges) is BPE. Pieces that reach across words raise a ValueError."""
 
-    def __init__(self, model: str):
+    def __init__(self, model: str, kind: str | None = None):
         import sentencepiece
 
         sp = sentencepiece.SentencePieceProcessor(model_file=model)
@@ -57,13 +60,16 @@ class Codec:
                 self.surface.append(piece.replace(MARK, " ").encode())
         self.scores = [sp.get_score(i) for i in range(n)]
         self.pieces = {i: p for p, i in self.ids.items()}
-        if not all(self.scores[i].is_integer() for i in self.pieces):
-            raise ValueError(f"{model} is not a BPE model: its scores are not ranks of merges")
-        # BPE scores are the negative ranks of the merges, so they never repeat.
+        if any(" " in p.lstrip(" ") for p in self.ids):
+            raise ValueError(f"{model} has pieces that reach across words")
+        self.bpe = kind == "bpe" if kind else all(self.scores[i].is_integer() for i in self.pieces)
+        self.by_bytes = self.unk not in self.byte
+        self.unknown = min((self.scores[i] for i in self.pieces), default=0.0) - UNKNOWN_PENALTY
         #: Every ending of a piece: the id of the piece that it is, or -1.
         self.endings: dict[str, int] = {p[i:]: -1 for p in self.ids for i in range(len(p))} | self.ids
         self.fits: dict[int, bool] = {}
         self.memo: dict[str, bytes] = {}
+        self.held = 0
 
     def merge(self, text: str) -> list[str]:
         """Plain BPE of a short string: merge the adjacent pair of best score, leftmost first."""
@@ -89,41 +95,56 @@ class Codec:
     def words(self, distinct: Iterable[str]) -> dict[str, bytes]:
         """Ids (32-bit, as bytes) of each marked word, by one depth-first walk over their trie."""
         out: dict[str, bytes] = {}
-        endings, fits = self.endings, self.fits
-        last: list[int] = [-1]  # last piece of the prefix of each length; -1 at the start, -2 after an unknown character
+        endings, fits, scores, bpe, unknown = self.endings, self.fits, self.scores, self.bpe, self.unknown
+        if len(fits) > FITS:
+            fits.clear()
+        # Of the prefix of each length: the best path's score, its last piece (-1 at the start, -2 an unknown character) and where that starts.
+        forward: list[float] = [0.0]
+        last: list[int] = [-1]
         start: list[int] = [0]
         before = ""
         for word, plain in sorted((w if w[0] == " " else " " + w, w) for w in distinct):
             shared = len(commonprefix((before, word)))
-            del last[shared + 1 :], start[shared + 1 :]
+            del forward[shared + 1 :], last[shared + 1 :], start[shared + 1 :]
             for end in range(shared + 1, len(word) + 1):
-                # The longest piece that ends here and may follow what ends where it begins.
+                # All pieces that end here, shortest first.
                 begin = end
                 ends: list[tuple[int, int]] = []
                 while begin and (found := endings.get(word[begin - 1 : end])) is not None:
                     begin -= 1
                     if found >= 0:
                         ends.append((begin, found))
-                while ends:
-                    begin, found = ends.pop()
-                    pair = last[begin] << 32 | found
-                    fit = fits.get(pair)
-                    if fit is None:
-                        fit = fits[pair] = self._may_follow(last[begin], found)
-                    if fit:
-                        last.append(found)
-                        start.append(begin)
-                        break
+                best, piece, at = forward[end - 1] + unknown, -2, end - 1  # a character outside the vocabulary
+                if bpe:
+                    while ends:
+                        begin, found = ends.pop()
+                        pair = last[begin] << 32 | found
+                        fit = fits.get(pair)
+                        if fit is None:
+                            fit = fits[pair] = self._may_follow(last[begin], found)
+                        if fit:
+                            best, piece, at = forward[begin] + scores[found], found, begin
+                            break
                 else:
-                    last.append(-2)
-                    start.append(end - 1)
+                    if ends and ends[0][0] == at:  # the character is a piece
+                        best = -inf
+                    while ends:
+                        begin, found = ends.pop()
+                        total = forward[begin] + scores[found]
+                        if total > best:
+                            best, piece, at = total, found, begin
+                forward.append(best)
+                last.append(piece)
+                start.append(at)
             got: list[int] = []
             end = len(word)
             while end:
                 if last[end] >= 0:
                     got.append(last[end])
-                else:
+                elif self.by_bytes:
                     got.extend(self.byte[b] for b in reversed(word[end - 1].encode("utf-8", "surrogatepass")))
+                elif not got or got[-1] != self.unk:  # neighbouring unknown characters are one
+                    got.append(self.unk)
                 end = start[end]
             got.reverse()
             out[plain] = array("i", got).tobytes()
@@ -131,14 +152,17 @@ class Codec:
         return out
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
-        """Ids of each text, like the library's ``encode``: a mark in front, spaces as marks, bytes for
-        characters outside the vocabulary. Null and empty texts have none."""
+        """Ids of each text, like the library's ``encode``: a mark in front, spaces as marks, bytes (or the unknown
+        id) for characters outside the vocabulary. Null and empty texts have none."""
         units = [self._units(t) if t else [] for t in texts]
         memo = self.memo
-        memo.update(self.words({u for us in units for u in us}.difference(memo)))
+        new = self.words({u for us in units for u in us}.difference(memo))
+        memo.update(new)
+        self.held += sum(len(w) + len(x) for w, x in new.items()) + 200 * len(new)
         out = [np.frombuffer(b"".join(map(memo.__getitem__, us)), dtype=np.int32) for us in units]
-        if len(memo) > MEMO:
+        if self.held > MEMO:
             memo.clear()
+            self.held = 0
         return out
 
     @staticmethod
@@ -170,7 +194,8 @@ def encode(docs: DataFrame, model: str, batch: int = 2000) -> DataFrame:
     """doc_id, n_ids, ids, decoded_crc32 and round_trip of every row of ``docs``.
 
     decoded_crc32 is that of the decoded ids in UTF-8; round_trip says whether they give the text
-    back (null as empty). Texts of any length are encoded whole; repeated rows alike.
+    back (null as empty). Texts of any length are encoded whole; repeated rows alike; a null doc_id stays null. An
+    empty table gives an empty result; other columns are not looked at.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
