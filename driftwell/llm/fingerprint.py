@@ -11,6 +11,7 @@ beyond what chance would give.
 from __future__ import annotations
 
 import base64
+import bisect
 from collections.abc import Iterator
 
 import numpy as np
@@ -170,43 +171,41 @@ def fingerprints(docs: DataFrame, rank: np.ndarray | None = None) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next per row.
 
     The next document is that of the next smaller doc_id, after the last the first (nulls come
-    last, repeated ids in order of their texts). One row is its own next. Null texts count
+    last, repeated ids in order of their text hashes). One row is its own next. Null texts count
     as empty; an empty text has an empty fingerprint. An empty table gives an empty result.
     """
     if rank is None:
         rank = level_ranks(docs)
     spark = docs.sparkSession
-    rows = docs.select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("did"), F.coalesce("text", F.lit("")).alias("text"))
-    # Ids alone are ranked; they give the edges of runs that hold equally many rows.
+    rows = docs.select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("did"), F.xxhash64("text").alias("th"), F.coalesce("text", F.lit("")).alias("text"))
+    # Ids and text hashes alone are ranked; they give the edges of runs that hold equally many rows.
     runs = partitions(spark) * 2
-    ranked = with_ranks(rows.select("did"), [F.desc("did")], "ids")
+    ranked = with_ranks(rows.select("did", "th"), [F.desc("did"), F.col("th")], "ids")
     total = ranked.count()
     step = max(-(-total // runs), 1)
-    edges = sorted({r["did"] for r in ranked.where(F.col("rank") % step == 0).select("did").collect()}, reverse=True)
-    tops = np.array(edges[::-1], dtype=np.int64)  # ascending; run r goes from edges[r] down
-    last = len(edges) - 1
+    # In order of the runs; at most one more than there are runs.
+    edges = sorted({(-r["did"], r["th"]) for r in ranked.where(F.col("rank") % step == 0).select("did", "th").collect()})
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # A run's first id also goes to the run before, whose last document it follows.
+        # A run's first row also goes to the run before, whose last document it follows.
         for batch in batches:
-            ids = batch.column(0).to_numpy()
-            run = last - np.searchsorted(tops, ids)
-            start = np.flatnonzero(np.isin(ids, tops))
-            before = np.where(run[start] == 0, last, run[start] - 1)
-            take = pa.array(np.concatenate([np.arange(len(ids)), start]))
+            places = [(-did, th) for did, th in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
+            run = np.array([bisect.bisect_right(edges, x) - 1 for x in places], dtype=np.int32)
+            start = np.array([i for i, x in enumerate(places) if edges[run[i]] == x], dtype=np.int64)
+            take = pa.array(np.concatenate([np.arange(len(run)), start]))
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(np.concatenate([run, before]).astype(np.int32)),
-                    pa.array(np.concatenate([np.zeros(len(ids)), np.ones(len(start))]).astype(bool)),
-                    batch.column(0).take(take),
-                    batch.column(1).take(take),
+                    pa.array(np.concatenate([run, (run[start] - 1) % len(edges)]).astype(np.int32)),
+                    pa.array(np.concatenate([np.zeros(len(run)), np.ones(len(start))]).astype(bool)),
+                    *(batch.column(c).take(take) for c in range(3)),
                 ],
-                names=["run", "extra", "did", "text"],
+                names=["run", "extra", "did", "th", "text"],
             )
 
-    dealt = in_batches(rows).mapInArrow(deal, "run int, extra boolean, did long, text string") if total else rows.selectExpr("0 AS run", "false AS extra", "did", "text")
-    order = [F.col("run"), F.col("extra"), F.desc("did"), F.col("text")]
-    together = dealt.repartition(partitions(spark), "run").sortWithinPartitions(*order)
+    schema = "run int, extra boolean, did long, th long, text string"
+    dealt = in_batches(rows).mapInArrow(deal, schema) if total else rows.selectExpr("0 AS run", "false AS extra", "did", "th", "text")
+    order = [F.col("run"), F.col("extra"), F.desc("did"), F.col("th"), F.col("text")]
+    together = dealt.repartition(partitions(spark), "run").sortWithinPartitions(*order).drop("th")
     out = pa.schema([
         ("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()),
         ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64()),
