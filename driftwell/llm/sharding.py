@@ -119,11 +119,13 @@ def zone_map(assigned: DataFrame) -> DataFrame:
 def write_shards(docs: DataFrame, path: str, shards: int = SHARDS, max_rows: int = 500_000) -> DataFrame:
     """Write ``docs`` with their shard as a Parquet table partitioned by shard; returns the zone map.
 
-    Repeated doc_ids share the shard of one of their rows.
+    Repeated doc_ids share the shard of one of their rows. The table's column ``shard`` takes the place of one of
+    that name.
     """
     assigned = hilbert_shards(docs, shards)
-    place = assigned.groupBy("doc_id").agg(F.min("shard").alias("shard"))
-    rows = docs.join(place, docs["doc_id"].eqNullSafe(place["doc_id"])).drop(place["doc_id"])
+    place = assigned.groupBy(F.col("doc_id").alias("id")).agg(F.min("shard").alias("at"))
+    names = [c for c in docs.columns if c != "shard"]
+    rows = docs.select(F.struct(*names).alias("row")).join(place, F.col("row.doc_id").eqNullSafe(F.col("id"))).select("row.*", F.col("at").alias("shard"))
     rows.write.partitionBy("shard").option("maxRecordsPerFile", max_rows).parquet(path)
     return zone_map(assigned)
 
