@@ -11,18 +11,19 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from driftwell.llm import best_fit_packing, exact_dedup, fingerprint, language_id, line_dedup, minhash, quality, sentencepiece_codec, sharding, toxicity
+from driftwell.llm import best_fit_packing, common, exact_dedup, fingerprint, language_id, line_dedup, minhash, quality, sentencepiece_codec, sharding, toxicity
 from driftwell.llm.components import connected_components
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, did long, rank int, level int"
+CLASHES = ["did", "th", "rank", "level", "gone", "row", "node", "_did", "_text", "left", "score", "shard", "one", "n", "key"]
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{c} int" for c in CLASHES)
 LABELS = "doc_id long, quality int, toxic int"
 
 
 def frame(spark, rows):
     """Documents with columns whose names the operators use inside."""
-    return spark.createDataFrame([(i, t, lang, "s", len(t or ""), 7, 7, 7) for i, t, lang in rows], SCHEMA)
+    return spark.createDataFrame([(i, t, lang, "s", len(t or ""), *[7] * len(CLASHES)) for i, t, lang in rows], SCHEMA)
 
 
 def nasty():
@@ -33,6 +34,7 @@ def nasty():
     rows = [(1, None, None), (2, "", "en"), (3, " \t\n ", "en"), (4, "x", None), (5, "123 456", "en"), (6, line, "en"), (7, line, "fr")]
     rows += [(8, line.replace(" ", "  "), "en"), (8, line, "en"), (8, line, "en"), (None, line, "en"), (None, "other text", None)]
     rows += [(9, long, "en"), (10, long + " tail", "de"), (11, "a" * 50_000, "en"), (12, line + "\n" + long[:3000], "en"), (-5, "é😀" * 10, "en")]
+    rows += [(13, "a <|endoftext|> b<|endoftext|>\n\nc", "en"), (14, "x" + " " * 60_000 + "y", "en")]
     return rows
 
 
@@ -133,24 +135,55 @@ def test_components_of_a_million_links(spark):
 
 
 def test_patience_blocks():
-    assert line_dedup.patience_blocks([1, 2, 3, 4], [9, 2, 3, 8, 4]) == [(1, 1, 2), (3, 4, 1)]
-    assert line_dedup.patience_blocks([], [1]) == [] and line_dedup.patience_blocks([5, 5], [5, 5, 5]) == [(0, 0, 2)]
-    words = [20] * 6
-    # Blocks in another order and repeated ones go too.
-    assert line_dedup.lost_lines([1, 2, 3], [3, 1, 2, 7, 3, 8], words, 10) == [0, 1, 2, 4]
-    assert line_dedup.lost_lines([1], [1, 2], [3, 3], 10) == []
-
-
-def test_blocks_crossed_by_a_short_line_go():
-    assert line_dedup.lost_lines([1, 2], [2, 1], [20, 3], 10) == [0]
+    assert line_dedup.patience_blocks([(0, 0, 1), (1, 1, 1), (2, 5, 2)]) == [[(0, 0, 2), (2, 5, 2)]]
+    # Crossing anchors are aligned in turn, and each anchor is in one alignment.
+    assert line_dedup.patience_blocks([(0, 2, 1), (1, 0, 1), (2, 1, 1)]) == [[(1, 0, 2)], [(0, 2, 1)]]
+    assert line_dedup.patience_blocks([]) == []
+    rng = random.Random(2)
+    for _ in range(200):
+        anchors = [(rng.randrange(9), rng.randrange(9), 1) for _ in range(rng.randrange(12))]
+        chains = line_dedup.patience_blocks(anchors)
+        assert all(x[0] < y[0] and x[1] < y[1] for c in chains for x, y in zip(c, c[1:]))
+        assert Counter((a + k, b + k) for c in chains for a, b, n in c for k in range(n)) == Counter((a, b) for a, b, _ in set(anchors))
+
+
+def lines_lost(rows, least=10):
+    """By definition, over all pairs: lines in runs of ``least`` words that an earlier document has, and blank lines between them."""
+    seen, out = set(), {}
+    for i, t in sorted(rows):
+        whole = [x.strip(" ") for x in t.split("\n")]
+        full = [j for j, x in enumerate(whole) if x]
+        runs = {(a, b): tuple(whole[j] for j in full[a:b]) for a in range(len(full)) for b in range(a + 1, len(full) + 1)}
+        gone = {k for (a, b), run in runs.items() if run in seen and sum(len(x.split()) for x in run) >= least for k in range(a, b)}
+        seen.update(runs.values())
+        lost = {full[k] for k in gone}
+        for k in gone:
+            if k + 1 in gone:
+                lost.update(range(full[k], full[k + 1]))
+        out[i] = sorted(lost)
+    return out
+
+
+def test_line_dedup_against_all_pairs(spark):
     rng = random.Random(4)
-    for _ in range(500):
-        old, new = ([rng.randrange(6) for _ in range(rng.randrange(9))] for _ in range(2))
-        words = [rng.randrange(1, 8) for _ in new]
-        kept = set(range(len(new))) - set(line_dedup.lost_lines(old, new, words, 10))
-        for j, n in ((j, n) for j in range(len(new)) for n in range(1, len(new) - j + 1)):
-            if kept.issuperset(range(j, j + n)) and sum(words[j : j + n]) >= 10:
-                assert new[j : j + n] not in [old[i : i + n] for i in range(len(old))]
+    pool = [" ".join(f"w{rng.randrange(50)}" for _ in range(rng.randrange(1, 8))) for _ in range(14)]
+    rows = [(i, "\n".join(rng.choice(["", "  ", *pool, *pool]) for _ in range(rng.randrange(0, 16)))) for i in range(80)]
+    # A boilerplate line with the earliest holder 1 does not keep 9 from meeting 5.
+    hot = "this line is everywhere"
+    rows += [(101, hot), (105, f"alpha beta gamma\n{hot}\ndelta epsilon zeta"), (109, f"x\nalpha beta gamma\n{hot}\ndelta epsilon zeta")]
+    want = lines_lost(rows)
+    assert want[109] == [1, 2, 3] and sum(map(len, want.values())) > 90
+    got = line_dedup.line_dedup(frame(spark, [(i, t, "en") for i, t in rows])).collect()
+    assert {r.doc_id: r.lines_removed for r in got} == want
+    assert all(r.text == "\n".join(x for j, x in enumerate(t.split("\n")) if j not in want[i]) for r in got for i, t in rows if r.doc_id == i)
+    assert all(r[c] == 7 for r in got for c in CLASHES)
+
+
+def test_many_equal_lines(spark):
+    line = "one two three four five six seven eight nine ten eleven"
+    rows = [(1, "\n".join([line] * 100_000), "en"), (2, "\n".join([line] * 100_000), "en"), (3, f"x\n{line}", "en")]
+    got = line_dedup.line_dedup(frame(spark, rows)).select("doc_id", F.size("lines_removed").alias("n")).collect()
+    assert {r.doc_id: r.n for r in got} == {1: 0, 2: 100_000, 3: 1}
 
 
 def test_runs_of_lines_pair_documents(spark):
@@ -192,8 +225,7 @@ def test_packing_matches_the_tokenizer(spark):
     from tokenizers import Tokenizer
 
     whole = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    whole.encode_special_tokens = True
-    rows = nasty()
+    rows = [*nasty(), (20, " " * 1_000_000, "en"), (21, "ab!c" * 250_000, "en"), (22, "z" + "\n" * 70_000 + "<|endoftext|>", "en")]
     got = best_fit_packing.pack(frame(spark, rows), public_tokenizers.path("byte_bpe_50k.json")).collect()
     want = []
     for i, t, _ in rows:
@@ -241,17 +273,45 @@ def test_sentencepiece_equals_the_library(spark):
     assert codec.decode(library.encode("a▁b")) == "a b"
 
 
-def test_unigram_models_are_refused(tmp_path):
+def unigram_model(path, pieces):
+    """A unigram model file written by hand: nothing is trained."""
+    import struct
+
+    def field(number, kind, payload):
+        size = b"" if kind != 2 else varint(len(payload))
+        return varint(number << 3 | kind) + size + payload
+
+    def varint(n):
+        out = b""
+        while n > 127:
+            out, n = out + bytes([n & 127 | 128]), n >> 7
+        return out + bytes([n])
+
+    raw = b""
+    for piece, score, kind in [("<unk>", 0.0, 2), ("<s>", 0.0, 3), ("</s>", 0.0, 3), *[(p, x, 1) for p, x in pieces]]:
+        raw += field(1, 2, field(1, 2, piece.encode()) + field(2, 5, struct.pack("<f", score)) + field(3, 0, varint(kind)))
+    raw += field(2, 2, field(3, 0, varint(1)))  # the trainer's kind of model: unigram
+    raw += field(3, 2, field(1, 2, b"identity") + field(3, 0, varint(1)) + field(4, 0, varint(0)) + field(5, 0, varint(1)))
+    path.write_bytes(raw)
+    return str(path)
+
+
+def test_unigram_models_take_the_best_path(tmp_path):
     import sentencepiece
 
     rng = random.Random(6)
-    words = ["".join(rng.choice("abcdefgh") for _ in range(rng.randrange(2, 7))) for _ in range(200)]
-    lines = [" ".join(rng.choice(words) for _ in range(20)) for _ in range(200)]
-    for kind in ("unigram", "bpe"):
-        sentencepiece.SentencePieceTrainer.train(sentence_iterator=iter(lines), model_prefix=str(tmp_path / kind), model_type=kind, vocab_size=60, minloglevel=2)
-    assert sentencepiece_codec.Codec(str(tmp_path / "bpe.model")).encode(["ab"])
-    with pytest.raises(ValueError, match="not a BPE model"):
-        sentencepiece_codec.Codec(str(tmp_path / "unigram.model"))
+    pieces = {"▁": -4.5, **{c: -5.0 - i / 7 for i, c in enumerate("abcdefgh")}}
+    while len(pieces) < 120:
+        pieces.setdefault(rng.choice(["", "▁"]) + "".join(rng.choice("abcdefgh") for _ in range(rng.randrange(1, 5))), -rng.uniform(2, 12))
+    model = unigram_model(tmp_path / "unigram.model", list(pieces.items()))
+    library = sentencepiece.SentencePieceProcessor(model_file=model)
+    codec = sentencepiece_codec.Codec(model)
+    assert not codec.bpe
+    texts = [" ".join("".join(rng.choice("abcdefghx") for _ in range(rng.randrange(1, 12))) for _ in range(rng.randrange(1, 9))) for _ in range(300)]
+    for text, ids in zip(texts, codec.encode(texts), strict=True):
+        assert ids.tolist() == library.encode(text)
+    with pytest.raises(ValueError, match="across words"):
+        sentencepiece_codec.Codec(unigram_model(tmp_path / "wide.model", [("a▁b", -1.0)]))
 
 
 def test_hilbert_curve_visits_neighbours(spark):
@@ -272,6 +332,12 @@ def test_shards_are_even_and_gapless(spark, tmp_path):
     for r in got:
         by[r.shard].append(r.slot)
     assert {len(v) for v in by.values()} == {4, 5} and all(sorted(v) == list(range(len(v))) for v in by.values())
+    ordered = sorted(got, key=lambda r: (r.shard, r.slot))
+    assert [r.curve for r in ordered] == sorted(r.curve for r in got)
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    assert all(r.size == len(texts[r.doc_id].encode()) + 8 and r.text_crc32 == crc32(texts[r.doc_id].encode()) and r.law == "rows" for r in got)
+    tied = sharding.hilbert_shards(frame(spark, [(5, "same", "en")] * 50), 24).collect()
+    assert sorted(Counter(r.shard for r in tied).values()) == [2] * 22 + [3] * 2 and len({(r.shard, r.slot) for r in tied}) == 50
     zones = sharding.write_shards(docs, str(tmp_path / "out"), 4)
     assert spark.read.parquet(str(tmp_path / "out")).count() == 101 and zones.count() == 4
 
@@ -351,25 +417,166 @@ def test_models_on_held_out_rows(spark):
         assert left.columns == docs.columns and left.count() == sum(r.predicted == (1 if at == 1 else 0) for r in out)
 
 
-def test_grammar_composes():
+def weigh(text, lexicon):
+    return [toxicity.clause_weight(c, lexicon) for c in toxicity.clauses(text.lower())]
+
+
+def test_clauses_match_by_pattern():
     lexicon = toxicity.Lexicon({"grubbo": 4.0}, {})
-    weight = lambda text: toxicity.clause_weight(text.split(), lexicon)
-    assert weight("grubbo") == 4.0 and weight("you grubbo") == 4.8
-    assert weight("not a grubbo") == 2.0 and weight("they said grubbo") == 2.0
-    assert weight("kill the time") == 0.0 and weight("you i will kill") == 1.2
+    assert weigh("grubbo", lexicon) == [0.0] and weigh('"grubbo"', lexicon) == [0.0]  # a lone word is no clause
+    assert weigh("a grubbo", lexicon) == weigh("grubbo text", lexicon) == [4.0]
+    assert weigh("you grubbo", lexicon) == weigh("grubbo you", lexicon) == [4.8]
+    assert weigh("not a grubbo", lexicon) == weigh("it said a grubbo", lexicon) == [2.0] and weigh("they said not a grubbo", lexicon) == [1.2]
+    assert weigh("grubbo one two three four five six you", lexicon) == [4.0]
 
 
 def test_threats_and_reported_speech():
     lexicon = toxicity.Lexicon({"grubbo": 4.0}, {})
-    weights = lambda text: [toxicity.clause_weight(c, lexicon) for c in toxicity.clauses(text.lower())]
-    assert weights("I will kill you") == [1.2] and weights("kill the time") == [0.0] and weights("I will kill. You") == [0.0, 0.0]
+    assert weigh("I will kill you", lexicon) == weigh("you I will kill", lexicon) == [1.2]
+    assert weigh("kill the time", lexicon) == [0.0] and weigh("I will kill. You", lexicon) == [0.0, 0.0]
     assert toxicity.evidence("I will kill you.", lexicon)[0] == 1.2
-    assert weights("he said: you grubbo") == [2.0] and weights("note: you grubbo") == [0.0, 4.8]
-    assert weights('he said: "go. one two three four five six seven eight nine. grubbo" and grubbo') == [6.0]
-    assert weights('he said "go\ngrubbo') == [0.0, 4.0] and weights('a "grubbo"') == [4.0]
+    assert weigh("it said: a grubbo", lexicon) == [2.0] and weigh("note: you grubbo", lexicon) == [0.0, 4.8]
+    assert weigh('it said: "go. one two three four five six seven eight nine. grubbo" and grubbo', lexicon) == [6.0]
+    assert weigh('it said "go\na grubbo', lexicon) == [0.0, 4.0]
+
+
+def test_words_of_several_kinds_take_the_best_path():
+    lexicon = toxicity.Lexicon({"kill": 5.0, "grubbo": 4.0, "zorks": 1.0, "mord": 3.0}, {"gru": 2.0}, {"zorks": "target", "mord": "threat"})
+    assert dict(lexicon.read("kill")) == {"insult": 5.0, "threat": 1.0} and dict(lexicon.read("grubbel")) == {"insult": 2.0}
+    assert weigh("kill the time", lexicon) == [5.0] and weigh("kill you", lexicon) == [6.0]
+    assert weigh("mord the time", lexicon) == [0.0] and weigh("mord the zorks", lexicon) == [pytest.approx(3.6)]
+
+    def brute(readings):
+        """Every reading and every way through the transducers, one after the other."""
+        best = 0.0
+
+        def walk(i, states, total):
+            nonlocal best
+            if i == len(readings):
+                if not states[2][1] and states[3] != 2:
+                    best = max(best, total)
+                return
+            for symbol, weight in readings[i]:
+                for a, out1, f1 in toxicity.negation(states[0], symbol):
+                    for b, out2, f2 in toxicity.reported(states[1], out1):
+                        for c, out3, f3 in toxicity.target(states[2], out2):
+                            for d, out4, f4 in toxicity.insult(states[3], out3):
+                                walk(i + 1, (a, b, c, d), total + (weight * f1 * f2 * f3 * f4 if out4 == "hit" else 0))
+
+        walk(0, (0, 0, (0, 0), 0), 0.0)
+        return best
+
+    rng = random.Random(9)
+    for _ in range(150):
+        words = [rng.choice(["you", "not", "said", '"', "a", "b", "c", "d", "kill", "grubbo", "mord", "zorks", "idiot"]) for _ in range(rng.randrange(1, 9))]
+        assert toxicity.clause_weight(words, lexicon) == pytest.approx(brute([lexicon.read(w) for w in words]))
+
+
+def test_learned_arcs_have_kinds():
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("bcdfglmnprstv") + rng.choice("aeiou") for _ in range(3))
+    texts, y = [], []
+    for i in range(400):
+        words = [word() for _ in range(30)]
+        if i % 2:
+            words[10:12] = ["mordo", "you"]
+            words[20:22] = ["idiot", "xenkels"]
+            words[5] = "grubbo"
+        texts.append(" ".join(words))
+        y.append(i % 2)
+    lexicon = toxicity.Lexicon.learn(toxicity.Sample(texts, np.array(y)), np.ones(400, dtype=bool))
+    assert {"mordo", "xenkels", "grubbo"} <= set(lexicon.words)
+    assert lexicon.kinds.get("mordo") == "threat" and lexicon.kinds.get("xenkels") == "target" and "grubbo" not in lexicon.kinds
 
 
 def test_undetermined_language(spark):
     rows, _ = corpus(3, 60)
     got = {r.doc_id: r for r in language_id.identify(frame(spark, [(500, None, None), (501, "12 34 ²", "en"), (502, "", "fr"), *rows]), language_id.fit(frame(spark, rows))).collect()}
     assert {got[i].lang_pred for i in (500, 501, 502)} == {"und"} and {got[i].score for i in (500, 501, 502)} == {0.0}
+
+
+def test_samples_are_drawn_row_by_row(spark):
+    texts = ["the ing th er " * 8 + f"{i}" for i in range(300)]
+    # Half of the labels belong to no document, one id has 20,000 rows, and many texts are null.
+    rows = [(i, t, "en") for i, t in enumerate(texts)] + [(11, f"eau les oui {i}", "fr") for i in range(20_000)] + [(i, None, "de") for i in range(400, 2000)]
+    docs = frame(spark, rows).repartition(4).cache()
+    known = spark.createDataFrame([(i, i % 2, 0) for i in range(100_000)], LABELS)
+    sample, sizes = common.labelled_sample(docs, known, "quality", folds=3, held_out=1, per_class=80, max_bytes=1 << 20)
+    usable = [r for r in rows if r[1] is not None and crc32(str(r[0]).encode()) % 3 != 1]
+    assert sizes == Counter(r[0] % 2 for r in usable) and Counter(y for _, y in sample) == {0: 80, 1: 80}
+    assert len(set(sample)) == 160 and sum(len(t) for t, _ in common.labelled_sample(docs, known, "quality", folds=3, held_out=1, per_class=80, max_bytes=2000)[0]) <= 2000
+    model = language_id.fit(docs)
+    assert set(model.languages) == ({"en", "fr"} if crc32(b"11") % 5 else {"en"})
+    docs.unpersist()
+
+
+def test_scores_equal_the_kernel():
+    """Ridge over explicit kernels of whole n-gram sets, without the folding of matrices that the model does."""
+    rows, _ = corpus(5, 60)
+    texts, langs = [t for _, t, _ in rows], [x for _, _, x in rows]
+    model = language_id.Model.fit(texts, langs)
+    sets = [[set(p.tolist()) for p in language_id.presence(t)] for t in texts]
+    kernel = np.array([[sum(len(a[k] & b[k]) / np.sqrt(max(len(a[k]), 1) * max(len(b[k]), 1)) for k in range(3)) / 3 for b in sets] for a in sets])
+    y = np.array([model.languages.index(x) for x in langs])
+    picked = np.concatenate([np.flatnonzero(y == c)[: language_id.LANDMARKS // len(model.languages)] for c in range(len(model.languages))])
+    values, vectors = np.linalg.eigh(kernel[np.ix_(picked, picked)])
+    sound = values > 1e-6 * values.max()
+    mapped = kernel[:, picked] @ (vectors[:, sound] / np.sqrt(values[sound]))
+    w = 1 / np.bincount(y)[y]
+    goal = np.where(y[:, None] == np.arange(len(model.languages)), 1.0, -1.0)
+    want = mapped @ np.linalg.solve((mapped * w[:, None]).T @ mapped + language_id.RIDGE * np.eye(mapped.shape[1]), (mapped * w[:, None]).T @ goal)
+    assert np.abs(model.scores(texts) - want).max() < 1e-3
+
+
+def test_quality_threshold_is_a_quantile():
+    rows, marks = corpus(2, 200)
+    y = np.array([m[1] for m in marks])
+    model = quality.Model.fit([t for _, t, _ in rows], y, {0: int((y == 0).sum()), 1: int((y == 1).sum())})
+    score = model.score(np.array([quality.features(t) for _, t, _ in rows]))
+    assert abs((score < 0.5).mean() - (y == 0).mean()) < 0.02
+    # Pairs are ranked as labelled, and the weights are where the loss of the pairs is least along every axis.
+    good, bad = score[y == 1], score[y == 0]
+    assert (good[:, None] > bad[None, :]).mean() > 0.99
+
+
+def test_selected_windows_against_brute_force():
+    rng = np.random.default_rng(3)
+    data = rng.integers(97, 110, 400).astype(np.uint8)
+    rank = rng.permutation(fingerprint.LEVELS)
+    w, reach = fingerprint.WINDOW, fingerprint.REACH
+    levels, hashes = fingerprint.entropy_levels(data), fingerprint.window_hashes(data, w)
+    key = [(int(rank[lv]), int(h) >> 16) for lv, h in zip(levels, hashes, strict=True)]
+    want = [int(hashes[i]) for i in range(len(key)) if key[i] == min(key[max(0, i - reach) : i + reach + 1])]
+    assert fingerprint.features(data.tobytes(), rank).tolist() == list(dict.fromkeys(want))
+
+
+def test_fingerprints_of_shared_ids(spark):
+    rows = [(None, f"text {i} " * 5, "en") for i in range(40)] + [(3, "one text " * 9, "en")] * 5 + [(7, "alone " * 30, "en")]
+    got = fingerprint.fingerprints(frame(spark, rows)).collect()
+    assert Counter((r.doc_id, r.n_chars) for r in got) == Counter((i, len(t)) for i, t, _ in rows)
+    single = fingerprint.fingerprints(frame(spark, rows[-1:])).first()
+    assert single.near_next == 1.0 and single.edited_sha256 == hashlib.sha256(("alone " * 20 + "alone " * 10).encode()).hexdigest()
+
+
+def test_near_duplicates_under_hot_ids_and_buckets(spark):
+    rng = random.Random(7)
+    # 2000 null ids: half with texts of their own, half copies of one; and a template that shares buckets but no links.
+    rows = [(None, " ".join(f"v{rng.randrange(10**6)}" for _ in range(12)), "en") for _ in range(1000)] + [(None, "one text that is here many times over", "en")] * 1000
+    base = [f"t{i}" for i in range(240)]
+    for i in range(300):
+        words = list(base)
+        for k in range(0, 240, 20):
+            words[k] = f"u{i}x{k}"
+        rows.append((i, " ".join(words), "en"))
+    rows += [(1000 + i, " ".join(base[:100] + [f"q{i % 2}x{k}" for k in range(60)]), "en") for i in range(10)]
+    docs = frame(spark, rows)
+    got = minhash.near_duplicates(docs, 85).collect()
+    assert len(got) == len(rows) and all(r.kept == (r.doc_id == r.component_id) for r in got)
+    assert {r.component_id for r in got if r.doc_id is not None and r.doc_id < 300} == set(range(300))
+    assert {(r.doc_id, r.component_id) for r in got if r.doc_id is not None and r.doc_id >= 1000} == {(1000 + i, 1000 + i % 2) for i in range(10)}
+    keyed = minhash._keyed(docs)
+    own = minhash._signatures(docs).select("did", "th").distinct().withColumn("node", F.monotonically_increasing_id())
+    assert minhash._sets(keyed, own).count() == len(rows)  # one row for each row: no row meets another's set
+    left = minhash.one_of_each(docs, 85)
+    assert left.columns == docs.columns and left.count() == 1001 + 300 + 2
+    assert left.where(" OR ".join(f"{c} <> 7" for c in CLASHES)).count() == 0
