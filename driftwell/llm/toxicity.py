@@ -225,7 +225,7 @@ class Lexicon:
         # Arcs in fewer than three toxic texts are dropped first, so that the rest stays small.
         df_word = np.bincount(word, minlength=n_words)
         df_stem = np.bincount(in_texts(bad, None)[0], minlength=n_stems)
-        tried = int((df_word > 0).sum() + (df_stem > 0).sum())
+        tried = int((df_word > 0).sum()) + sample.stems_tried
         common = df_stem >= 3
 
         def different(arc: np.ndarray, mark: np.ndarray, n: int) -> np.ndarray:
@@ -298,7 +298,7 @@ class Sample:
     def __init__(self, texts: list[str], y: np.ndarray):
         self.y = np.asarray(y)
         ids: dict[str, int] = {}
-        own = [np.array([ids.setdefault(w, len(ids)) for w in _WORD.findall(t.lower())], dtype=np.int64) for t in texts]
+        own = [np.array([ids.setdefault(w, len(ids)) for w in _WORD.findall(t.lower())], dtype=np.int32) for t in texts]
         self.words = list(ids)
         seed = np.array([("target", "hit")[s != "target"] if (s := _SEED.get(w)) in ("target", *_HITS) else "" for w in self.words] + [""])
         parts: list[list[np.ndarray]] = [[], [], [], []]
@@ -306,21 +306,38 @@ class Sample:
             word, first = np.unique(whole, return_index=True)
             order = np.argsort(first)
             word, first = word[order], first[order]
-            edged = np.concatenate([[-1], whole, [-1]])
-            for part, values in zip(parts, (np.full(len(word), i), word, edged[first], edged[first + 2]), strict=True):
+            edged = np.concatenate([[-1], whole, [-1]]).astype(np.int32)
+            for part, values in zip(parts, (np.full(len(word), i, dtype=np.int32), word, edged[first], edged[first + 2]), strict=True):
                 part.append(values)
-        self.text, self.word, left, right = (np.concatenate(p) if p else np.zeros(0, dtype=np.int64) for p in parts)
-        self.beside = (left + 1 << 31) + right + 1
+        self.text, self.word, left, right = (np.concatenate(p) if p else np.zeros(0, dtype=np.int32) for p in parts)
+        self.beside = (left.astype(np.int64) + 1 << 31) + right + 1
         self.by_target = (seed[left] == "target") | (seed[right] == "target")
         self.by_hit = (seed[left] == "hit") | (seed[right] == "hit")
+        self._stem(self.y[self.text] == 1)
+
+    def _stem(self, bad: np.ndarray) -> None:
+        """``stem_of``, ``stem_names`` and ``stems_tried``. Only stems in three toxic texts can prove anything, so the
+        others are counted and forgotten."""
+        text, word = self.text[bad], self.word[bad]
         stems: dict[str, int] = {}
-        self.stem_of = np.full((len(ids), len(STEMS)), -1, dtype=np.int64)
+        times: list[int] = []
+        for i in np.unique(text):
+            own = {w[:k] for at in word[np.searchsorted(text, i) : np.searchsorted(text, i, side="right")] for k in STEMS if len(w := self.words[at]) > k}
+            for stem in own:
+                at = stems.setdefault(stem, len(times))
+                if at == len(times):
+                    times.append(0)
+                times[at] += 1
+        self.stems_tried = len(stems)
+        self.stem_names = [x for x, at in stems.items() if times[at] >= 3]
+        known = {x: i for i, x in enumerate(self.stem_names)}
+        del stems, times
+        self.stem_of = np.full((len(self.words), len(STEMS)), -1, dtype=np.int32)
         for i, w in enumerate(self.words):
             for at, k in enumerate(STEMS):
                 if len(w) <= k:
                     break
-                self.stem_of[i, at] = stems.setdefault(w[:k], len(stems))
-        self.stem_names = list(stems)
+                self.stem_of[i, at] = known.get(w[:k], -1)
 
 
 def clause_weight(words: list[str], lexicon: Lexicon) -> float:
