@@ -12,6 +12,12 @@ def trailing_zeros(column: Column, bits: int = 32) -> Column:
     return F.when(low == 0, F.lit(bits - 1)).otherwise(F.bit_count(low.bitwiseAND(-low) - 1)).cast("int")
 
 
+def trailing_zeros_int(column: Column) -> Column:
+    """Trailing zero bits of an int, 0 to 32."""
+    low = column.cast("long").bitwiseAND(F.lit(0xFFFFFFFF))
+    return F.when(low == 0, F.lit(32)).otherwise(F.bit_count(low.bitwiseAND(-low) - 1)).cast("int")
+
+
 def little_endian_u32(column: Column, position: Column | int) -> Column:
     """Unsigned value of 4 bytes of a binary column from a 0-based position, zero-padded past the end."""
     at = F.lit(position) if isinstance(position, int) else position

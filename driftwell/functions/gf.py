@@ -10,10 +10,20 @@ PRIME = 2147483647
 
 
 def add(a: Column, b: Column, p: int = PRIME) -> Column:
+    if p > LONG_PRODUCTS:  # the sum itself may leave the range of a long
+        a, b = (F.pmod(x.cast("long"), F.lit(p).cast("long")) for x in (a, b))
+        return F.when(a >= F.lit(p) - b, a - (F.lit(p) - b)).otherwise(a + b)
     return F.pmod(a + b, F.lit(p).cast("long"))
 
 
+#: The greatest modulus whose products fit a long; beyond, decimals of 38 digits hold those of moduli below 2**63.
+LONG_PRODUCTS = 3037000499
+
+
 def mul(a: Column, b: Column, p: int = PRIME) -> Column:
+    if p > LONG_PRODUCTS:
+        wide = [F.pmod(x.cast("long"), F.lit(p).cast("long")).cast("decimal(19,0)") for x in (a, b)]
+        return ((wide[0] * wide[1]).cast("decimal(38,0)") % F.lit(p).cast("decimal(19,0)")).cast("long")
     return F.pmod(F.pmod(a, F.lit(p).cast("long")) * F.pmod(b, F.lit(p).cast("long")), F.lit(p).cast("long"))
 
 

@@ -169,6 +169,10 @@ def utf16(column: Column) -> Column:
 
 
 def item_block(key: Column | str = "key", value: Column | str = "value") -> Column:
-    """The bytes that identify a key-value row: key, '-' and value in UTF-16LE. ("a-b","c") and ("a","b-c") coincide."""
-    k, v = (F.col(c) if isinstance(c, str) else c for c in (key, value))
+    """The bytes that identify a key-value row: key, '-' and value in UTF-16LE. ("a-b","c") and ("a","b-c") coincide.
+
+    A null stands as the character U+0000, so that rows with null values keep ids of their own and null
+    differs from empty.
+    """
+    k, v = (F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit("\0")) for c in (key, value))
     return utf16(F.concat(k, F.lit("-"), v))

@@ -16,17 +16,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from driftwell.functions.hashing import CHECK_SEED, murmur32, murmur32_bytes
-from driftwell.staging import stage
+from driftwell.staging import drop, stage
 
 HASHES = 3
 #: Cells for each estimated difference.
 CELLS_PER_DIFFERENCE = 2
 #: Cells that one task decodes; beyond, decoding runs as rounds of DataFrame operations.
 ONE_TASK = 1 << 18
-
-
-class DecodeError(RuntimeError):
-    """The cells cannot be peeled to nothing; a larger filter may."""
+#: Most rounds of a decode across the cluster, and the side of the row that says that cells are left.
+MOST_ROUNDS, STUCK = 100, 0
 
 
 def build(ids: DataFrame, size: int, hashes: int = HASHES, by: tuple[str, ...] = (), weight: int = 1) -> DataFrame:
@@ -67,13 +65,13 @@ def peel(cells: pd.DataFrame, size: int, hashes: int = HASHES) -> tuple[np.ndarr
     """Ids of the minuend alone, of the subtrahend alone, and whether all cells came out empty.
 
     A cell with count 1 or -1 whose id has the cell's hash holds one id. All of those leave at once, and
-    what they uncover leaves in the next round.
+    what they uncover leaves in the next round. Two seeds of one id on one cell can make an id look as if it were on
+    the other side; it then leaves more than once, so what counts is the sum of its signs.
     """
     cnt, ids, sums = (np.zeros(size, dtype=np.int64) for _ in range(3))
     at = cells["cell"].to_numpy()
     cnt[at], ids[at], sums[at] = cells["cnt"], cells["id_sum"], cells["hash_sum"]
-    plus: list[np.ndarray] = []
-    minus: list[np.ndarray] = []
+    out, signs = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
     look = np.flatnonzero(np.abs(cnt) == 1)
     while len(look):
         pure = look[_hash_longs(ids[look], CHECK_SEED) == sums[look]]
@@ -81,8 +79,8 @@ def peel(cells: pd.DataFrame, size: int, hashes: int = HASHES) -> tuple[np.ndarr
         if not len(found):
             break
         sign, check = cnt[pure][first], sums[pure][first]
-        plus.append(found[sign > 0])
-        minus.append(found[sign < 0])
+        out.append(found)
+        signs.append(sign)
         touched = []
         for s in range(hashes):
             cell = _hash_longs(found, s) % size
@@ -93,53 +91,70 @@ def peel(cells: pd.DataFrame, size: int, hashes: int = HASHES) -> tuple[np.ndarr
         look = np.unique(np.concatenate(touched))
         look = look[np.abs(cnt[look]) == 1]
     done = not (cnt.any() or ids.any() or sums.any())
-    return tuple(np.concatenate(x) if x else np.zeros(0, dtype=np.int64) for x in (plus, minus)) + (done,)
+    found, of = np.unique(np.concatenate(out), return_inverse=True)
+    net = np.bincount(of, weights=np.concatenate(signs), minlength=len(found))
+    return found[net > 0], found[net < 0], done
 
 
 def decode(cells: DataFrame, size: int, hashes: int = HASHES) -> DataFrame:
     """(side, id): 1 for ids of the minuend alone, -1 for those of the subtrahend alone.
 
     Filters hold a few cells for each difference, not for each row; up to ONE_TASK cells are peeled by one task,
-    larger ones in rounds across the cluster. Raises DecodeError (inside the task: an error that
-    names it) where peeling gets stuck.
+    larger ones in rounds across the cluster. Reading the result raises (an error that names a failed
+    decode) where peeling gets stuck.
     """
+    failed = F.raise_error(F.lit(f"decoding failed with {size} cells"))
+    return _peeled(cells, size, hashes).withColumn("side", F.when(F.col("side") == STUCK, failed.cast("int")).otherwise(F.col("side")))
+
+
+def _peeled(cells: DataFrame, size: int, hashes: int) -> DataFrame:
+    """As ``decode``, but where cells are left there is one more row, whose side is STUCK."""
     if size > ONE_TASK:
         return _decode_rounds(cells, size, hashes)
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         whole = pd.concat(list(parts) or [pd.DataFrame({c: [] for c in ("cell", "cnt", "id_sum", "hash_sum")}, dtype="int64")])
         plus, minus, done = peel(whole, size, hashes)
-        if not done:
-            raise DecodeError(f"decoding failed with {size} cells")
-        yield pd.DataFrame({"side": np.repeat([1, -1], [len(plus), len(minus)]).astype(np.int32), "id": np.concatenate([plus, minus])})
+        sides = np.repeat([1, -1, STUCK], [len(plus), len(minus), 0 if done else 1]).astype(np.int32)
+        yield pd.DataFrame({"side": sides, "id": np.concatenate([plus, minus, np.zeros(0 if done else 1, dtype=np.int64)])})
 
     return cells.select("cell", "cnt", "id_sum", "hash_sum").repartition(1).mapInPandas(run, "side int, id long")
 
 
 def _decode_rounds(cells: DataFrame, size: int, hashes: int) -> DataFrame:
-    """Peeling as rounds of filter, explode, union and aggregate; their number is about log of the cells."""
+    """Peeling as rounds of filter, explode, union and aggregate; their number is about log of the cells. A cell that
+    looks pure by chance can come and go, so rounds end at MOST_ROUNDS."""
     now, found = stage(cells, "cells"), None
-    while True:
+    for _ in range(MOST_ROUNDS):
         pure = now.where((F.abs("cnt") == 1) & (murmur32("id_sum", CHECK_SEED) == F.col("hash_sum")))
         new = stage(pure.groupBy(F.col("id_sum").alias("id")).agg(F.first("cnt").cast("int").alias("side")), "peeled")
         if new.isEmpty():
             break
         found = new if found is None else found.unionByName(new)
         plus, minus = (build(new.where(F.col("side") == s).select("id"), size, hashes) for s in (1, -1))
-        now = stage(subtract(merge(now, minus), plus), "cells")
-    if not now.isEmpty():
-        raise DecodeError(f"decoding failed with {size} cells")
-    return found.select("side", "id") if found is not None else cells.sparkSession.createDataFrame([], "side int, id long")
+        before, now = now, stage(subtract(merge(now, minus), plus), "cells")
+        drop(before)
+    spark = cells.sparkSession
+    out = spark.createDataFrame([], "side int, id long")
+    if found is not None:
+        net = found.groupBy("id").agg(F.sum("side").alias("net")).where("net <> 0")
+        out = net.select(F.signum("net").cast("int").alias("side"), "id")
+    left = spark.createDataFrame([(STUCK, 0)] if not now.isEmpty() else [], "side int, id long")
+    drop(now)
+    return out.unionByName(left)
 
 
 def difference(a: DataFrame, b: DataFrame, estimate: int, hashes: int = HASHES, attempts: int = 6) -> DataFrame:
-    """(side, id) of two id tables, from filters of 2 * ``estimate`` cells, doubled while they don't decode."""
+    """(side, id) of two id tables, from filters of 2 * ``estimate`` cells, doubled while they don't decode.
+
+    After ``attempts`` filters the difference is taken exactly, by anti joins of the tables themselves.
+    """
     size = max(CELLS_PER_DIFFERENCE * estimate, 8)
     for _ in range(attempts):
-        try:
-            return stage(decode(subtract(build(a, size, hashes), build(b, size, hashes)), size, hashes), "difference")
-        except Exception as error:
-            if "decoding failed" not in str(error):
-                raise
-            size *= 2
-    raise DecodeError(f"decoding failed with {size // 2} cells")
+        found = stage(_peeled(subtract(build(a, size, hashes), build(b, size, hashes)), size, hashes), "difference")
+        if found.where(F.col("side") == STUCK).isEmpty():
+            return found
+        drop(found)
+        size *= 2
+    plus = a.select("id").subtract(b.select("id")).select(F.lit(1).alias("side"), "id")
+    return stage(plus.unionByName(b.select("id").subtract(a.select("id")).select(F.lit(-1).alias("side"), "id")), "difference")

@@ -64,6 +64,7 @@ def apply_patch(client: DataFrame, patch: DataFrame, deleted: DataFrame | None =
 
 
 def hash_list_patch(server: DataFrame, client: DataFrame) -> DataFrame:
-    """Server rows whose item hash is not among the client's distinct hashes."""
-    known = with_hash(client).select("h").distinct()
+    """Server rows whose item hash is not among the client's distinct hashes; ``client`` has its rows, or the
+    hashes alone (h), as ``stores.save_hash_list`` writes them."""
+    known = (client if client.columns == ["h"] else with_hash(client)).select("h").distinct()
     return with_hash(server).join(known, "h", "left_anti").select("key", "value")

@@ -36,9 +36,16 @@ def load_sketch(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def save_hash_list(rows: DataFrame, path: str) -> None:
+    """The distinct 32-bit item hashes of ``rows`` (key, value), one column h."""
+    from driftwell.operators.reconcile import with_hash
+
+    save_sketch(with_hash(rows).select("h").distinct(), path)
+
+
 def list_files(spark: SparkSession, folder: str) -> DataFrame:
     """(path, length, content) of every file below a folder, with paths relative to it. Content is
-    only read where a query uses it."""
+    only read where a query uses it. Spark's reader passes over empty files."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
     root = folder.rstrip("/").split(":", 1)[-1].lstrip("/")
     relative = F.substring_index(F.col("path"), root + "/", -1)
