@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from driftwell.functions.hashing import murmur32
+from driftwell.staging import stage
 
 DEFAULT_HASHES = 5
 
@@ -66,26 +67,57 @@ def build(items: DataFrame, item: Column, size: int, count: int, hashes: int = D
     return Bloom(bits, size, count, hashes)
 
 
+#: Bytes of a bitmap up to which it goes to every task; filters beyond are joined.
+BROADCAST_BYTES = 8 << 20
+
+
 def probe(items: DataFrame, item: Column, bloom: Bloom) -> DataFrame:
-    """``items`` with ``hit``: whether all bits are set. Positions meet the bit table in one join, and
-    hits are counted per row by a row id; a filter without bits contains nothing."""
+    """``items`` with ``hit``: whether all bits are set; a filter without bits contains nothing.
+
+    A bitmap of at most BROADCAST_BYTES is one broadcast value, in which every item reads its bits. Beyond, the
+    positions of all items meet the set bits in one join, counted per row by a row id.
+    """
     if not bloom.size:
         return items.withColumn("hit", F.lit(False))
-    found = positions(item, bloom.size, bloom.hashes)
-    # Bit tables are small next to items: 8 bits an item at most. Spark broadcasts them only if they are under its threshold.
-    pages = bloom.bits.select(F.floor(F.col("bit") / 32768).alias("_page"), F.pmod("bit", F.lit(32768)).alias("_at"))
-    pages = pages.groupBy("_page").agg(F.bitmap_construct_agg(F.col("_at").cast("long")).alias("_map"))
-    out = items.withColumn("_p", found)
-    for s in range(bloom.hashes):
-        at = F.pmod(F.col("_p")[s], F.lit(32768))
-        byte = F.conv(F.hex(F.substring("_map", (F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
-        is_set = F.coalesce(F.getbit(byte, F.pmod(at, F.lit(8)).cast("int")) == 1, F.lit(False))
-        out = out.withColumn("_page", F.floor(F.col("_p")[s] / 32768)).join(pages, "_page", "left")
-        out = out.withColumn(f"_h{s}", is_set).drop("_map", "_page")
-    hit = F.lit(True)
-    for s in range(bloom.hashes):
-        hit = hit & F.col(f"_h{s}")
-    return out.withColumn("hit", hit).drop("_p", *[f"_h{s}" for s in range(bloom.hashes)])
+    spots = positions(item, bloom.size, bloom.hashes)
+    rows = items.select(F.struct(*items.columns).alias("row"), spots.alias("spots"))
+    if bloom.size // 8 <= BROADCAST_BYTES:
+        whole = _whole_bitmap(bloom).withColumn("one", F.lit(1))
+        rows = rows.withColumn("one", F.lit(1)).join(F.broadcast(whole), "one")
+        hit = F.lit(True)
+        for s in range(bloom.hashes):
+            byte = F.conv(F.hex(F.substring("bitmap", (F.col("spots")[s] / 8 + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+            hit = hit & (F.getbit(byte, F.pmod(F.col("spots")[s], F.lit(8)).cast("int")) == 1)
+        return rows.select("row.*", hit.alias("hit"))
+    spread = rows.withColumn("id", F.monotonically_increasing_id()).select("id", "row", F.explode("spots").alias("bit"))
+    met = spread.join(bloom.bits.withColumn("set", F.lit(True)), "bit", "left")
+    return met.groupBy("id").agg(F.first("row").alias("row"), F.min(F.coalesce("set", F.lit(False))).alias("hit")).select("row.*", "hit")
+
+
+def _whole_bitmap(bloom: Bloom) -> DataFrame:
+    """One row (bitmap: binary) of all pages in order."""
+    pages = bloom.bits.groupBy(F.floor(F.col("bit") / 32768).alias("page")).agg(F.hex(F.bitmap_construct_agg(F.pmod("bit", F.lit(32768)).cast("long"))).alias("bytes"))
+    every = bloom.bits.sparkSession.range(-(-bloom.size // 32768)).withColumnRenamed("id", "page")
+    filled = every.join(pages, "page", "left").select("page", F.coalesce("bytes", F.lit("00" * 4096)).alias("bytes"))
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("page", "bytes"))), lambda x: x["bytes"])
+    return filled.agg(F.unhex(F.array_join(ordered, "")).alias("bitmap"))
+
+
+CHUNK_BITS, BLOCK_BITS = 12, 24
+
+
+def of_chunks(hashes: DataFrame, h: str = "hash") -> Bloom:
+    """A filter of chunk hashes (unsigned 32-bit in a long), added as 4 bytes: 12 bits a chunk."""
+    own = stage(hashes.select(F.when(F.col(h) >= 1 << 31, F.col(h) - (1 << 32)).otherwise(F.col(h)).cast("int").alias("h")), "chunks")
+    n = own.count()
+    return build(own, F.col("h"), rounded(CHUNK_BITS * n), n)
+
+
+def of_blocks(blocks: DataFrame, block: int, chunk: str = "chunk") -> Bloom:
+    """A filter of whole fixed blocks of ``block`` bytes (divisible by 4), added as they are: 24 bits a block."""
+    own = blocks.where(F.octet_length(chunk) == block).select(F.col(chunk).alias("b"))
+    n = own.count()
+    return build(own, F.col("b"), rounded(BLOCK_BITS * n), n)
 
 
 def estimate_difference(size_a: int, size_b: int, hits: int, false_positive_rate: float) -> int:

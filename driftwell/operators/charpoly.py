@@ -16,6 +16,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from driftwell.functions import gf
+from driftwell.operators import ibf
+from driftwell.staging import stage
 
 #: Points beyond the estimated difference, and those kept for verification.
 PADDING, VERIFY = 3, 1
@@ -37,14 +39,7 @@ def evaluate(elements: DataFrame, points: list[int], p: int = gf.PRIME) -> DataF
     def fold(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = np.ones(len(xs), dtype=np.int64)
         for part in parts:
-            values = part["element"].to_numpy(dtype=np.int64) % p
-            for i in range(0, len(values), 4096):
-                factors = (xs[:, None] - values[None, i : i + 4096]) % p
-                while factors.shape[1] > 1:  # halve by pairs: products stay below 2**62
-                    if factors.shape[1] % 2:
-                        factors = np.concatenate([factors, np.ones((len(xs), 1), dtype=np.int64)], axis=1)
-                    factors = factors[:, ::2] * factors[:, 1::2] % p
-                total = total * factors[:, 0] % p
+            total = total * values_at(part["element"].to_numpy(dtype=np.int64), xs, p) % p
         yield pd.DataFrame({"x": xs, "value": total})
 
     partial = elements.select(F.col("element").cast("long")).mapInPandas(fold, "x long, value long")
@@ -55,6 +50,19 @@ def evaluate(elements: DataFrame, points: list[int], p: int = gf.PRIME) -> DataF
     return partial.groupBy("x").agg(product.alias("value"))
 
 
+def values_at(elements: np.ndarray, xs: np.ndarray, p: int = gf.PRIME) -> np.ndarray:
+    """The characteristic polynomial of ``elements`` at each of ``xs``."""
+    total = np.ones(len(xs), dtype=np.int64)
+    for i in range(0, len(elements), 4096):
+        factors = (xs[:, None] - elements[None, i : i + 4096]) % p
+        while factors.shape[1] > 1:  # halve by pairs: products stay below 2**62
+            if factors.shape[1] % 2:
+                factors = np.concatenate([factors, np.ones((len(xs), 1), dtype=np.int64)], axis=1)
+            factors = factors[:, ::2] * factors[:, 1::2] % p
+        total = total * factors[:, 0] % p
+    return total
+
+
 def ratio(a: DataFrame, b: DataFrame, p: int = gf.PRIME) -> DataFrame:
     """(x, value): a's value over b's, point by point."""
     joined = a.join(b.withColumnRenamed("value", "_b"), "x")
@@ -66,24 +74,36 @@ def roots_among(elements: DataFrame, coefficients: list[int], p: int = gf.PRIME)
     return elements.where(gf.horner(coefficients, F.col("element"), p) == 0)
 
 
-def difference(a: DataFrame, b: DataFrame, estimate: int, p: int = gf.PRIME, attempts: int = 8) -> DataFrame:
+#: Most points that are interpolated: elimination on the driver takes their third power.
+MOST_POINTS = 600
+
+
+def difference(a: DataFrame, b: DataFrame, estimate: int, p: int = gf.PRIME) -> DataFrame:
     """(side, element): 1 for elements of a alone, -1 for those of b alone. Sets are made distinct first.
 
     The values at one point more than interpolation needs verify it; while they don't, the number
-    of points doubles. Elements must lie below the sample points.
+    of points doubles. Differences beyond MOST_POINTS go through invertible Bloom filters. Elements must lie below
+    the sample points.
     """
-    a, b = a.select("element").distinct(), b.select("element").distinct()
-    counts = a.agg(F.count("*").alias("n")).first()["n"] - b.agg(F.count("*").alias("n")).first()["n"]
+    a, b = (stage(x.select("element").distinct(), "elements") for x in (a, b))
+    counts = a.count() - b.count()
     n = max(estimate, abs(counts)) + PADDING
-    for _ in range(attempts):
+    while n <= MOST_POINTS:
         points = sample_points(n + VERIFY, p)
         values = {r["x"]: r["value"] for r in ratio(evaluate(a, points, p), evaluate(b, points, p), p).collect()}
-        use, check = points[:-VERIFY], points[-VERIFY:]
-        found = gf.rational(use, [values[x] for x in use], counts, p)
-        if found and all(
-            gf.poly_value(found[0], x, p) == values[x] * gf.poly_value(found[1], x, p) % p for x in check
-        ):
+        found = fitted(points, [values[x] for x in points], counts, p)
+        if found:
             over, under = found
             return roots_among(a, over, p).withColumn("side", F.lit(1)).unionByName(roots_among(b, under, p).withColumn("side", F.lit(-1)))
         n *= 2
-    raise RuntimeError(f"no quotient fits {n // 2} points")
+    ids = (x.select(F.col("element").alias("id")) for x in (a, b))
+    return ibf.difference(*ids, n).select(F.col("id").alias("element"), "side")
+
+
+def fitted(points: list[int], values: list[int], difference: int, p: int = gf.PRIME) -> tuple[list[int], list[int]] | None:
+    """Numerator and denominator through all values but the last VERIFY, if those agree too."""
+    found = gf.rational(points[:-VERIFY], values[:-VERIFY], difference, p)
+    checks = zip(points[-VERIFY:], values[-VERIFY:], strict=True)
+    if found and all(gf.poly_value(found[0], x, p) == v * gf.poly_value(found[1], x, p) % p for x, v in checks):
+        return found
+    return None

@@ -35,8 +35,7 @@ def apply_variable(old: DataFrame, delta: DataFrame, key: str) -> DataFrame:
 
 def _joined(pieces: DataFrame, key: str) -> DataFrame:
     """Pieces in order as one value. A document's pieces together are that one value, so they fit where it does."""
-    ordered = F.transform(F.array_sort(F.collect_list(F.struct("seq", F.hex("piece").alias("hex")))), lambda x: x["hex"])
-    return pieces.groupBy(key).agg(F.unhex(F.array_join(ordered, "")).alias("data"))
+    return pieces.groupBy(key).agg(F.expr("listagg(piece) WITHIN GROUP (ORDER BY seq)").alias("data"))
 
 
 _STEPS = T.ArrayType(T.StructType([T.StructField("pos", T.LongType()), T.StructField("len", T.LongType()), T.StructField("block", T.LongType())]))
