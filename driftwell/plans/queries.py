@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from driftwell.functions import gf
-from driftwell.functions.bits import little_endian_u32, trailing_zeros
+from driftwell.functions.bits import little_endian_u32, trailing_zeros, trailing_zeros_int
 from driftwell.functions.hashing import CHECK_SEED, murmur32
 from driftwell.operators import bloom, charpoly, chunking, delta, ibf, reconcile, strata
-from driftwell.plans import sync
-from driftwell.plans.murmur_sql import murmur_ctes
+from driftwell.plans import files, sync
+from driftwell.plans.murmur_sql import murmur128_ctes, murmur_bytes_ctes, murmur_ctes, signed64, utf16_hex
 from driftwell.sources import generator, stores
 from driftwell.sources.tables import diverged_ids, diverged_rows, key_values, table, thinned
 from driftwell.staging import stage
@@ -133,9 +136,11 @@ def murmur_long(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ids.select("id", F.explode(both).alias("x")).select("id", "x.seed", "x.h")
 
 
-@query()
+@query(f"""WITH {_kv_sql("customer", "c_custkey", CUSTOMER_COLUMNS)}, x AS (SELECT key, 0 AS seed, {utf16_hex("key || '-' || value")} AS hx FROM s),
+{murmur_bytes_ctes("m", "x", "key")}, {murmur128_ctes("w", "x", "key")}
+SELECT key, h, {signed64("h1")} AS id FROM m JOIN w USING (key)""")
 def kv_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Item hash and id of every customer row; hashes of bytes have no SQL."""
+    """Item hash and id of every customer row."""
     rows = key_values(table(spark, sf_dir, "customer"), "c_custkey", CUSTOMER_COLUMNS)
     return reconcile.with_id(reconcile.with_hash(rows)).select("key", "h", "id")
 
@@ -147,7 +152,26 @@ def trailing_zero_strata(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ids.select("id", trailing_zeros(F.col("id")).alias("stratum"))
 
 
+@query("""WITH x AS (SELECT o_orderkey * 40 AS id FROM orders)
+SELECT id, CASE WHEN id = 0 THEN 32 ELSE bit_count(xor(id, id - 1)) - 1 END::INTEGER AS zeros FROM x""")
+def trailing_zeros_of_ints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ids = table(spark, sf_dir, "orders").select((F.col("o_orderkey") * 40).alias("id"))
+    return ids.select("id", trailing_zeros_int(F.col("id")).alias("zeros"))
+
+
 P = gf.PRIME
+#: A prime whose products leave the range of a long.
+WIDE = (1 << 61) - 1
+
+
+@query(f"""WITH x AS (SELECT s_suppkey AS k, ((s_suppkey::HUGEINT * 922337203685477 + 17) % {WIDE})::HUGEINT AS a, ({WIDE} - 1 - s_suppkey)::HUGEINT AS b FROM supplier)
+SELECT k, a::BIGINT AS a, b::BIGINT AS b, ((a + b) % {WIDE})::BIGINT AS added, ((a * b) % {WIDE})::BIGINT AS multiplied, 1::BIGINT AS unit FROM x""")
+def field_of_longs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("s_suppkey").alias("k")
+    a = ((F.col("s_suppkey").cast("decimal(19,0)") * F.lit(922337203685477) + 17) % F.lit(WIDE)).cast("long").alias("a")
+    x = table(spark, sf_dir, "supplier").select(k, a, (F.lit(WIDE - 1) - F.col("s_suppkey")).alias("b"))
+    a, b = F.col("a"), F.col("b")
+    return x.select("k", "a", "b", gf.add(a, b, WIDE).alias("added"), gf.mul(a, b, WIDE).alias("multiplied"), gf.mul(b, gf.inverse(b, WIDE), WIDE).alias("unit"))
 
 
 @query(f"""WITH x AS (SELECT s_suppkey AS a, (s_suppkey * 7919 + 13) % {P} AS b FROM supplier),
@@ -273,7 +297,31 @@ def strata_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return strata.encode(lines.select(murmur32("id", 0).alias("id")).distinct())
 
 
-@query()
+#: Rounds of peeling that the SQL spells out; further ones change nothing in these tables. A cell looks pure when its
+#: count is 1 or -1 and one id stands in it an odd number of times; that id leaves all its cells with the sign of the count.
+_ROUNDS = 24
+_PEELED = ",\n".join(
+    f"""r{r} AS MATERIALIZED (SELECT stratum, id, arg_min(cnt, cell) AS sign FROM (SELECT stratum, cell, sum(w) AS cnt, max(id) FILTER (odd = 1) AS id
+  FROM a{r - 1} GROUP BY stratum, cell HAVING abs(sum(w)) = 1 AND sum(odd) = 1) GROUP BY stratum, id),
+a{r} AS MATERIALIZED (SELECT a.stratum, a.id, cell, times, CASE WHEN sign IS NULL THEN odd ELSE (odd + times) % 2 END AS odd, w - coalesce(sign, 0) * times AS w
+  FROM a{r - 1} a LEFT JOIN r{r} r ON a.stratum = r.stratum AND a.id = r.id)"""
+    for r in range(1, _ROUNDS + 1)
+)
+
+
+@query(f"""WITH {IDS}, u AS (SELECT id FROM s UNION SELECT id FROM c),
+{murmur_ctes("sp", "(SELECT id AS i, id, 0 AS seed FROM u)", "i")},
+d AS (SELECT h * 1048576 + i % 1048576 AS id, CASE WHEN i IN (SELECT id FROM s) THEN 1 ELSE -1 END AS side FROM sp
+  WHERE i NOT IN (SELECT id FROM s INTERSECT SELECT id FROM c)),
+seeds AS (SELECT * FROM (VALUES (0), (1), (2)) t(seed)),
+{murmur_ctes("q", "(SELECT id AS i, side, id, seed FROM d, seeds)", "i, side")},
+k AS (SELECT i AS id, side, h % {strata.CELLS} AS cell, CASE WHEN i % 2147483648 = 0 THEN 31 ELSE bit_count(xor(i, i - 1)) - 1 END AS stratum FROM q),
+a0 AS MATERIALIZED (SELECT stratum, id, cell, count(*) AS times, count(*) % 2 AS odd, sum(side) AS w FROM k GROUP BY stratum, id, cell),
+{_PEELED},
+stuck AS (SELECT coalesce(max(stratum), -1) AS lvl FROM (SELECT stratum FROM a{_ROUNDS} GROUP BY stratum, cell HAVING sum(w) <> 0 OR sum(odd) > 0)),
+f AS (SELECT coalesce(sum(side), 0) AS net, count(*) AS size FROM (SELECT DISTINCT id, side, stratum FROM k), stuck WHERE stratum > lvl)
+SELECT ((1::HUGEINT << (lvl + 1)) * net)::INTEGER AS net, ((1::HUGEINT << (lvl + 1)) * size)::INTEGER AS size,
+  (SELECT sum(side)::BIGINT FROM d) AS true_net, (SELECT count(*) FROM d) AS true_size FROM f, stuck""")
 def strata_estimate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Signed and absolute estimates beside the true sizes of the difference."""
     server, client = (stage(_spread(x), "ids") for x in _order_ids(spark, sf_dir))
@@ -285,6 +333,25 @@ def strata_estimate(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- whole syncs -----------------------------------------------------------------------------------
 
 
+_SYNC = f"""{_kv_sql("customer", "c_custkey", CUSTOMER_COLUMNS)}, n AS (SELECT count(*) AS n FROM c),
+x AS (SELECT 's' AS side, key, value, 0 AS seed, {utf16_hex("key || '-' || value")} AS hx FROM s UNION ALL SELECT 'c', key, value, 0, {utf16_hex("key || '-' || value")} FROM c),
+{murmur_bytes_ctes("m", "x", "side, key")}, seeds AS (SELECT * FROM (VALUES (0), (1), (2), (3), (4)) t(seed)),
+{murmur_ctes("p", "(SELECT side, key, h AS id, seeds.seed FROM m, seeds)", "side, key", 4)},
+bits AS (SELECT DISTINCT h % (8 * n) AS bit FROM p, n WHERE side = 'c'),
+hit AS (SELECT key, bool_and(bit IS NOT NULL) AS hit FROM (SELECT key, h % (8 * n) AS spot FROM p, n WHERE side = 's') LEFT JOIN bits ON bit = spot GROUP BY key),
+g AS (SELECT n AS a, (SELECT count(*) FROM s) AS b, (SELECT count(*) FROM hit WHERE hit) AS hits, pow(1 - pow(1 - 1.0::DOUBLE / (8 * n), 5 * n), 5) AS fp FROM n)"""
+
+
+@query(f"""WITH {_SYNC} SELECT (b - hits)::BIGINT AS first_rows,
+  ((SELECT count(*) FROM (SELECT key, value FROM s EXCEPT SELECT key, value FROM c)) - (b - hits))::BIGINT AS second_rows,
+  greatest(ceil(a - b + 2 * (b - hits) / (1 - fp)) + {sync.PADDING} - (b - hits), 1)::BIGINT AS remaining, (a + 4)::BIGINT AS filter_bytes FROM g""")
+def sync_two_phase_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the two phases sent: rows of both patches, the difference the second filter was sized for, bytes of the first."""
+    done = sync.two_phase_report(*diverged_rows(table(spark, sf_dir, "customer"), "c_custkey", CUSTOMER_COLUMNS))
+    counts = done.first.agg(F.count("*").alias("first_rows")).join(done.second.agg(F.count("*").alias("second_rows")))
+    return counts.select("first_rows", "second_rows", F.lit(done.estimate).cast("long").alias("remaining"), F.lit(done.filter_bytes).cast("long").alias("filter_bytes"))
+
+
 @query(f"WITH {_kv_sql('customer', 'c_custkey', CUSTOMER_COLUMNS)} SELECT key, value FROM s")
 def sync_two_phase(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sync.two_phase(*diverged_rows(table(spark, sf_dir, "customer"), "c_custkey", CUSTOMER_COLUMNS))
@@ -340,10 +407,16 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", F.encode("text", "UTF-8").alias("data"))
 
 
-def _sums(arrays: DataFrame) -> DataFrame:
-    total = F.aggregate("v", F.lit(0).cast("long"), lambda a, x: a + x)
-    placed = F.aggregate(F.transform("v", lambda x, i: F.pmod(x, F.lit(1000003)) * (i + 1)), F.lit(0).cast("long"), lambda a, x: a + x)
-    return arrays.select("doc_id", F.size("v").cast("long").alias("n"), total.alias("total"), placed.alias("placed"))
+def _sums(rows: DataFrame, values) -> DataFrame:
+    """(doc_id, n, total, placed): digests of the values at all bytes, folded where they are made."""
+    kind = T.StructType([T.StructField(c, T.LongType()) for c in ("n", "total", "placed")])
+
+    @F.pandas_udf(kind)
+    def fold(data: pd.Series) -> pd.DataFrame:
+        found = [values(np.frombuffer(bytes(x), dtype=np.uint8)) for x in data]
+        return pd.DataFrame([(len(v), v.sum(), ((v % 1000003) * np.arange(1, len(v) + 1)).sum()) for v in found], columns=["n", "total", "placed"])
+
+    return rows.where(F.octet_length("data") > 0).select("doc_id", fold("data").alias("v")).select("doc_id", "v.*")
 
 
 _SUMS = "count(*) AS n, sum(h)::BIGINT AS total, sum((h % 1000003) * (p + 1))::BIGINT AS placed"
@@ -352,14 +425,14 @@ _SUMS = "count(*) AS n, sum(h)::BIGINT AS total, sum((h % 1000003) * (p + 1))::B
 @query(f"WITH {_ADLER} SELECT doc_id, {_SUMS} FROM ad GROUP BY doc_id")
 def rolling_adler(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digest of the rolling hash at every byte of every document."""
-    return _sums(_documents(spark, sf_dir).where(F.octet_length("data") > 0).select("doc_id", chunking.rolling_hashes(F.col("data")).alias("v")))
+    return _sums(_documents(spark, sf_dir), chunking.rolling_adler)
 
 
 @query(f"""WITH {_BYTES}, u AS (SELECT doc_id, p, (b + coalesce(lead(b) OVER w, 0) * 256::BIGINT
   + coalesce(lead(b, 2) OVER w, 0) * 65536::BIGINT + coalesce(lead(b, 3) OVER w, 0) * 16777216::BIGINT) AS h FROM byt
   WINDOW w AS (PARTITION BY doc_id ORDER BY p)) SELECT doc_id, {_SUMS} FROM u GROUP BY doc_id""")
 def rolling_uint32(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _sums(_documents(spark, sf_dir).where(F.octet_length("data") > 0).select("doc_id", chunking.rolling_values(F.col("data")).alias("v")))
+    return _sums(_documents(spark, sf_dir), chunking.rolling_u32)
 
 
 @query("""SELECT doc_id, ('0x' || substr(h, 7, 2) || substr(h, 5, 2) || substr(h, 3, 2) || substr(h, 1, 2))::BIGINT AS head
@@ -405,35 +478,126 @@ def _versions(spark: SparkSession, sf_dir: str, name: str, key: str, text: str)
     return rows.select(key, F.encode(text, "UTF-8").alias("old"), F.encode(new, "UTF-8").alias("new"))
 
 
-@query(f"SELECT doc_id, substr(text, 101) || '{SUFFIX}' AS text FROM documents WHERE text IS NOT NULL")
+def _chunks_sql(p: str, raw: str, half: int) -> str:
+    """CTEs that end in ``p``ch: (doc_id, seq, piece) of the chunks of ``raw`` (doc_id, hx), pieces in hex."""
+    return f"""{p}byt AS (SELECT doc_id, i AS p, ('0x' || substr(hx, 2 * i + 1, 2))::INTEGER AS b, length(hx) // 2 AS n
+  FROM (SELECT doc_id, hx, unnest(range(length(hx) // 2)) AS i FROM {raw})),
+{p}su AS (SELECT doc_id, p, n, sum(b + 31) OVER w AS s, sum(p * (b + 31)) OVER w AS ps, greatest(0, p + 16 - n) AS k FROM {p}byt
+  WINDOW w AS (PARTITION BY doc_id ORDER BY p ROWS BETWEEN CURRENT ROW AND 15 FOLLOWING)),
+{p}ad AS (SELECT doc_id, p, ((s + 31 * k) % 65536 + (((p + 16) * s - ps + 31 * k * (k + 1) // 2) % 65536) * 65536)::BIGINT AS h FROM {p}su),
+{p}mx AS (SELECT doc_id, p FROM (SELECT doc_id, p, h,
+  max(h) OVER (PARTITION BY doc_id ORDER BY p ROWS BETWEEN {half} PRECEDING AND 1 PRECEDING) AS l,
+  max(h) OVER (PARTITION BY doc_id ORDER BY p ROWS BETWEEN 1 FOLLOWING AND {half} FOLLOWING) AS r FROM {p}ad)
+  WHERE h > coalesce(l, -1) AND h > coalesce(r, -1)),
+{p}ed AS (SELECT doc_id, p + 1 AS e FROM {p}mx UNION SELECT doc_id, length(hx) // 2 FROM {raw} WHERE hx <> ''),
+{p}cu AS (SELECT doc_id, row_number() OVER w - 1 AS seq, coalesce(lag(e) OVER w, 0) AS pos, e FROM {p}ed WINDOW w AS (PARTITION BY doc_id ORDER BY e)),
+{p}ch AS (SELECT doc_id, seq, substr(hx, (2 * pos + 1)::BIGINT, (2 * (e - pos))::BIGINT) AS piece FROM {p}cu JOIN {raw} USING (doc_id))"""
+
+
+_TWO = f"""ov AS (SELECT doc_id, hex(encode(text)) AS hx FROM documents WHERE text IS NOT NULL),
+nv AS (SELECT doc_id, hex(encode(substr(text, 101) || '{SUFFIX}')) AS hx FROM documents WHERE text IS NOT NULL),
+{_chunks_sql("o", "ov", 64)}, {_chunks_sql("n", "nv", 64)},
+st AS (SELECT doc_id, seq, piece, EXISTS (SELECT 1 FROM och o WHERE o.doc_id = n.doc_id AND o.piece = n.piece) AS ref FROM nch n),
+co AS (SELECT doc_id, count_if(ref) AS refs, count_if(NOT ref) AS literals, coalesce(sum(CASE WHEN ref THEN 0 ELSE length(piece) // 2 END), 0)::BIGINT AS literal_bytes,
+  ((12 * count(DISTINCT piece) + 7) // 8 + 4)::BIGINT AS bloom_bytes FROM st GROUP BY doc_id)"""
+
+
+def _counts(steps: DataFrame, key: str) -> DataFrame:
+    """(key, refs, literals, literal_bytes) of a delta."""
+    literal = F.col("data").isNotNull()
+    bytes_ = F.coalesce(F.sum(F.octet_length("data")), F.lit(0)).cast("long").alias("literal_bytes")
+    return steps.groupBy(key).agg(F.count_if(~literal).alias("refs"), F.count_if(literal).alias("literals"), bytes_)
+
+
+@query(f"""WITH {_TWO} SELECT doc_id, substr(text, 101) || '{SUFFIX}' AS text, refs::BIGINT AS refs, literals::BIGINT AS literals, literal_bytes
+FROM documents JOIN co USING (doc_id)""")
 def delta_variable(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """New versions rebuilt from the old ones and content-defined deltas."""
+    """New versions rebuilt from the old ones and content-defined deltas, and what the deltas hold."""
+    both = _versions(spark, sf_dir, "documents", "doc_id", "text")
+    old, new = (stage(chunking.chunks(both.select("doc_id", c), "doc_id", c, half=64), "chunks") for c in ("old", "new"))
+    steps = stage(delta.variable_delta(old, new, "doc_id"), "delta")
+    rebuilt = delta.apply_variable(old, steps, "doc_id")
+    return rebuilt.join(_counts(steps, "doc_id"), "doc_id").select("doc_id", F.decode("data", "UTF-8").alias("text"), "refs", "literals", "literal_bytes")
+
+
+@query(f"""WITH {_TWO} SELECT doc_id, substr(text, 101) || '{SUFFIX}' AS text, refs::BIGINT AS refs, literals::BIGINT AS literals, literal_bytes, bloom_bytes
+FROM documents JOIN co USING (doc_id)""")
+def file_sync_variable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents brought from the old to the new version by chunk hashes, Bloom filter, polynomial, delta and patch."""
     both = _versions(spark, sf_dir, "documents", "doc_id", "text")
-    old, new = (chunking.chunks(both.select("doc_id", c), "doc_id", c, half=64) for c in ("old", "new"))
-    old = stage(old, "chunks")
-    rebuilt = delta.apply_variable(old, delta.variable_delta(old, new, "doc_id"), "doc_id")
-    return rebuilt.select("doc_id", F.decode("data", "UTF-8").alias("text"))
+    sides = [both.select("doc_id", F.col(c).alias("data")) for c in ("old", "new")]
+    done = files.sync_variable(*sides, "doc_id", "data", half=64)
+    return done.select("doc_id", F.decode("data", "UTF-8").alias("text"), "refs", "literals", "literal_bytes", "bloom_bytes")
 
 
-@query(f"SELECT page_id, substr(html, 101) || '{SUFFIX}' AS html FROM pages WHERE html IS NOT NULL")
+#: Whole blocks that the cut prefix leaves, and what is literal: the bytes up to the first of them, and the tail.
+_FIXED = f"""v AS (SELECT page_id, substr(html, 101) || '{SUFFIX}' AS html, octet_length(encode(html)) // 512 AS blocks,
+  (octet_length(encode(substr(html, 1, 100))) + 511) // 512 AS lost FROM pages WHERE html IS NOT NULL),
+fx AS (SELECT page_id, html, greatest(blocks - lost, 0)::BIGINT AS refs, (octet_length(encode(html)) - 512 * greatest(blocks - lost, 0))::BIGINT AS literal_bytes,
+  (3 * blocks + 4)::BIGINT AS bloom_bytes FROM v)"""
+
+
+@query(f"WITH {_FIXED} SELECT page_id, html, refs, literal_bytes FROM fx")
 def delta_fixed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """New versions of pages rebuilt from 512-byte blocks of the old ones and literals."""
     both = _versions(spark, sf_dir, "pages", "page_id", "html")
     blocks = delta.old_blocks(both, "page_id", "old", 512)
-    rebuilt = delta.apply_fixed(delta.fixed_delta(both, "page_id", "new", "old", 512), blocks, "page_id")
-    return rebuilt.select("page_id", F.decode("data", "UTF-8").alias("html"))
+    steps = stage(delta.fixed_delta(both, "page_id", "new", "old", 512), "delta")
+    rebuilt = delta.apply_fixed(steps, blocks, "page_id")
+    return rebuilt.join(_counts(steps, "page_id"), "page_id").select("page_id", F.decode("data", "UTF-8").alias("html"), "refs", "literal_bytes")
+
+
+@query(f"WITH {_FIXED} SELECT page_id, html, refs, literal_bytes, bloom_bytes FROM fx")
+def file_sync_fixed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    both = _versions(spark, sf_dir, "pages", "page_id", "html")
+    sides = [both.select("page_id", F.col(c).alias("data")) for c in ("old", "new")]
+    done = files.sync_fixed(*sides, "page_id", "data", 512)
+    return done.select("page_id", F.decode("data", "UTF-8").alias("html"), "refs", "literal_bytes", "bloom_bytes")
 
 
-@query()
+@query(f"""WITH {_TWO}, {_FIXED}
+SELECT (SELECT sum(length(hx) // 2) FROM nv)::BIGINT AS full_documents, (SELECT sum(CASE WHEN ref THEN 4 ELSE length(piece) // 2 + 4 END) FROM st)::BIGINT AS variable,
+  (SELECT sum(octet_length(encode(html))) FROM fx)::BIGINT AS full_pages, (SELECT sum(8 * refs + literal_bytes + 4 * (1 + (refs > 0)::INTEGER)) FROM fx)::BIGINT AS fixed,
+  0::BIGINT AS unanswered""")
 def delta_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Bytes of both kinds of delta, of what a full copy takes, and references that no block answers."""
-    both = stage(_versions(spark, sf_dir, "pages", "page_id", "html"), "versions")
-    old, new = (chunking.chunks(both.select("page_id", c), "page_id", c, half=64) for c in ("old", "new"))
-    fixed = stage(delta.fixed_delta(both, "page_id", "new", "old", 512), "delta")
-    lost = delta.missing_hashes(fixed, delta.old_blocks(both, "page_id", "old", 512), "page_id").agg(F.count("*").alias("unanswered"))
-    full = both.agg(F.coalesce(F.sum(F.octet_length("new")), F.lit(0)).cast("long").alias("full"))
-    sizes = delta.size(delta.variable_delta(old, new, "page_id")).withColumnRenamed("bytes", "variable")
-    return full.join(sizes).join(delta.size(fixed, reference=8).withColumnRenamed("bytes", "fixed")).join(lost)
+    """Bytes of a full copy of documents and of their variable deltas, the same of pages and fixed deltas, and
+    references that no block answers."""
+    docs = stage(_versions(spark, sf_dir, "documents", "doc_id", "text"), "versions")
+    pages = stage(_versions(spark, sf_dir, "pages", "page_id", "html"), "versions")
+    old, new = (chunking.chunks(docs.select("doc_id", c), "doc_id", c, half=64) for c in ("old", "new"))
+    fixed = stage(delta.fixed_delta(pages, "page_id", "new", "old", 512), "delta")
+    lost = delta.missing_hashes(fixed, delta.old_blocks(pages, "page_id", "old", 512), "page_id").agg(F.count("*").alias("unanswered"))
+    full = lambda rows, name: rows.agg(F.coalesce(F.sum(F.octet_length("new")), F.lit(0)).cast("long").alias(name))
+    variable = delta.size(delta.variable_delta(old, new, "doc_id")).withColumnRenamed("bytes", "variable")
+    both = full(docs, "full_documents").join(variable).join(full(pages, "full_pages"))
+    return both.join(delta.size(fixed, reference=8).withColumnRenamed("bytes", "fixed")).join(lost)
+
+
+@query(f"""WITH {_MAX}, x AS (SELECT doc_id, seq, 0 AS seed, substr(hx, (2 * pos + 1)::BIGINT, (2 * (e - pos))::BIGINT) AS hx FROM ch JOIN raw USING (doc_id)),
+{murmur_bytes_ctes("m", "x", "doc_id, seq")} SELECT doc_id, seq::INTEGER AS seq, h AS hash FROM m""")
+def chunk_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunking.chunks(_documents(spark, sf_dir), "doc_id", "data", half=HALF).select("doc_id", "seq", "hash")
+
+
+_BLOCK_BYTES = "bl AS (SELECT page_id, i, substr(hx, 1024 * i + 1, 1024) AS hx FROM (SELECT page_id, hx, unnest(range(length(hx) // 1024)) AS i FROM (SELECT page_id, hex(encode(html)) AS hx FROM pages WHERE html IS NOT NULL)))"
+
+
+@query(f"""WITH {_BLOCK_BYTES}, n AS (SELECT count(*) AS n FROM bl), seeds AS (SELECT * FROM (VALUES (0), (1), (2), (3), (4)) t(seed)),
+{murmur_bytes_ctes("m", "(SELECT page_id, i, hx, seed FROM bl, seeds)", "page_id, i")}
+SELECT DISTINCT h % (24 * n) AS bit FROM m, n""")
+def bloom_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The filter of all whole 512-byte blocks of all pages."""
+    pages = table(spark, sf_dir, "pages").where("html IS NOT NULL").select("page_id", F.encode("html", "UTF-8").alias("data"))
+    return bloom.of_blocks(delta.old_blocks(pages, "page_id", "data", 512), 512).bits
+
+
+@query(f"""WITH {_MAX}, x AS (SELECT doc_id, seq, 0 AS seed, substr(hx, (2 * pos + 1)::BIGINT, (2 * (e - pos))::BIGINT) AS hx FROM ch JOIN raw USING (doc_id)),
+{murmur_bytes_ctes("c", "x", "doc_id, seq")}, n AS (SELECT (12 * count(*) + 7) // 8 * 8 AS n FROM c), seeds AS (SELECT * FROM (VALUES (0), (1), (2), (3), (4)) t(seed)),
+{murmur_ctes("m", "(SELECT doc_id, c.seq, h AS id, seeds.seed FROM c, seeds)", "doc_id, seq", 4)}
+SELECT DISTINCT h % n AS bit FROM m, n""")
+def bloom_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The filter of the hashes of all chunks of all documents."""
+    return bloom.of_chunks(chunking.chunks(_documents(spark, sf_dir), "doc_id", "data", half=HALF)).bits
 
 
 @query(f"""WITH {ORDERS_KV}, n AS (SELECT count(*) AS n FROM c), p AS (
@@ -469,19 +633,45 @@ def datagen_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
-@query()
+def _generated_sql(size: int, changed: int) -> str:
+    """CTEs that end in gen: (key, value) of the generator's rows."""
+    touched = (changed // 2) * size // 100
+    hexed = lambda h: f"list_transform(range(8), lambda i: printf('%02X', (({h}::UHUGEINT // (256::UHUGEINT ** i)::UHUGEINT) % 256::UHUGEINT)::INTEGER))"
+    return f"""gs AS (SELECT id, (CASE WHEN id < {touched} THEN 4294967295 - id ELSE id END)::BIGINT AS u FROM range({size + touched}) t(id)),
+gx AS (SELECT id, printf('%02x%02x%02x%02x', u % 256, u // 256 % 256, u // 65536 % 256, u // 16777216) AS hx FROM gs),
+{murmur128_ctes("gm", "gx", "id")},
+gen AS (SELECT id::VARCHAR AS key, repeat(array_to_string(list_concat({hexed("h1")}, {hexed("h2")}), '-'), 2) AS value FROM gm)"""
+
+
+@query(f"WITH {_generated_sql(10000, 20)} SELECT key, value FROM gen")
 def datagen_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return generator.generate(spark, 10000, 20)
 
 
-@query()
+#: The smallest of the grid's sizes, with its three changes; 500,000 and 1,000,000 take the same calls.
+GRID = [(100_000, 50), (100_000, 20), (100_000, 4)]
+
+
+@query(f"""SELECT size::BIGINT AS size, changed::BIGINT AS changed, (1.5 * changed * size / 100)::DOUBLE AS truth, true AS strata_near, true AS bloom_near,
+  ((changed // 2) * size // 100 * 2)::BIGINT AS patch_rows, true AS equal FROM (VALUES {", ".join(map(str, GRID))}) t(size, changed)""")
 def stress_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Estimates over the true difference for generated tables, as the estimators' quality report."""
-    rows = []
-    for size, changed in ((10000, 4), (10000, 20), (10000, 50)):
-        server, client = generator.generate(spark, size, changed), generator.generate(spark, size, 0)
+    """For generated tables: whether the estimates are within a half and twice the true difference, and the single-round
+    sync sized by the signed strata estimate: the rows it sent, and whether both sides are equal after it."""
+    return stress(spark, GRID)
+
+
+def stress(spark: SparkSession, grid: list[tuple[int, int]]) -> DataFrame:
+    out = None
+    for size, changed in grid:
+        server, client = (stage(generator.generate(spark, size, c), "generated") for c in (changed, 0))
         a, b = (stage(strata.encode(reconcile.with_id(x).select("id")), "strata") for x in (server, client))
-        by_bloom = sync.first_patch(server, sync.client_bloom(client)).estimate
         truth = generator.true_difference(size, changed)
-        rows.append((size, changed, truth, strata.estimate(a, b) / truth, strata.estimate(a, b, signed=False) / truth, by_bloom / truth))
-    return spark.createDataFrame(rows, "size int, changed int, truth double, signed double, absolute double, bloom double")
+        by_bloom = sync.first_patch(server, sync.client_bloom(client)).estimate / truth
+        by_strata = strata.estimate(a, b, signed=False) / truth
+        done = sync.single_round_report(server, client)
+        row = done.second.agg(F.count("*").alias("patch_rows")).join(reconcile.equal(server, done.rows)).select(
+            F.lit(size).cast("long").alias("size"), F.lit(changed).cast("long").alias("changed"), F.lit(truth).alias("truth"),
+            F.lit(0.5 <= by_strata <= 2).alias("strata_near"), F.lit(0.5 <= by_bloom <= 2).alias("bloom_near"), "patch_rows", "equal",
+        )
+        out = row if out is None else out.unionByName(row)
+    return out
