@@ -53,6 +53,20 @@ def test_trailing_zeros(spark):
     assert {r.id: r.z for r in rows.collect()} == cases
 
 
+def test_trailing_zeros_of_ints(spark):
+    cases = {1: 0, 12: 2, 0: 32, -1: 0, -(2**31): 31, 3 << 20: 20}
+    rows = spark.createDataFrame([(k,) for k in cases], "id int").select("id", bits.trailing_zeros_int(F.col("id")).alias("z"))
+    assert {r.id: r.z for r in rows.collect()} == cases
+
+
+def test_fields_beyond_long_products(spark):
+    p = (1 << 61) - 1
+    pairs = [(p - 1, p - 2), (123456789012345678, 987654321098765432), (1, 0)]
+    rows = spark.createDataFrame(pairs, "a long, b long")
+    got = rows.select(gf.add(F.col("a"), F.col("b"), p).alias("s"), gf.mul(F.col("a"), F.col("b"), p).alias("m")).collect()
+    assert [(r.s, r.m) for r in got] == [((a + b) % p, a * b % p) for a, b in pairs]
+
+
 def chi(elements, x, p):
     return reduce(lambda a, s: a * (x - s) % p, elements, 1)
 

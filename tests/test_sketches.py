@@ -19,6 +19,15 @@ def test_bloom_membership(spark):
     assert bloom.probe(words, F.col("w"), full).where("NOT hit").count() == 0
 
 
+def test_bloom_joined_and_broadcast_agree(spark, monkeypatch):
+    items = spark.range(400).selectExpr("id", "id % 7 AS hit_not", "'x' AS row")
+    made = bloom.build(spark.range(0, 400, 3), F.col("id"), 65536 + 800, 134)
+    one = bloom.probe(items, F.col("id"), made)
+    monkeypatch.setattr(bloom, "BROADCAST_BYTES", 0)
+    other = bloom.probe(items, F.col("id"), made)
+    assert one.columns == other.columns and sorted(one.collect()) == sorted(other.collect()) and one.where("hit").count() >= 134
+
+
 def test_bloom_rules(spark):
     rows = spark.range(10)
     with pytest.raises(ValueError, match="divisible by 8"):
@@ -51,8 +60,10 @@ def test_ibf_failure_and_doubling(spark):
     a, b = ids(spark, 0, 500), ids(spark, 400, 600)
     with pytest.raises(Exception, match="decoding failed"):
         ibf.decode(ibf.subtract(ibf.build(a, 16), ibf.build(b, 16)), 16).collect()
-    got = {(r.side, r.id) for r in ibf.difference(a, b, 10, attempts=9).collect()}
-    assert got == {(1, i) for i in range(400)} | {(-1, i) for i in range(500, 600)}
+    # With no attempt that decodes, the tables themselves are compared.
+    for attempts in (9, 1):
+        got = {(r.side, r.id) for r in ibf.difference(a, b, 10, attempts=attempts).collect()}
+        assert got == {(1, i) for i in range(400)} | {(-1, i) for i in range(500, 600)}
 
 
 def test_ibf_is_linear(spark):
@@ -101,3 +112,10 @@ def test_charpoly_difference(spark, a, b):
     frames = [spark.createDataFrame([(x,) for x in v], "element long") for v in (a, b)]
     got = {(r.element, r.side) for r in charpoly.difference(*frames, 1).collect()}
     assert got == {(x, 1) for x in set(a) - set(b)} | {(x, -1) for x in set(b) - set(a)}
+
+
+def test_large_charpoly_differences_go_another_way(spark, monkeypatch):
+    monkeypatch.setattr(charpoly, "MOST_POINTS", 20)
+    a, b = (spark.range(*r).withColumnRenamed("id", "element") for r in ((0, 200), (150, 210)))
+    got = {(r.element, r.side) for r in charpoly.difference(a, b, 2).collect()}
+    assert got == {(i, 1) for i in range(150)} | {(i, -1) for i in range(200, 210)}

@@ -2,6 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from driftwell.operators import chunking, delta, reconcile
+from driftwell.plans import files, sync
 from driftwell.sources import stores
 from driftwell.sources.tables import assert_unique
 from driftwell.streaming.live_ibf import maintain
@@ -24,12 +25,61 @@ def test_classes_and_patches(spark):
     patched = reconcile.apply_patch(client, server)
     assert {(r.key, r.value) for r in patched.collect()} == {("a", "1"), ("b", "2"), ("c", None), ("d", "4"), ("e", "5")}
     assert {r.key for r in reconcile.missing(server, client).collect()} == {"b", "d"}
-    plain = server.where("value IS NOT NULL")
-    assert {r.key for r in reconcile.hash_list_patch(plain, client.where("value IS NOT NULL")).collect()} == {"b", "d"}
+    assert {r.key for r in reconcile.hash_list_patch(server, client).collect()} == {"b", "d"}
     with pytest.raises(ValueError, match="duplicate"):
         assert_unique(server.unionByName(server))
 
 
+def test_null_values_are_items_of_their_own(spark):
+    server = kv(spark, [("a", None), ("b", None), ("c", ""), ("d", "4")])
+    client = kv(spark, [("a", None), ("c", None), ("d", "4")])
+    want = {("b", None), ("c", "")}
+    assert {tuple(r) for r in reconcile.hash_list_patch(server, client).collect()} == want
+    for run in (sync.two_phase, sync.single_round):
+        assert reconcile.equal(server, run(server, client)).first().equal
+
+
+def test_shared_ids_raise(spark, monkeypatch):
+    server, client = kv(spark, [("a", "1"), ("b", "2")]), kv(spark, [("a", "1")])
+    monkeypatch.setattr(sync, "with_id", lambda rows: rows.withColumn("id", F.lit(7).cast("long")))
+    with pytest.raises(ValueError, match="duplicate id"):
+        sync.second_patch(server, client, 4)
+
+
+def test_hash_list_round_trip(spark, tmp_path):
+    server, client = kv(spark, [("a", "1"), ("b", None), ("c", "3")]), kv(spark, [("a", "1"), ("c", "9")])
+    stores.save_hash_list(client, str(tmp_path / "hashes"))
+    assert {r.key for r in reconcile.hash_list_patch(server, stores.load_sketch(spark, str(tmp_path / "hashes"))).collect()} == {"b", "c"}
+
+
+def test_folders_are_synced(spark, tmp_path):
+    rng = np.random.default_rng(5)
+    whole = rng.integers(0, 256, 40_000).astype(np.uint8).tobytes()
+    old = {"a": whole, "s/b": whole[:9000], "gone": b"x", "same": whole[5000:9000]}
+    new = {"a": whole[:7000] + b"middle" + whole[7100:], "s/b": b"front" + whole[:9000], "fresh": b"y", "same": whole[5000:9000]}
+    for side, files_ in (("old", old), ("new", new)):
+        for name, raw in files_.items():
+            (tmp_path / side / name).parent.mkdir(parents=True, exist_ok=True)
+            (tmp_path / side / name).write_bytes(raw)
+    sides = [stores.list_files(spark, str(tmp_path / s)) for s in ("old", "new")]
+    both = set(old) & set(new)  # files of one side alone are skipped
+    for half, got in ((256, files.sync_variable(*sides, "path", "content", half=256)), (0, files.sync_fixed(*sides, "path", "content", 512))):
+        rows = {r.path: r for r in got.collect()}
+        assert {n: bytes(r.data) for n, r in rows.items()} == {n: new[n] for n in both}
+        assert rows["a"].literal_bytes < 3000 and rows["a"].refs > 10
+        assert rows["same"].literal_bytes == (0 if half else len(new["same"]) % 512)
+
+
+def test_exchange_finds_what_is_missing():
+    rng = np.random.default_rng(2)
+    for n, m, shared in ((0, 0, 0), (0, 9, 0), (9, 0, 0), (50, 40, 30), (300, 300, 299), (700, 400, 100)):
+        pool = rng.choice(1 << 28, n + m, replace=False).astype(np.int64)
+        old, new = np.sort(pool[:n]), np.sort(np.concatenate([pool[:shared], pool[n : n + m - shared]]))
+        missing, _, filter_bytes, sent = files.exchange(old, new)
+        assert sorted(missing) == sorted(set(new.tolist()) - set(old.tolist())) and filter_bytes == -(-12 * len(new) // 8) + 4
+        assert sent > 0
+
+
 def test_stores(spark, tmp_path):
     path = str(tmp_path / "store")
     stores.upsert(kv(spark, [("a", "1")]), kv(spark, [("a", "2"), ("b", "3")]), path)
