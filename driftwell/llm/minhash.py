@@ -10,12 +10,12 @@ Only components are asked for, so the work is kept linear in the size of hot gro
 1. Rows with equal sets become one class.
 2. In each bucket every class is compared to the least class there (a star). The sets meet in
    salted groups of bounded size, in a stream, with the leader's set in front.
-3. Classes in buckets that still hold several components are searched exactly: two sets that are similar enough
-   share one of their rarest elements (prefix filter), so only the rarest few of each set bring classes
-   together again. Where such an element still brings several components together, the classes outside
-   the largest component are cut into blocks of bounded size, and all classes of the element stream past
-   each block. Pairs are compared there and never written out; only the links that join two
-   components are.
+3. In buckets that still hold several components, the classes outside the largest component are cut into blocks
+   of bounded size, and all classes of the bucket stream past each block. Pairs are compared there and
+   never written out; only the links that join two components are.
+4. Buckets that would need more than one block are searched by prefix filtering instead, which is exact as well: two
+   sets that are similar enough share one of their rarest elements, so only the rarest few of each set bring
+   classes together again, as step 3 does with buckets.
 """
 
 from __future__ import annotations
@@ -203,23 +203,34 @@ def _mixed(member: DataFrame) -> DataFrame:
 
 
 def _block_links(buckets: DataFrame, roots: DataFrame, sets: DataFrame, percent: int) -> DataFrame | None:
-    """Links between components among the classes of those buckets (key, node) that hold more than one."""
+    """Links between components among the classes of those buckets (key, node, n) that hold more than one."""
     member = buckets.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     several = member.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
-    mine = materialise(member.join(several, "key").select("node", "root").distinct().join(sets, "node"), "mixed")
-    if mine.isEmpty():
+    member = materialise(member.join(several, "key").select("key", "node", "root", "n"), "several")
+    mixed = materialise(_mixed(member), "mixed")
+    if mixed.isEmpty():
         return None
-    prefix = materialise(_prefixes(mine, percent), "prefixes")
-    mixed = materialise(_mixed(prefix), "blocks")
+    one_block = (F.col("others") <= GROUP) & (F.col("other_elements") <= GROUP_ITEMS)
+    links = [_compared(member, mixed.where(one_block), sets, percent)]
+    wide = mixed.where(~one_block).select("key")
+    if not wide.isEmpty():
+        mine = materialise(member.join(wide, "key").select("node", "root").distinct().join(sets, "node"), "wide")
+        prefix = materialise(_prefixes(mine, percent), "prefixes")
+        links.append(_compared(prefix, materialise(_mixed(prefix), "mixed"), mine.select("node", "items"), percent))
+    return materialise(links[0] if len(links) == 1 else links[0].unionByName(links[1]), "links")
+
+
+def _compared(member: DataFrame, mixed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links between components among the classes of ``member`` (key, node, root, n) of each key of ``mixed``."""
     parts = lambda classes, elements: F.ceil(F.greatest(F.col(classes) / GROUP, F.col(elements) / GROUP_ITEMS)).cast("int")
-    dealt = prefix.join(mixed, "key").select("key", "node", "root", "main", parts("others", "other_elements").alias("rows"), parts("classes", "elements").alias("columns"))
+    dealt = member.join(mixed, "key").select("key", "node", "root", "main", parts("others", "other_elements").alias("rows"), parts("classes", "elements").alias("columns"))
     part = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     # Classes outside the largest component are held in a block each, and all classes stream past all blocks.
     held = dealt.where("root <> main").select("key", "node", "root", part("rows").alias("i"), every("columns").alias("j"), F.lit(0).alias("side"))
     past = dealt.select("key", "node", "root", every("rows").alias("i"), part("columns").alias("j"), F.lit(1).alias("side"))
-    together = held.unionByName(past).join(mine.select("node", "items"), "node").select("key", "i", "j", "side", "node", "root", "items")
-    together = together.repartition(partitions(buckets.sparkSession), "key", "i", "j").sortWithinPartitions("key", "i", "j", "side", "node")
+    together = held.unionByName(past).join(sets, "node").select("key", "i", "j", "side", "node", "root", "items")
+    together = together.repartition(partitions(member.sparkSession), "key", "i", "j").sortWithinPartitions("key", "i", "j", "side", "node")
 
     def connect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, block = None, []
@@ -245,9 +256,7 @@ def _block_links(buckets: DataFrame, roots: DataFrame, sets: DataFrame, percent:
                         out.append((max(node, other), min(node, other)))
             yield _links(out)
 
-    links = materialise(in_batches(together).mapInArrow(connect, "u long, v long"), "links")
-    drop(mine, prefix, mixed)
-    return links
+    return in_batches(together).mapInArrow(connect, "u long, v long")
 
 
 def _links(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
@@ -279,7 +288,7 @@ def _components(docs: DataFrame, percent: int) -> DataFrame:
     sets = materialise(_sets(texts, own.join(member.select("node").distinct(), "node").select("did", "th", "node")), "sets")
     links = materialise(_star_links(pairs, sets, percent), "links")
     roots = connected_components(links)
-    more = _block_links(member.select("key", "node"), roots, sets, percent)
+    more = _block_links(member.select("key", "node", "n"), roots, sets, percent)
     if more is not None and not more.isEmpty():
         drop(roots)
         roots = connected_components(links.unionByName(more))

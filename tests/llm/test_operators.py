@@ -123,6 +123,36 @@ def test_near_duplicates_against_brute_force(spark, group, monkeypatch):
     assert {(r.doc_id, r.n_shingles, r.component_id, r.kept) for r in got} == {(i, len(s), find(i), find(i) == i) for i, s in sets.items()}
 
 
+def test_wide_buckets_are_searched_by_prefixes(spark, monkeypatch):
+    used = []
+    prefixes = minhash._prefixes
+    monkeypatch.setattr(minhash, "_prefixes", lambda mine, percent: used.append(1) or prefixes(mine, percent))
+    rng = random.Random(12)
+    base = [f"w{i}" for i in range(150)]
+    sets = []
+    for i in range(60):
+        words = list(base)
+        for _ in range(rng.randrange(0, 6)):
+            words[rng.randrange(150)] = f"n{rng.randrange(9999)}"
+        sets.append(np.unique(np.array([hash(x) & (2**63 - 1) for x in zip(words, words[1:], strict=False)], dtype=np.uint64)))
+    mine = spark.createDataFrame([(i, i, bytearray(x.tobytes())) for i, x in enumerate(sets)], "node long, root long, items binary")
+    held = defaultdict(set)
+    for r in minhash._prefixes(mine, 90).collect():
+        held[r.key].add(r.node)
+    for a, b in combinations(range(60), 2):
+        if minhash.similar(sets[a], sets[b], 90):
+            assert any({a, b} <= nodes for nodes in held.values())
+    member = mine.select(F.lit(1).cast("long").alias("key"), "node", "root", F.lit(140).cast("long").alias("n"))
+    roots = mine.select("node", "root")
+    plain = minhash._block_links(member.select("key", "node", "n"), roots, mine.select("node", "items"), 90)
+    monkeypatch.setattr(minhash, "GROUP", 7)
+    wide = minhash._block_links(member.select("key", "node", "n"), roots, mine.select("node", "items"), 90)
+    parts = []
+    for links in (plain, wide):
+        parts.append(sorted(map(tuple, connected_components(links).collect())))
+    assert parts[0] == parts[1] and parts[0] and used
+
+
 def test_components_of_a_long_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 101)], "u long, v long")
     assert {(r.node, r.root) for r in connected_components(edges).collect()} == {(i, 0) for i in range(61)} | {(100, 100), (101, 100)}
