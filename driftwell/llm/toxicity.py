@@ -203,7 +203,7 @@ class Lexicon:
         good = rows & ~bad
         if not bad.any():
             return cls({}, {})
-        n_words, n_stems = len(sample.words), len(sample.stem_names)
+        n_words, n_stems = len(sample.words), max(len(sample.stem_names), 1)
         text, word, beside = sample.text[bad], sample.word[bad], sample.beside[bad]
 
         def stem_rows(mask: np.ndarray, keep: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
@@ -218,9 +218,9 @@ class Lexicon:
         def in_texts(mask: np.ndarray, keep: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             """Of each (text, stem): the stem, its first row, and its words."""
             row, stem = stem_rows(mask, keep)
-            key = sample.text[mask][row].astype(np.int64) * max(n_stems, 1) + stem
+            key = sample.text[mask][row].astype(np.int64) * n_stems + stem
             key, first, times = np.unique(key, return_index=True, return_counts=True)
-            return key % max(n_stems, 1), row[first], times
+            return key % n_stems, row[first], times
 
         # Arcs in fewer than three toxic texts are dropped first, so that the rest stays small.
         df_word = np.bincount(word, minlength=n_words)

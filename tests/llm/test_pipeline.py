@@ -21,7 +21,8 @@ def sf_dir(spark, tmp_path):
         words[rng.randrange(len(words))] = "edit"
         rows.append((1000 + i, t, x))
         rows.append((2000 + i, " ".join(words), x))
-    rows = [(i, f"{t}\n{shared}" if i in range(60, 80) else t, x) for i, t, x in rows] + nasty()
+    rows = [(i, f"{t}\n{shared}" if i in range(60, 80) else t, x) for i, t, x in rows]
+    rows += [(i if i is None else 5000 + i, t, x) for i, t, x in nasty()]  # ids that no other document has
     frame(spark, rows).write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame(marks, LABELS).write.parquet(str(tmp_path / "labels.parquet"))
     return str(tmp_path)
