@@ -3,11 +3,16 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Spark's setting to delete a query's shuffle files at its end, not when the driver's JVM next collects garbage.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 #: Local sessions without a checkpoint folder, and the folder of our own that serves each instead.
 _own: dict[str, str] = {}
 
@@ -37,15 +42,30 @@ def _remove(spark: SparkSession, path: str) -> None:
         pass
 
 
+@contextlib.contextmanager
+def _cleanup(spark: SparkSession) -> Iterator[None]:
+    """Queries inside delete their shuffle files when they are done; the session's setting is as before afterwards."""
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(CLEANUP)
+        else:
+            spark.conf.set(CLEANUP, before)
+
+
 def stage(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back, which cuts its lineage.
 
-    A lost executor then costs at most the stage that was running. The table goes with ``drop``, at the
+    Nothing reads the shuffles behind the table once it stands, so their files go at once. A lost executor then costs at most the stage that was running. The table goes with ``drop``, at the
     latest when the driver's interpreter ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/driftwell/{label}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    with _cleanup(spark):
+        df.write.option("compression", "zstd").parquet(path)
     atexit.register(_remove, spark, path)
     out = spark.read.schema(df.schema).parquet(path)
     out._driftwell_path = path

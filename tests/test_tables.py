@@ -5,6 +5,7 @@ from driftwell.operators import chunking, delta, reconcile
 from driftwell.plans import files, sync
 from driftwell.sources import stores
 from driftwell.sources.tables import assert_unique
+from driftwell import staging
 from driftwell.streaming.live_ibf import maintain
 from driftwell.operators import ibf
 import numpy as np
@@ -149,3 +150,17 @@ def test_streamed_cells_equal_batch(spark, tmp_path):
     maintain(changes, 64, "cells", str(tmp_path / "check")).awaitTermination(60)
     live = spark.table("cells").where("cnt <> 0 OR id_sum <> 0 OR hash_sum <> 0")
     assert sorted(live.collect()) == sorted(ibf.build(spark.range(90), 64).collect())
+
+
+def test_staging_frees_shuffles_and_leaves_the_session_alone(spark):
+    held = lambda: spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().mapOutputTracker().shuffleStatuses().size()
+    counted = spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count()
+    before = held()
+    counted.write.format("noop").mode("overwrite").save()
+    assert held() > before
+    before = held()
+    staged = staging.stage(counted, "counted")
+    assert held() <= before
+    assert sorted(r["count"] for r in staged.collect()) == [142] + [143] * 6
+    assert spark.conf.get(staging.CLEANUP, None) is None
+    staging.drop(staged)
