@@ -21,6 +21,7 @@ Only components are asked for, so the work is kept linear in the size of hot gro
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -209,15 +210,20 @@ def _block_links(buckets: DataFrame, roots: DataFrame, sets: DataFrame, percent:
     member = materialise(member.join(several, "key").select("key", "node", "root", "n"), "several")
     mixed = materialise(_mixed(member), "mixed")
     if mixed.isEmpty():
+        drop(member, mixed)
         return None
     one_block = (F.col("others") <= GROUP) & (F.col("other_elements") <= GROUP_ITEMS)
-    links = [_compared(member, mixed.where(one_block), sets, percent)]
+    links = [materialise(_compared(member, mixed.where(one_block), sets, percent), "links")]
     wide = mixed.where(~one_block).select("key")
     if not wide.isEmpty():
         mine = materialise(member.join(wide, "key").select("node", "root").distinct().join(sets, "node"), "wide")
         prefix = materialise(_prefixes(mine, percent), "prefixes")
-        links.append(_compared(prefix, materialise(_mixed(prefix), "mixed"), mine.select("node", "items"), percent))
-    return materialise(links[0] if len(links) == 1 else links[0].unionByName(links[1]), "links")
+        still = materialise(_mixed(prefix), "mixed")
+        links.append(materialise(_compared(prefix, still, mine.select("node", "items"), percent), "links"))
+        drop(mine, prefix, still)
+    out = materialise(reduce(DataFrame.unionByName, links), "links")
+    drop(member, mixed, *links)
+    return out
 
 
 def _compared(member: DataFrame, mixed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -289,10 +295,11 @@ def _components(docs: DataFrame, percent: int) -> DataFrame:
     links = materialise(_star_links(pairs, sets, percent), "links")
     roots = connected_components(links)
     more = _block_links(member.select("key", "node", "n"), roots, sets, percent)
+    drop(member, pairs, sets)
     if more is not None and not more.isEmpty():
         drop(roots)
         roots = connected_components(links.unionByName(more))
-    drop(member, pairs, sets, links, more)
+    drop(links, more)
 
     placed = classes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     nulls_last = F.struct((F.col("did") == NULL_ID).alias("none"), "did", "th")
