@@ -1,3 +1,5 @@
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -153,14 +155,18 @@ def test_streamed_cells_equal_batch(spark, tmp_path):
 
 
 def test_staging_frees_shuffles_and_leaves_the_session_alone(spark):
-    held = lambda: spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().mapOutputTracker().shuffleStatuses().size()
+    disk = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    new_id = spark.sparkContext._jsc.sc().newShuffleId
     counted = spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count()
-    before = held()
-    counted.write.format("noop").mode("overwrite").save()
-    assert held() > before
-    before = held()
+    first = new_id()
     staged = staging.stage(counted, "counted")
-    assert held() <= before
+    last = new_id()
+    assert last > first + 1  # a shuffle was made
+    held = lambda: [b for b in map(str, disk.getAllBlocks().mkString(" ").split()) if b.startswith("shuffle_") and first < int(b.split("_")[1]) < last]
+    stop = time.monotonic() + 20
+    while held() and time.monotonic() < stop:  # Spark deletes them in the background
+        time.sleep(0.1)
+    assert not held()
     assert sorted(r["count"] for r in staged.collect()) == [142] + [143] * 6
     assert spark.conf.get(staging.CLEANUP, None) is None
     staging.drop(staged)
