@@ -7,6 +7,8 @@ whose hash *is* that seed; put in front, it makes ``hash`` a seeded Murmur3 insi
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column
@@ -71,43 +73,49 @@ def _rot(x: np.ndarray, r: int, bits: int) -> np.ndarray:
     return (x << t(r)) | (x >> t(bits - r))
 
 
-def _columns(values: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Zero-padded rows of ``values`` as a matrix with ``width``-byte groups, longest first, with the order and lengths."""
+def _columns(values: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Zero-padded rows of ``values`` (longest first) as a matrix with ``width``-byte groups, with their lengths."""
     lengths = np.array([len(v) for v in values], dtype=np.int64)
-    order = np.argsort(-lengths, kind="stable")
     wide = max(-(-int(lengths.max(initial=0)) // width), 1) * width
-    raw = b"".join(values[i].ljust(wide, b"\0") for i in order)
-    return np.frombuffer(raw, dtype=np.uint8).reshape(len(values), wide), order, lengths[order]
+    raw = b"".join([v.ljust(wide, b"\0") for v in values])
+    return np.frombuffer(raw, dtype=np.uint8).reshape(len(values), wide), lengths
+
 
+def _in_parts(values: list[bytes], limit: int = 1 << 20, least: int = 256) -> Iterator[tuple[np.ndarray, list[bytes]]]:
+    """``values`` in parts of similar length, longest first, with their positions.
 
-def _in_parts(values: list[bytes], limit: int = 1 << 24):
-    """Slices of ``values`` whose padded matrix stays within ``limit`` bytes (a longer value stands alone)."""
-    start, longest = 0, 0
-    for i, v in enumerate(values):
-        longest = max(longest, len(v))
-        if i > start and longest * (i + 1 - start) > limit:
-            yield start, i
-            start, longest = i, len(v)
-    if start < len(values):
-        yield start, len(values)
+    The padded matrix of a part stays within ``limit`` bytes (a longer value stands alone), and a part of ``least``
+    values ends where values are half as long as its longest, so that there is little padding.
+    """
+    order = np.argsort([-len(v) for v in values], kind="stable")
+    ordered = [values[i] for i in order]
+    start = 0
+    for i, v in enumerate(ordered):
+        longest = len(ordered[start])
+        if i > start and (longest * (i + 1 - start) > limit or (2 * len(v) < longest and i - start >= least)):
+            yield order[start:i], ordered[start:i]
+            start = i
+    if start < len(ordered):
+        yield order[start:], ordered[start:]
 
 
 def murmur32_bytes(values: list[bytes], seed: int = 0) -> np.ndarray:
     """Murmur3 x86_32 of byte strings, a block of all of them at a time."""
     out = np.zeros(len(values), dtype=np.uint32)
     u = np.uint32
-    for lo, hi in _in_parts(values):
-        matrix, order, lengths = _columns(values[lo:hi], 4)
+    for order, part in _in_parts(values):
+        matrix, lengths = _columns(part, 4)
+        below = -lengths
         blocks = matrix.view("<u4").T
-        h = np.full(hi - lo, seed & _M32, dtype=np.uint32)
+        h = np.full(len(part), seed & _M32, dtype=np.uint32)
         for j, k in enumerate(blocks):
-            full = int(np.searchsorted(-lengths, -4 * (j + 1), side="right"))  # rows with this block whole
-            some = int(np.searchsorted(-lengths, -4 * j, side="left"))  # rows with at least a byte of it
+            full = int(np.searchsorted(below, -4 * (j + 1), side="right"))  # rows with this block whole
+            some = int(np.searchsorted(below, -4 * j, side="left"))  # rows with at least a byte of it
             k = _rot(k[:some] * u(C1_32), 15, 32) * u(C2_32)
             h[:some] ^= k
             h[:full] = _rot(h[:full], 13, 32) * u(5) + u(ADD_32)
         h = _fmix32(h ^ lengths.astype(np.uint32))
-        out[lo + order] = h
+        out[order] = h
     return out
 
 
@@ -115,14 +123,15 @@ def murmur128_bytes(values: list[bytes], seed: int = 0) -> tuple[np.ndarray, np.
     """Both halves of Murmur3 x64_128 of byte strings."""
     first, second = np.zeros(len(values), dtype=np.uint64), np.zeros(len(values), dtype=np.uint64)
     u = np.uint64
-    for lo, hi in _in_parts(values):
-        matrix, order, lengths = _columns(values[lo:hi], 16)
+    for order, part in _in_parts(values):
+        matrix, lengths = _columns(part, 16)
+        below = -lengths
         blocks = matrix.view("<u8")
-        h1 = np.full(hi - lo, seed, dtype=np.uint64)
+        h1 = np.full(len(part), seed, dtype=np.uint64)
         h2 = h1.copy()
         for j in range(blocks.shape[1] // 2):
-            full = int(np.searchsorted(-lengths, -16 * (j + 1), side="right"))
-            some = int(np.searchsorted(-lengths, -16 * j, side="left"))
+            full = int(np.searchsorted(below, -16 * (j + 1), side="right"))
+            some = int(np.searchsorted(below, -16 * j, side="left"))
             k1 = _rot(blocks[:some, 2 * j] * u(C1_64), 31, 64) * u(C2_64)
             k2 = _rot(blocks[:some, 2 * j + 1] * u(C2_64), 33, 64) * u(C1_64)
             h1[:some] ^= k1
@@ -136,7 +145,7 @@ def murmur128_bytes(values: list[bytes], seed: int = 0) -> tuple[np.ndarray, np.
         h1, h2 = _fmix64(h1), _fmix64(h2)
         h1 = h1 + h2
         h2 = h2 + h1
-        first[lo + order], second[lo + order] = h1, h2
+        first[order], second[order] = h1, h2
     return first, second
 
 

@@ -74,7 +74,8 @@ BROADCAST_BYTES = 8 << 20
 def probe(items: DataFrame, item: Column, bloom: Bloom) -> DataFrame:
     """``items`` with ``hit``: whether all bits are set; a filter without bits contains nothing.
 
-    A bitmap of at most BROADCAST_BYTES is one broadcast value, in which every item reads its bits. Beyond, the
+    A bitmap of at most BROADCAST_BYTES is one broadcast array of longs, of which an item reads single elements: an
+    array is looked into where it lies, while a binary value would be copied whole for every item. Beyond, the
     positions of all items meet the set bits in one join, counted per row by a row id.
     """
     if not bloom.size:
@@ -82,25 +83,28 @@ def probe(items: DataFrame, item: Column, bloom: Bloom) -> DataFrame:
     spots = positions(item, bloom.size, bloom.hashes)
     rows = items.select(F.struct(*items.columns).alias("row"), spots.alias("spots"))
     if bloom.size // 8 <= BROADCAST_BYTES:
-        whole = _whole_bitmap(bloom).withColumn("one", F.lit(1))
+        whole = _words(bloom).withColumn("one", F.lit(1))
         rows = rows.withColumn("one", F.lit(1)).join(F.broadcast(whole), "one")
         hit = F.lit(True)
         for s in range(bloom.hashes):
-            byte = F.conv(F.hex(F.substring("bitmap", (F.col("spots")[s] / 8 + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
-            hit = hit & (F.getbit(byte, F.pmod(F.col("spots")[s], F.lit(8)).cast("int")) == 1)
+            spot = F.col("spots")[s]
+            word = F.col("words")[F.shiftright(spot, 6).cast("int")]
+            hit = hit & (F.getbit(word, spot.bitwiseAND(F.lit(63)).cast("int")) == 1)
         return rows.select("row.*", hit.alias("hit"))
     spread = rows.withColumn("id", F.monotonically_increasing_id()).select("id", "row", F.explode("spots").alias("bit"))
     met = spread.join(bloom.bits.withColumn("set", F.lit(True)), "bit", "left")
     return met.groupBy("id").agg(F.first("row").alias("row"), F.min(F.coalesce("set", F.lit(False))).alias("hit")).select("row.*", "hit")
 
 
-def _whole_bitmap(bloom: Bloom) -> DataFrame:
-    """One row (bitmap: binary) of all pages in order."""
-    pages = bloom.bits.groupBy(F.floor(F.col("bit") / 32768).alias("page")).agg(F.hex(F.bitmap_construct_agg(F.pmod("bit", F.lit(32768)).cast("long"))).alias("bytes"))
-    every = bloom.bits.sparkSession.range(-(-bloom.size // 32768)).withColumnRenamed("id", "page")
-    filled = every.join(pages, "page", "left").select("page", F.coalesce("bytes", F.lit("00" * 4096)).alias("bytes"))
-    ordered = F.transform(F.array_sort(F.collect_list(F.struct("page", "bytes"))), lambda x: x["bytes"])
-    return filled.agg(F.unhex(F.array_join(ordered, "")).alias("bitmap"))
+def _words(bloom: Bloom) -> DataFrame:
+    """One row (words: array of longs) of all bits in order, 64 to a word. Pages of 512 words are put together first,
+    so that the one row is made of few parts."""
+    own = bloom.bits.groupBy(F.shiftright("bit", 6).alias("at")).agg(F.expr("bit_or(shiftleft(1L, CAST(bit & 63 AS INT)))").alias("word"))
+    every = bloom.bits.sparkSession.range(-(-bloom.size // 64)).withColumnRenamed("id", "at")
+    filled = every.join(own, "at", "left").select("at", F.coalesce("word", F.lit(0).cast("long")).alias("word"))
+    ordered = lambda rows, value: F.transform(F.sort_array(F.collect_list(F.struct(*rows))), lambda x: x[value])
+    pages = filled.groupBy(F.shiftright("at", 9).alias("page")).agg(ordered(("at", "word"), "word").alias("part"))
+    return pages.agg(F.flatten(ordered(("page", "part"), "part")).alias("words"))
 
 
 CHUNK_BITS, BLOCK_BITS = 12, 24

@@ -6,13 +6,16 @@ batches; documents are independent and spread over the cluster.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from driftwell.functions.hashing import murmur32_udf
+from driftwell.functions.hashing import murmur32_bytes
 
 #: Window of the rolling hash, half-width of the maxima, and the offset added to each byte.
 WINDOW, HALF_WIDTH, CHAR_OFFSET = 16, 32 * 1024, 31
@@ -96,15 +99,45 @@ def maxima_of(values: Column, half: int) -> Column:
 
 
 def cut(rows: DataFrame, key: str, data: str, edges: Column) -> DataFrame:
-    """(key, seq, pos, len, chunk): from behind the previous boundary up to and with each one, then the tail."""
-    size = F.octet_length(data).cast("long")
-    ends = F.array_distinct(F.concat(F.transform(edges, lambda x: x + 1), F.when(size > 0, F.array(size)).otherwise(F.array().cast("array<bigint>"))))
-    marked = rows.select(key, data, F.concat(F.array(F.lit(0).cast("long")), ends).alias("_ends"))
-    spans = F.expr("transform(slice(_ends, 2, size(_ends)), (e, i) -> struct(i AS seq, _ends[i] AS pos, e - _ends[i] AS len))")
-    out = marked.select(key, data, F.explode(spans).alias("s")).select(key, data, "s.*")
-    return out.select(key, "seq", "pos", "len", F.substring(data, (F.col("pos") + 1).cast("int"), F.col("len").cast("int")).alias("chunk"))
-
-
-def chunks(rows: DataFrame, key: str, data: str, window: int = WINDOW, half: int = HALF_WIDTH) -> DataFrame:
-    """(key, seq, pos, len, chunk, hash) of every document of ``rows`` by content."""
-    return cut(rows, key, data, boundaries(F.col(data), window, half)).withColumn("hash", murmur32_udf("chunk"))
+    """(key, seq, pos, len, chunk): from behind the previous boundary up to and with each one, then the tail.
+
+    Null and empty values and null ``edges`` give no chunks.
+    """
+    return _cut(rows.select(key, F.col(data).cast("binary"), edges.cast(_LONGS).alias("_edges")), None, False)
+
+
+def chunks(rows: DataFrame, key: str, data: str, window: int = WINDOW, half: int = HALF_WIDTH, hashed: bool = True) -> DataFrame:
+    """(key, seq, pos, len, chunk, hash) of every document of ``rows`` by content; no ``hash`` where it is not wanted."""
+    return _cut(rows.select(key, F.col(data).cast("binary")), lambda d: local_maxima(rolling_adler(d, window), half), hashed)
+
+
+def _cut(rows: DataFrame, edges_of: Callable[[np.ndarray], np.ndarray] | None, hashed: bool) -> DataFrame:
+    """Chunks of ``rows`` (key, data, and edges unless ``edges_of`` finds them). A value goes to Python once and
+    its chunks come back, so the work is linear in its bytes; a row for each chunk that carried the value would not be."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            row, seq, pos, size, pieces = [], [], [], [], []
+            for i in range(batch.num_rows):
+                value = batch.column(1)[i].as_py()
+                if not value or (edges_of is None and not batch.column(2)[i].is_valid):
+                    continue
+                edges = edges_of(np.frombuffer(value, dtype=np.uint8)) if edges_of else batch.column(2)[i].values.to_numpy()
+                ends = np.unique(np.append(edges + 1, len(value)))
+                begins = np.concatenate([[0], ends[:-1]])
+                row.append(np.full(len(ends), i))
+                seq.append(np.arange(len(ends), dtype=np.int32))
+                pos.append(begins)
+                size.append(ends - begins)
+                pieces += [value[a:b] for a, b in zip(begins.tolist(), ends.tolist(), strict=True)]
+            if not row:
+                continue
+            columns = [batch.column(0).take(pa.array(np.concatenate(row))), pa.array(np.concatenate(seq))]
+            columns += [pa.array(np.concatenate(x).astype(np.int64)) for x in (pos, size)] + [pa.array(pieces, pa.binary())]
+            if hashed:
+                columns.append(pa.array(murmur32_bytes(pieces).astype(np.int64)))
+            yield pa.RecordBatch.from_arrays(columns, names=["key", "seq", "pos", "len", "chunk", "hash"][: len(columns)])
+
+    out = T.StructType([T.StructField("key", rows.schema[0].dataType)]).add("seq", T.IntegerType()).add("pos", T.LongType())
+    out = out.add("len", T.LongType()).add("chunk", T.BinaryType())
+    return rows.mapInArrow(run, out.add("hash", T.LongType()) if hashed else out).withColumnRenamed("key", rows.columns[0])

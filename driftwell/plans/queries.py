@@ -454,7 +454,7 @@ def modulo_boundaries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {_MAX} SELECT doc_id, seq::INTEGER AS seq, pos::BIGINT AS pos, (e - pos)::BIGINT AS len FROM ch")
 def chunk_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chunking.chunks(_documents(spark, sf_dir), "doc_id", "data", half=HALF).select("doc_id", "seq", "pos", "len")
+    return chunking.chunks(_documents(spark, sf_dir), "doc_id", "data", half=HALF, hashed=False).select("doc_id", "seq", "pos", "len")
 
 
 @query(f"""WITH {_MAX} SELECT md5(substr(hx, (2 * pos + 1)::BIGINT, (2 * (e - pos))::BIGINT)) AS digest, count(*) AS n, count(DISTINCT doc_id) AS docs
