@@ -3,7 +3,8 @@
 Variable chunks: the new side sends a Bloom filter of its chunk hashes; the old side estimates from it how
 many chunks differ and sends the values of its characteristic polynomial at so many points; the new side
 divides, interpolates and finds which of its own chunks the old side lacks; the delta has those as
-literals and the others as references. Fixed blocks: the old side sends a Bloom filter of its blocks, the new
+literals and the others as references. The exchange works on a few bits of each chunk's digest; where two chunks of a
+file share those, it is repeated with other bits, and at last with the digests themselves. Fixed blocks: the old side sends a Bloom filter of its blocks, the new
 side answers with references to blocks and literals. Keys that only one side has are skipped.
 
 What crosses between the sides is small and belongs to one file, so each file's exchange is one call of a vectorised
@@ -25,13 +26,14 @@ from driftwell.functions.hashing import murmur32_bytes
 from driftwell.operators import bloom, charpoly, chunking, delta
 from driftwell.staging import stage
 
-#: Bits of a chunk hash that are used, so that all elements lie below the sample points.
-HASH_BITS = 28
+#: Bytes of a chunk's digest, which tells chunks apart, and bits of it that an exchange uses, so that all elements lie
+#: below the sample points. Each further exchange starts STEP bytes on.
+DIGEST, HASH_BITS, STEP = 16, 28, 4
 #: Points up to which a file's polynomial is interpolated; beyond, the hashes themselves are sent.
 MOST_POINTS = 256
 
 _EXCHANGE = T.StructType([
-    T.StructField("missing", T.ArrayType(T.LongType())), T.StructField("estimate", T.LongType()),
+    T.StructField("missing", T.ArrayType(T.BinaryType())), T.StructField("estimate", T.LongType()),
     T.StructField("bloom_bytes", T.LongType()), T.StructField("polynomial_bytes", T.LongType()),
 ])
 
@@ -69,23 +71,41 @@ def exchange(old: np.ndarray, new: np.ndarray) -> tuple[list[int], int, int, int
     return np.setdiff1d(new, old).tolist(), estimate, filter_bytes, sent + 4 * len(old)
 
 
+def exchange_digests(old: list[bytes], new: list[bytes], bits: int = HASH_BITS) -> tuple[list[bytes], int, int, int]:
+    """As ``exchange``, of digests (distinct on each side), whatever bits they share; the figures are those of the exchange that counts.
+
+    A side sees by itself that two of its chunks share their bits, and a file that comes out with another digest than the
+    new version's shows that a chunk of each side do. Both mean that the next bits are taken.
+    """
+    both = {*old, *new}
+    for at in range(0, DIGEST, STEP):
+        short = {d: int.from_bytes(d[at : at + STEP], "little") & ((1 << bits) - 1) for d in both}
+        if len(set(short.values())) == len(both):
+            sides = (np.sort(np.array([short[d] for d in side], dtype=np.int64)) for side in (old, new))
+            found, *figures = exchange(*sides)
+            lacking = set(found)
+            return [d for d in new if short[d] in lacking], *figures
+    known = set(old)
+    found = [d for d in new if d not in known]
+    return found, len(new) - len(old) + 2 * len(known.difference(new)), bloom.rounded(bloom.CHUNK_BITS * len(new)) // 8 + 4, DIGEST * len(old)
+
+
 @F.pandas_udf(_EXCHANGE)
 def _exchanged(old: pd.Series, new: pd.Series) -> pd.DataFrame:
-    rows = [exchange(np.asarray(a, dtype=np.int64), np.asarray(b, dtype=np.int64)) for a, b in zip(old, new, strict=True)]
-    return pd.DataFrame(rows, columns=_EXCHANGE.names)
+    return pd.DataFrame([exchange_digests(list(a), list(b)) for a, b in zip(old, new, strict=True)], columns=_EXCHANGE.names)
 
 
 def sync_variable(old: DataFrame, new: DataFrame, key: str, data: str, half: int = chunking.HALF_WIDTH) -> DataFrame:
     """(key, data, estimate, bloom_bytes, polynomial_bytes, refs, literals, literal_bytes) of every key of both sides:
     the new version rebuilt on the old side, and what it took. An empty new version is rebuilt as empty."""
     both = stage(old.select(key, F.col(data).alias("_o")).join(new.select(key, F.col(data).alias("_n")), key), "versions")
-    masked = F.col("hash").bitwiseAND(F.lit((1 << HASH_BITS) - 1)).alias("hash")
+    digest = F.unhex(F.substring(F.sha2("chunk", 256), 1, 2 * DIGEST)).alias("hash")
     a, b = (
-        stage(chunking.chunks(both.select(key, F.col(c).alias("data")), key, "data", half=half).select(key, "seq", "chunk", masked), "chunks")
+        stage(chunking.chunks(both.select(key, F.col(c).alias("data")), key, "data", half=half, hashed=False).select(key, "seq", "chunk", digest), "chunks")
         for c in ("_o", "_n")
     )
     own = lambda chunks, name: chunks.groupBy(key).agg(F.array_sort(F.collect_set("hash")).alias(name))
-    none = F.array().cast("array<bigint>")
+    none = F.array().cast("array<binary>")
     sides = both.select(key).join(own(a, "a"), key, "left").join(own(b, "b"), key, "left")
     talks = stage(sides.select(key, _exchanged(F.coalesce("a", none), F.coalesce("b", none)).alias("t")).select(key, "t.*"), "exchange")
     missing = talks.select(key, F.explode("missing").alias("hash")).withColumn("_new", F.lit(True))

@@ -83,6 +83,28 @@ def test_exchange_finds_what_is_missing():
         assert sent > 0
 
 
+def test_chunks_that_share_hash_bits_are_told_apart(spark):
+    rng = np.random.default_rng(4)
+    old, fresh = (rng.integers(0, 256, 300_000).astype(np.uint8).tobytes() for _ in range(2))
+    new = fresh[:200_000] + old[100_000:] + fresh[200_000:]  # so many chunks that some share 28 bits
+    sides = [spark.createDataFrame([(1, bytearray(x)), (2, bytearray(x[:500]))], "k long, data binary") for x in (old, new)]
+    rows = {r.k: r for r in files.sync_variable(*sides, "k", "data", half=2).collect()}
+    assert bytes(rows[1].data) == new and bytes(rows[2].data) == new[:500]
+    of = [{r.chunk for r in chunking.chunks(x.where("k = 1"), "k", "data", half=2, hashed=False).select(F.hex("chunk").alias("chunk")).collect()} for x in sides]
+    assert rows[1].bloom_bytes == -(-12 * len(of[1]) // 8) + 4
+
+
+def test_exchange_takes_other_bits_and_then_digests():
+    rng = np.random.default_rng(6)
+    digests = [rng.bytes(files.DIGEST) for _ in range(40)]
+    twin = digests[0][:4] + digests[1][4:8] + rng.bytes(8)  # shares its first bits with one and its next with another
+    old, new = digests[:30], [*digests[10:], twin]
+    for bits in (files.HASH_BITS, 4):  # 4 bits tell 41 digests apart nowhere
+        missing, _, filter_bytes, sent = files.exchange_digests(old, new, bits)
+        assert sorted(missing) == sorted({*new} - {*old}) and filter_bytes == -(-12 * len(new) // 8) + 4 and sent > 0
+    assert files.exchange_digests([], [])[0] == []
+
+
 def test_stores(spark, tmp_path):
     path = str(tmp_path / "store")
     stores.upsert(kv(spark, [("a", "1")]), kv(spark, [("a", "2"), ("b", "3")]), path)
