@@ -27,13 +27,17 @@ ONE_TASK = 1 << 18
 MOST_ROUNDS, STUCK = 100, 0
 
 
-def build(ids: DataFrame, size: int, hashes: int = HASHES, by: tuple[str, ...] = (), weight: int = 1) -> DataFrame:
-    """Cells of ``ids`` (id: long). Seeds may fall on one cell twice; both count. ``weight`` -1 removes."""
+def build(ids: DataFrame, size: int, hashes: int = HASHES, by: tuple[str, ...] = (), weight: int = 1, times: str | None = None) -> DataFrame:
+    """Cells of ``ids`` (id: long). Seeds may fall on one cell twice; both count. ``weight`` -1 removes. A row counts
+    as often as its column ``times`` says, once without one."""
     cells = F.array(*[F.pmod(murmur32("id", s), F.lit(size).cast("long")).cast("int") for s in range(hashes)])
-    rows = ids.select(*by, "id", murmur32("id", CHECK_SEED).alias("check"), F.explode(cells).alias("cell"))
-    return rows.groupBy(*by, "cell").agg(
-        (F.count("*") * weight).alias("cnt"), F.expr("bit_xor(id)").alias("id_sum"), F.expr("bit_xor(check)").alias("hash_sum")
-    )
+    rows = ids.select(*by, "id", murmur32("id", CHECK_SEED).alias("check"), F.explode(cells).alias("cell"), *[F.col(x).alias("_times") for x in (times,) if x])
+    if times:  # what falls into a cell an even number of times leaves no trace in its sums
+        odd = F.col("_times") % 2
+        sums = [F.sum("_times"), F.bit_xor(F.col("id") * odd), F.bit_xor(F.col("check") * odd)]
+    else:
+        sums = [F.count("*"), F.bit_xor("id"), F.bit_xor("check")]
+    return rows.groupBy(*by, "cell").agg((sums[0] * weight).alias("cnt"), sums[1].alias("id_sum"), sums[2].alias("hash_sum"))
 
 
 def subtract(a: DataFrame, b: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:

@@ -38,3 +38,21 @@ def test_query(spark, duck, name):
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() == 45
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+@pytest.fixture(scope="module")
+def crossed(spark, tmp_path_factory):
+    """Orders whose client copies (id + 1000000) meet ids that the client has already, and DuckDB over them."""
+    folder = tmp_path_factory.mktemp("crossed")
+    rows = spark.read.parquet(f"{SF}/orders.parquet").where("o_orderkey < 1000")
+    rows.unionByName(rows.withColumn("o_orderkey", rows.o_orderkey + 1_000_000)).write.parquet(f"{folder}/orders.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW orders AS SELECT * FROM '{folder}/orders.parquet/*.parquet'")
+    return str(folder), con
+
+
+@pytest.mark.skipif(not Path(SF).exists(), reason="needs the driver's tables")
+@pytest.mark.parametrize("name", ["ibf_subtract"])
+def test_ids_that_a_side_holds_twice(spark, crossed, name):
+    folder, con = crossed
+    assert rows(QUERIES[name](spark, folder).toPandas()) == rows(con.sql(SQL[name]).df())
