@@ -151,14 +151,19 @@ def _decode_rounds(cells: DataFrame, size: int, hashes: int) -> DataFrame:
 def difference(a: DataFrame, b: DataFrame, estimate: int, hashes: int = HASHES, attempts: int = 6) -> DataFrame:
     """(side, id) of two id tables, from filters of 2 * ``estimate`` cells, doubled while they don't decode.
 
-    After ``attempts`` filters the difference is taken exactly, by anti joins of the tables themselves.
+    After ``attempts`` filters the difference is taken exactly, by anti joins of the tables themselves. Sets are made
+    distinct first: an id that one side holds twice would be found on the side that holds it more often.
     """
+    a, b = (stage(x.select("id").distinct(), "ids") for x in (a, b))
     size = max(CELLS_PER_DIFFERENCE * estimate, 8)
     for _ in range(attempts):
         found = stage(_peeled(subtract(build(a, size, hashes), build(b, size, hashes)), size, hashes), "difference")
         if found.where(F.col("side") == STUCK).isEmpty():
-            return found
+            break
         drop(found)
         size *= 2
-    plus = a.select("id").subtract(b.select("id")).select(F.lit(1).alias("side"), "id")
-    return stage(plus.unionByName(b.select("id").subtract(a.select("id")).select(F.lit(-1).alias("side"), "id")), "difference")
+    else:
+        plus = a.subtract(b).select(F.lit(1).alias("side"), "id")
+        found = stage(plus.unionByName(b.subtract(a).select(F.lit(-1).alias("side"), "id")), "difference")
+    drop(a, b)
+    return found

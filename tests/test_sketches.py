@@ -66,6 +66,13 @@ def test_ibf_failure_and_doubling(spark):
         assert got == {(1, i) for i in range(400)} | {(-1, i) for i in range(500, 600)}
 
 
+def test_ibf_difference_is_one_of_sets(spark):
+    a, b = ids(spark, 0, 50), ids(spark, 10, 60).unionByName(ids(spark, 20, 30))
+    for attempts in (9, 0):
+        got = {(r.side, r.id) for r in ibf.difference(a, b, 40, attempts=attempts).collect()}
+        assert got == {(1, i) for i in range(10)} | {(-1, i) for i in range(50, 60)}
+
+
 def test_ibf_is_linear(spark):
     parts = ibf.merge(ibf.build(ids(spark, 0, 40), 64), ibf.build(ids(spark, 40, 100), 64))
     assert sorted(parts.collect()) == sorted(ibf.build(ids(spark, 0, 100), 64).collect())
