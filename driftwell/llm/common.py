@@ -106,6 +106,17 @@ def in_batches(df: DataFrame, rows: int = 1000) -> DataFrame:
     return df
 
 
+def known_labels(labels: DataFrame, label: str, *, folds: int, held_out: int) -> DataFrame:
+    """(did, _y), staged, of the labels outside the held-out fold. A doc_id labelled more than once counts by its mean,
+    halves up; null labels are ignored."""
+    known = (
+        labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & (fold("doc_id", folds) != held_out))
+        .groupBy(F.col("doc_id").alias("did"))
+        .agg((F.avg(label) >= 0.5).cast("int").alias("_y"))
+    )
+    return materialise(known, "labels")  # so that joins with it have plain exchanges, which AQE splits
+
+
 def labelled_sample(
     docs: DataFrame, labels: DataFrame, label: str, *, folds: int, held_out: int, per_class: int, max_bytes: int
 ) -> tuple[list[tuple[str, int]], dict[int, int]]:
@@ -113,15 +124,9 @@ def labelled_sample(
     learning rows there are of each.
 
     Learning rows are those of ``docs`` that have a label, a text and an id whose ``fold`` is not ``held_out``; labels
-    of absent documents count for nothing. A doc_id labelled more than once counts by its mean, halves
-    up; null labels are ignored. The rows are few, so they may be broadcast and collected.
+    of absent documents count for nothing; see ``known_labels``. The rows are few, so they may be broadcast and collected.
     """
-    known = (
-        labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & (fold("doc_id", folds) != held_out))
-        .groupBy(F.col("doc_id").alias("did"))
-        .agg((F.avg(label) >= 0.5).cast("int").alias("_y"))
-    )
-    known = materialise(known, "labels")  # so that the join below has plain exchanges, which AQE splits
+    known = known_labels(labels, label, folds=folds, held_out=held_out)
     usable = docs.where(F.col("text").isNotNull()).select(F.col("doc_id").alias("did"), F.xxhash64("text").alias("th"), F.octet_length("text").alias("bytes"))
     rows = materialise(usable.join(known, "did"), "labelled")
     chosen, sizes = chosen_rows(rows, "_y", per_class, 2 * per_class, max_bytes)

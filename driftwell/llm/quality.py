@@ -2,24 +2,30 @@
 
 A document's strength is linear in statistics of its whole text. For pairs of a document labelled
 1 and one labelled 0, the chance that the first wins is the logistic of the difference of
-strengths; the weights minimise the logistic loss on these differences. The strength at the
+strengths; the weights minimise the mean logistic loss over all such pairs of all learning rows. What
+a row's pairs add to the gradient depends on its strength and on how many rows of the other label have
+which strength, so a pass over the rows after a count of strengths serves all pairs. The strength at the
 quantile of the learning documents that corresponds to the share of label 0 becomes score 0.5.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, fold, in_batches, labelled_sample
+from .common import documents, drop, fold, in_batches, known_labels, materialise, with_ranks
 from .textvec import span_hashes, word_spans
 
-#: Learning rows of each label, bytes of learning text in all, preference pairs and the ridge on weights.
-PER_CLASS, MAX_BYTES, PAIRS, RIDGE = 2000, 48 << 20, 40_000, 1e-3
+#: The ridge on weights, most Newton steps, and the change of weights at which they end.
+RIDGE, STEPS, SETTLED = 1e-3, 25, 1e-4
+#: Cells of a unit of strength in which strengths are counted, parts that a row is split into between two cells, and
+#: ranges of strength for the curvature between labels, which decides how fast the steps get there, not where to.
+CELLS, PARTS, RANGES = 64, 1 << 20, 48
 FOLDS, HELD_OUT = 3, 1
 
 
@@ -104,40 +110,164 @@ class Model:
 
     @classmethod
     def fit(cls, texts: list[str], y: np.ndarray, sizes: dict[int, int]) -> Model:
-        """``sizes``: learning rows of each label before sampling."""
+        """``sizes``: rows of each label; their shares set the quantile."""
         width = len(features(""))
-        x = np.array([features(t) for t in texts]).reshape(len(texts), width)
-        good, bad = np.flatnonzero(y == 1), np.flatnonzero(y == 0)
-        if not len(good) or not len(bad):  # nothing to compare: everything is like what was seen
-            return cls(np.zeros(width), np.ones(width), np.zeros(3 * width), -1.0 if len(good) or not len(bad) else 1.0, 1.0)
-        mean, scale = x.mean(axis=0), x.std(axis=0) + 1e-3
-        z = _expand((x - mean) / scale)
-        rng = np.random.Generator(np.random.PCG64(3))
-        diff = z[rng.choice(good, PAIRS)] - z[rng.choice(bad, PAIRS)]
-        weights = np.zeros(z.shape[1])
-        for _ in range(25):  # Newton steps; the loss is convex
-            p = 1 / (1 + np.exp(np.clip(diff @ weights, -30, 30)))
-            gradient = RIDGE * weights - diff.T @ p / PAIRS
-            curve = (diff * (p * (1 - p))[:, None]).T @ diff / PAIRS + RIDGE * np.eye(len(weights))
-            step = np.linalg.solve(curve, gradient)
-            weights -= step
-            if np.abs(step).max() < 1e-6:
+        return cls.learn(_Here(np.array([features(t) for t in texts]).reshape(len(texts), width), np.asarray(y)), sizes[0] / max(sizes[0] + sizes[1], 1))
+
+    @classmethod
+    def learn(cls, rows: _Here | _Staged, share: float | None = None) -> Model:
+        """From all of ``rows``; ``share``: that of label 0, by default theirs."""
+        width = len(features(""))
+        sums = rows.total(lambda x, y: np.concatenate([[(y == 0).sum(), (y == 1).sum()], x.sum(axis=0), (x * x).sum(axis=0)]), 2 + 2 * width)
+        bad, good = int(sums[0]), int(sums[1])
+        if not good or not bad:  # nothing to compare: everything is like what was seen
+            return cls(np.zeros(width), np.ones(width), np.zeros(3 * width), -1.0 if good or not bad else 1.0, 1.0)
+        n = good + bad
+        mean = sums[2 : 2 + width] / n
+        scale = np.sqrt(np.maximum(sums[2 + width :] / n - mean**2, 0)) + 1e-3
+        model = cls(mean, scale, np.zeros(3 * width), 0.0, 1.0)
+        for _ in range(STEPS):  # Newton steps; the loss is convex
+            step = _step(model, rows, good * bad)
+            model = cls(mean, scale, model.weights - step, 0.0, 1.0)
+            if np.abs(step).max() < SETTLED:
                 break
-        s = z @ weights
-        # Sampled labels weigh as much as all documents that they stand for.
-        weight = np.where(y == 1, sizes[1] / len(good), sizes[0] / len(bad))
-        order = np.argsort(s, kind="stable")
-        reached = np.cumsum(weight[order]) / weight.sum()
-        at = int(np.searchsorted(reached, sizes[0] / (sizes[0] + sizes[1])))
-        at = min(at, len(order) - 2) if len(order) > 1 else 0
-        middle = float(s[order[at : at + 2]].mean())
-        return cls(mean, scale, weights, middle, 1.0)
+        at = max(min(bad if share is None else round(share * n), n - 1), 1)
+        model.middle = float(np.mean(rows.ranked(model.strength, at - 1)))
+        return model
+
+
+def _over(counts: np.ndarray, kernel: np.ndarray) -> np.ndarray:
+    """At each cell, the sum over all cells of their counts times ``kernel`` at the distance from here to there."""
+    size = len(counts) + len(kernel)
+    return np.fft.irfft(np.fft.rfft(counts, size) * np.fft.rfft(kernel[::-1], size), size)[len(counts) - 1 : 2 * len(counts) - 1]
+
+
+def _logistic(x: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(x, -500, 500)))
+
+
+def _step(model: Model, rows: _Here | _Staged, pairs: int) -> np.ndarray:
+    """The Newton step of the mean loss over all ``pairs``."""
+    first, counts = rows.strengths(model.strength)  # of label 0 and 1 in each cell
+    at = (first + np.arange(len(counts[0]))) / CELLS
+    apart = np.arange(1 - len(at), len(at)) / CELLS
+    wins, steep = _logistic(apart), _logistic(apart) * _logistic(-apart)
+    # How many pairs a row has against its label: of label 1 those that it loses, of label 0 those that it wins.
+    against = [_over(counts[1], _logistic(-apart)), _over(counts[0], wins)]
+    curve = [_over(counts[1], steep), _over(counts[0], steep)]
+    reached = np.cumsum(counts.sum(axis=0)) / counts.sum()
+    edges = np.unique(at[np.searchsorted(reached, np.arange(1, RANGES) / RANGES).clip(0, len(at) - 1)])
+    d = len(model.weights)
+    upper = np.triu_indices(d)
+
+    def sums(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        z = _expand((x - model.mean) / model.scale)
+        s = z @ model.weights
+        pull = np.where(y == 1, np.interp(s, at, against[1]), -np.interp(s, at, against[0]))
+        bend = np.where(y == 1, np.interp(s, at, curve[1]), np.interp(s, at, curve[0]))
+        spot = np.zeros((2, len(edges) + 1, d + 2))
+        np.add.at(spot, (y, np.searchsorted(edges, s)), np.concatenate([z, s[:, None], np.ones((len(s), 1))], axis=1))
+        return np.concatenate([pull @ z, ((z * bend[:, None]).T @ z)[upper], spot.ravel()])
+
+    total = rows.total(sums, d + len(upper[0]) + 2 * (len(edges) + 1) * (d + 2))
+    gradient = RIDGE * model.weights - total[:d] / pairs
+    own = np.zeros((d, d))
+    own[upper] = total[d : d + len(upper[0])]
+    own = own + np.triu(own, 1).T
+    spot = total[d + len(upper[0]) :].reshape(2, len(edges) + 1, d + 2)
+    middles = spot[:, :, d] / np.maximum(spot[:, :, d + 1], 1)
+    far = middles[1][:, None] - middles[0][None, :]
+    cross = spot[1, :, :d].T @ (_logistic(far) * _logistic(-far)) @ spot[0, :, :d]
+    values, vectors = np.linalg.eigh((own - cross - cross.T) / pairs + RIDGE * np.eye(d))
+    return vectors @ ((vectors.T @ gradient) / np.maximum(values, RIDGE))
+
+
+def _cells(s: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Cells, labels and parts in them of strengths ``s``: each is split between its two neighbours, in whole parts, whose sums
+    are the same in any order."""
+    low = np.floor(s * CELLS).astype(np.int64)
+    right = np.rint((s * CELLS - low) * PARTS).astype(np.int64)
+    keys, where = np.unique(np.stack([np.concatenate([low, low + 1]), np.concatenate([y, y])]), axis=1, return_inverse=True)
+    parts = np.zeros(keys.shape[1], dtype=np.int64)
+    np.add.at(parts, where.ravel(), np.concatenate([PARTS - right, right]))
+    return keys[0], keys[1], parts
+
+
+def _counts(cell: np.ndarray, y: np.ndarray, parts: np.ndarray) -> tuple[int, np.ndarray]:
+    first = int(cell.min())
+    out = np.zeros((2, int(cell.max()) - first + 1))
+    out[y, cell - first] = parts / PARTS
+    return first, out
+
+
+class _Here:
+    """Learning rows as matrices."""
+
+    def __init__(self, x: np.ndarray, y: np.ndarray):
+        self.x, self.y = x, y
+
+    def total(self, sums: Callable, size: int) -> np.ndarray:
+        return sums(self.x, self.y)
+
+    def strengths(self, strength: Callable) -> tuple[int, np.ndarray]:
+        return _counts(*_cells(strength(self.x), self.y))
+
+    def ranked(self, strength: Callable, at: int) -> list[float]:
+        return np.sort(strength(self.x))[at : at + 2].tolist()
+
+
+class _Staged:
+    """Learning rows as a table (y, x): passes over them leave sums, counts by cells, or ranks."""
+
+    def __init__(self, rows: DataFrame):
+        self.rows = rows
+
+    def _blocks(self, run: Callable, schema: str) -> DataFrame:
+        def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            blocks = (
+                (np.frombuffer(b"".join(b.column(1).to_pylist()), dtype=np.float64).reshape(b.num_rows, -1), b.column(0).to_numpy())
+                for b in batches if b.num_rows
+            )
+            for arrays in run(blocks):
+                yield pa.RecordBatch.from_arrays([pa.array(a) for a in arrays], names=[c.split()[0] for c in schema.split(", ")])
+
+        return in_batches(self.rows).mapInArrow(each, schema)
+
+    def total(self, sums: Callable, size: int) -> np.ndarray:
+        def run(blocks):
+            total = np.zeros(size)
+            for x, y in blocks:
+                total += sums(x, y)
+            yield [TaskContext.get().partitionId()], [total.tobytes()]
+
+        # One row of bounded size a task, added up in the order of tasks.
+        parts = sorted(self._blocks(run, "part long, sums binary").collect(), key=lambda r: r["part"])
+        return sum((np.frombuffer(bytes(r["sums"]), dtype=np.float64) for r in parts), np.zeros(size))
+
+    def strengths(self, strength: Callable) -> tuple[int, np.ndarray]:
+        found = self._blocks(lambda blocks: (_cells(strength(x), y.astype(np.int64)) for x, y in blocks), "cell long, y long, parts long")
+        rows = found.groupBy("cell", "y").agg(F.sum("parts").alias("parts")).collect()
+        return _counts(*(np.array([r[c] for r in rows], dtype=np.int64) for c in ("cell", "y", "parts")))
+
+    def ranked(self, strength: Callable, at: int) -> list[float]:
+        found = self._blocks(lambda blocks: ((strength(x),) for x, _ in blocks), "s double")
+        return [r["s"] for r in with_ranks(found, [F.col("s")], "strengths").where(F.col("rank").isin(at, at + 1)).collect()]
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
-    """A model from at most PER_CLASS texts of each label outside the held-out fold."""
-    rows, sizes = labelled_sample(docs, labels, "quality", folds=FOLDS, held_out=HELD_OUT, per_class=PER_CLASS, max_bytes=MAX_BYTES)
-    return Model.fit([t for t, _ in rows], np.array([y for _, y in rows], dtype=int), {0: 0, 1: 0} | sizes)
+    """A model from all texts that have a label and are outside the held-out fold; a row of ``docs`` counts as often as it is there."""
+    known = known_labels(labels, "quality", folds=FOLDS, held_out=HELD_OUT)
+    usable = docs.where(F.col("text").isNotNull() & (fold("doc_id", FOLDS) != HELD_OUT)).select(F.col("doc_id").alias("did"), "text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [features(t).tobytes() for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], names=["y", "x"])
+
+    rows = materialise(in_batches(usable.join(known, "did").select("_y", "text")).mapInArrow(run, "y int, x binary"), "features")
+    model = Model.learn(_Staged(rows))
+    drop(known, rows)
+    return model
 
 
 def score_column(docs: DataFrame, scorer, names: list[str], column: str) -> DataFrame:

@@ -569,6 +569,24 @@ def test_quality_threshold_is_a_quantile():
     assert (good[:, None] > bad[None, :]).mean() > 0.99
 
 
+def test_quality_learns_from_all_pairs_of_all_rows(spark):
+    rng = random.Random(8)
+    rows = [(i, " ".join(rng.choice(["one", "Two.", "3", "four!", "five,six"][i % 2 :]) for _ in range(rng.randrange(1, 12))), "en") for i in range(7000)]
+    learned = [(t, i % 2) for i, t, _ in rows if crc32(str(i).encode()) % 3 != 1]
+    x, y = np.array([quality.features(t) for t, _ in learned]), np.array([v for _, v in learned])
+    assert min(Counter(y.tolist()).values()) > 2100
+    model = quality.fit(frame(spark, rows).repartition(3), spark.createDataFrame([(i, i % 2, 0) for i in range(9000)], LABELS))
+    here = quality.Model.fit([t for t, _ in learned], y, dict(Counter(y.tolist())))
+    assert np.allclose(model.weights, here.weights, atol=1e-7) and np.isclose(model.middle, here.middle, atol=1e-6)
+    z = quality._expand((x - x.mean(axis=0)) / (x.std(axis=0) + 1e-3))
+    good, bad = z[y == 1], z[y == 0]
+    loses = 1 / (1 + np.exp((good @ model.weights)[:, None] - (bad @ model.weights)[None, :]))
+    gradient = quality.RIDGE * model.weights - (loses.sum(axis=1) @ good - loses.sum(axis=0) @ bad) / loses.size
+    assert np.abs(gradient).max() < 1e-5  # the loss over all pairs is least here
+    strengths = z @ model.weights  # some texts are equal
+    assert (strengths < model.middle - 1e-6).sum() <= len(bad) <= (strengths < model.middle + 1e-6).sum()
+
+
 def test_selected_windows_against_brute_force():
     rng = np.random.default_rng(3)
     data = rng.integers(97, 110, 400).astype(np.uint8)
